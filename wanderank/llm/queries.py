@@ -1,10 +1,14 @@
 """Registry of the training-data queries and of the SQL that checks them."""
 
-from . import mixing, sharding
+from . import mixing, sharding, stream_dedup
 
 QUERIES = {
     "op3_uniform_shards": sharding.query,
+    "op4_stream_dedup": stream_dedup.query,
     "op5_mix_sources": mixing.query,
 }
 
-ORACLES = {"op5_mix_sources": mixing.ORACLE}
+ORACLES = {
+    "op4_stream_dedup": stream_dedup.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
+}
