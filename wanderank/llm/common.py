@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,21 @@ def clear_of(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns (in any case) whose names an operator is about to give to its own columns."""
     own = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in own])
+
+
+def located(docs: DataFrame, name: str = "__at") -> DataFrame:
+    """``docs`` with a column that tells its rows apart in every pass: file and row of a scan.
+
+    A plan that is no scan of files is written to the shared folder first.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.withColumn(name, at)
+    except AnalysisException:
+        return written(docs, "located").withColumn(name, at)
+
+
+def maybe_broadcast(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``df`` written once, and broadcast in joins if it was found to have at most ``rows`` rows."""
+    kept = written(df, name)
+    return F.broadcast(kept) if kept.count() <= rows else kept

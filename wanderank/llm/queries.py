@@ -1,14 +1,17 @@
 """Registry of the training-data queries and of the SQL that checks them."""
 
-from . import mixing, sharding, stream_dedup
+from . import decontaminate, mixing, sharding, simhash, stream_dedup
 
 QUERIES = {
     "op3_uniform_shards": sharding.query,
     "op4_stream_dedup": stream_dedup.query,
     "op5_mix_sources": mixing.query,
+    "op8_simhash_near_dedup": simhash.query,
+    "op9_winnow_benchmark": decontaminate.query,
 }
 
 ORACLES = {
     "op4_stream_dedup": stream_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
+    "op9_winnow_benchmark": decontaminate.ORACLE,
 }
