@@ -1,8 +1,9 @@
 """Registry of the training-data queries and of the SQL that checks them."""
 
-from . import decontaminate, mixing, sharding, simhash, stream_dedup
+from . import decontaminate, mixing, sharding, simhash, stream_dedup, token_count
 
 QUERIES = {
+    "op1_token_counts": token_count.query,
     "op3_uniform_shards": sharding.query,
     "op4_stream_dedup": stream_dedup.query,
     "op5_mix_sources": mixing.query,
