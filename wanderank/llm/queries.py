@@ -1,9 +1,10 @@
 """Registry of the training-data queries and of the SQL that checks them."""
 
-from . import decontaminate, mixing, sharding, simhash, stream_dedup, token_count
+from . import decontaminate, mixing, sharding, simhash, stream_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.query,
+    "op2_toxic_spans": toxicity.query,
     "op3_uniform_shards": sharding.query,
     "op4_stream_dedup": stream_dedup.query,
     "op5_mix_sources": mixing.query,

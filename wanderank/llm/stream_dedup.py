@@ -23,7 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, scratch_path, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; changes are written to the checkpoint as change logs; no space is taken in advance for each of many stores.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of a group that one task compares; most groups of copies whose digests are broadcast (about 150 bytes each).
 SALT_ROWS, BROADCAST_ROWS = 256, 100_000
 
@@ -56,16 +61,15 @@ def absorbed(spark: SparkSession, path: str, state_dir: str, id_col: str = "doc_
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         running = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
         running.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # a batch holds each digest it changed once; the last change is the state
     seen = spark.createDataFrame([], state.schema) if running.lastProgress is None and not _exists(spark, changes) else spark.read.schema(state.schema).parquet(f"{changes}/batch=*")
     return seen.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
