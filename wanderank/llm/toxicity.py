@@ -38,11 +38,11 @@ TRAIN_DOCS, TRAIN_CHARS = 2500, 20_000
 #: Words of a training window to each side, passes, step, weight decay, and the least weight that is kept.
 CONTEXT, PASSES, STEP, DECAY, LEAST_WEIGHT = 12, 8, 0.3, 1e-4, 0.02
 #: A feature marks tokens if it is in so many and such a share of the toxic documents, and its log odds are so high.
-SUPPORT, SHARE, ODDS = 5, 0.025, 3.0
+SUPPORT, SHARE, ODDS = 5, 0.02, 3.0
 THRESHOLD = 0.3
 SLICE_CHARS, CHUNK, MEMO_WORDS = 2_000_000, 64, 500_000
 WORD = re.compile(r"\w+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 
 
 def features(word: str) -> list[str]:
@@ -152,23 +152,25 @@ def marks(docs: list[tuple[list[str], int]]) -> set[str]:
     least = max(SUPPORT, SHARE * n[1])
     odds = lambda k, f: math.log((k + 0.5) / (n[1] + 1)) - math.log((df[0][f] + 0.5) / (n[0] + 1))
     found = {f for f, k in df[1].items() if k >= least and odds(k, f) >= ODDS}
-    contexts: dict[str, set[int]] = {f: set() for f in found}
+    contexts: dict[str, set[tuple[str, int]]] = {f: set() for f in found}
     for words, y in docs:
         for i, w in enumerate(words) if y else ():
             for f in features(w):
                 if f in found:
                     around = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
-                    contexts[f].add(zlib.crc32(around.encode("utf-8", "surrogatepass")))
-    return {f for f, c in contexts.items() if len(c) >= least and odds(min(len(c), df[1][f]), f) >= ODDS}
+                    contexts[f].add((w, zlib.crc32(around.encode("utf-8", "surrogatepass"))))
+    wide = {f for f, c in contexts.items() if len(c) >= least and odds(min(len(c), df[1][f]), f) >= ODDS}
+    # a prefix that nearly always belongs to one word says no more than the word
+    return {f for f in wide if f[0] == "w" or max(Counter(w for w, _ in contexts[f]).values()) < 0.8 * len(contexts[f])}
 
 
 def token_labels(words: list[str], y: int, marked: set[str]) -> np.ndarray:
     return np.array([int(y == 1 and any(f in marked for f in features(w))) for w in words], np.int8)
 
 
-def _windows(words: list[str], labels: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int]]:
-    """Parts of a document to train on: around its toxic tokens, and one at random."""
-    spots = np.flatnonzero(labels).tolist()
+def _windows(words: list[str], labels: np.ndarray, like: set[str], rng: np.random.Generator) -> list[tuple[int, int]]:
+    """Parts of a document to train on: around its toxic tokens, around tokens like toxic ones, and one at random."""
+    spots = [i for i, w in enumerate(words) if labels[i] or w in like]
     if len(words):
         spots.append(int(rng.integers(len(words))))
     out: list[list[int]] = []
@@ -193,9 +195,11 @@ def fit(docs: list[tuple[str, int]], seed: int = 11) -> Crf:
     ids: dict[str, np.ndarray] = {}
     number: dict[str, int] = {}
     spans = []
-    for words, y in tokens:
-        labels = token_labels(words, y, marked)
-        for a, b in _windows(words, labels, rng):
+    labelled = [token_labels(words, y, marked) for words, y in tokens]
+    toxic = {f for (words, _), labels in zip(tokens, labelled, strict=True) for i in np.flatnonzero(labels).tolist() for f in features(words[i])}
+    like = {w for words, _ in tokens for w in set(words) if any(f in toxic for f in features(w))}
+    for (words, _), labels in zip(tokens, labelled, strict=True):
+        for a, b in _windows(words, labels, like, rng):
             for w in words[a:b]:
                 if w not in ids:
                     ids[w] = np.array([number.setdefault(f, len(number)) for f in features(w)], np.int64)
