@@ -1,6 +1,6 @@
 """Registry of the training-data queries and of the SQL that checks them."""
 
-from . import decontaminate, mixing, sharding, simhash, stream_dedup, token_count, toxicity
+from . import decontaminate, html_extract, mixing, sharding, simhash, stream_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix_sources": mixing.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_winnow_benchmark": decontaminate.query,
+    "op10_main_text": html_extract.query,
 }
 
 ORACLES = {
