@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, clear_of
 
 #: Bounds of the training sample: documents of each class, characters of a document.
-TRAIN_DOCS, TRAIN_CHARS = 2500, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 10_000
 #: Words of a training window to each side, passes, step, weight decay, and the least weight that is kept.
 CONTEXT, PASSES, STEP, DECAY, LEAST_WEIGHT = 12, 8, 0.3, 1e-4, 0.02
 #: A feature marks tokens if it is in so many and such a share of the toxic documents, and its log odds are so high.
@@ -186,7 +186,8 @@ def _windows(words: list[str], labels: np.ndarray, like: set[str], rng: np.rando
 def fit(docs: list[tuple[str, int]], seed: int = 11) -> Crf:
     """Fit the chain and its calibration on (text, toxic) pairs."""
     rng = np.random.default_rng(seed)
-    tokens = [([w for w in WORD.findall(t.lower())], y) for t, y in docs]
+    one: dict[str, str] = {}  # each word is kept once
+    tokens = [([one.setdefault(w, w) for w in WORD.findall(t.lower())], y) for t, y in docs]
     model = Crf({}, np.zeros((2, 2)), np.zeros(2))
     if {y for _, y in tokens} != {0, 1}:
         model.known = False
@@ -327,12 +328,21 @@ class Scorer(dict):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """The bounded training sample: rows whose crc32(id) mod 4 is not 2, by hash of the id within each class."""
-    marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates([id_col])
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("t")).where(~held_out(id_col)).where(F.length("t") <= TRAIN_CHARS)
-    rows = rows.join(marked, id_col).withColumn("h", F.xxhash64(F.lit(5), F.col(id_col).cast("string")))
-    found = [rows.where(F.col("y") == y).orderBy("h", id_col, "t").limit(TRAIN_DOCS).select("t", "y").collect() for y in (0, 1)]
-    return [(r[0] or "", r[1]) for part in found for r in part]
+    """The bounded training sample: rows whose crc32(id) mod 4 is not 2, by hash of the id within each class.
+
+    The labels alone are counted and thinned by the hash to a few thousand ids; only the documents of these are
+    brought to the driver, one text for an id that repeats.
+    """
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~held_out("id"))
+    marked = marked.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.pmod(F.xxhash64(F.lit(5), F.col("id").cast("string")), F.lit(1 << 32)))
+    n = dict(marked.groupBy("y").count().collect())
+    share = {y: min(1.0, 1.5 * TRAIN_DOCS / n[y]) for y in n}
+    below = F.when(F.col("y") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0))) * F.lit(float(1 << 32))
+    chosen = marked.where(F.col("h") < below)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= TRAIN_CHARS)
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "y", "h").agg(F.min("t").alias("t"))
+    found = sorted(((r["y"], r["h"], r["t"] or "") for r in rows.collect()), key=lambda r: (r[0], r[1], r[2]))
+    return [(t, y) for k in (0, 1) for y, _, t in [r for r in found if r[0] == k][:TRAIN_DOCS]]
 
 
 def held_out(id_col: str):
