@@ -64,7 +64,7 @@ def column(tree, feature) -> Column:
     return F.when(feature(tree[0]) <= F.lit(tree[1]), column(tree[2], feature)).otherwise(column(tree[3], feature))
 
 
-def boosted(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 8) -> list:
+def boosted(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.3, least: int = 8) -> list:
     """Gradient boosting of the logistic loss; the score is the sum of the trees, leaves being Newton steps."""
     cuts, score, out = _thresholds(x), np.zeros(len(y)), []
     every = np.arange(len(y))
@@ -82,7 +82,7 @@ def boosted(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate:
     return out
 
 
-def forest(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 6, least: int = 3, seed: int = 3) -> list:
+def forest(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 5, least: int = 3, seed: int = 3) -> list:
     """A random forest: bootstrap rows, a random third of the features at each node, leaves hold the share of label 1."""
     rng, cuts, out = np.random.default_rng(seed), _thresholds(x), []
     some = max(2, x.shape[1] // 3)
