@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import kept, sized
 
-UNROLL = 5
+UNROLL = 10
 STATE = "origin bigint, node bigint, reserve double, residual double"
 
 

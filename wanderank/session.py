@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Rows that one shuffle partition of an iteration holds about.
 PARTITION_ROWS = 250_000
+#: Transitions below which rounds are not planned anew as they run.
+SMALL_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,14 +47,23 @@ def small(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def sized(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, shuffles get partitions for about so many rows; the session's own setting is restored afterwards."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(4, min(int(before), rows // PARTITION_ROWS + 4)) if rows // PARTITION_ROWS < int(before) else rows // PARTITION_ROWS))
+    """Within, shuffles get partitions for about so many rows of transitions; the session's settings are restored afterwards.
+
+    Rounds over few rows have their partitions fixed beforehand and are run as they are planned: planning each of
+    their stages anew takes longer than the stage. Larger ones are planned anew as they run, which splits skewed keys.
+    """
+    parts = rows // PARTITION_ROWS + 4
+    wanted = {"spark.sql.shuffle.partitions": str(parts)}
+    if rows < SMALL_ROWS:
+        wanted["spark.sql.adaptive.enabled"] = "false"
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
