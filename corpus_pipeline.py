@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanderank.llm import decontaminate, mixing, sharding, simhash, toxicity
-from wanderank.llm.common import located, maybe_broadcast, scratch_path
+from wanderank.llm.common import as_scan, located, maybe_broadcast, scratch_path
 
 #: Toxic rows whose locators are broadcast at most.
 BROADCAST_ROWS = 100_000
@@ -18,7 +18,7 @@ BROADCAST_ROWS = 100_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
-    rows = located(docs)
+    rows = located(as_scan(docs))
     toxic = toxicity.scored(rows.select("__at", "text"), toxicity.trained(spark, sf_dir)).where("predicted = 1").select("__at")
     return rows.join(maybe_broadcast(toxic, "toxic", BROADCAST_ROWS), "__at", "left_anti").drop("__at")
 

@@ -31,3 +31,33 @@ def personal(text):
                 counts[kind] += 1
                 spans.append(f"{kind}:{m.start()}:{m.end()}")
     return counts, hashlib.sha256(",".join(spans).encode()).hexdigest(), spans
+
+
+def fingerprint(text):
+    """64-bit SimHash, bit by bit."""
+    import xxhash
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(prints, bits):
+    """Smallest id of each id's component of fingerprints that differ in at most so many bits."""
+    ids = sorted(prints)
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if (prints[i] ^ prints[j]).bit_count() <= bits:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}

@@ -68,16 +68,22 @@ def clear_of(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in own])
 
 
+def as_scan(docs: DataFrame) -> DataFrame:
+    """``docs`` if it reads files, so that its rows have places; else a copy written to the shared folder."""
+    try:
+        docs.select("_metadata.file_path")
+        return docs
+    except AnalysisException:
+        return written(docs, "located")
+
+
 def located(docs: DataFrame, name: str = "__at") -> DataFrame:
-    """``docs`` with a column that tells its rows apart in every pass: file and row of a scan.
+    """``docs`` with a column that tells its rows apart: file and row of a scan.
 
-    A plan that is no scan of files is written to the shared folder first.
+    The places are the same in every pass over one scan; who needs them in two passes calls ``as_scan`` first.
     """
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return docs.withColumn(name, at)
-    except AnalysisException:
-        return written(docs, "located").withColumn(name, at)
+    return as_scan(docs).withColumn(name, at)
 
 
 def maybe_broadcast(df: DataFrame, name: str, rows: int) -> DataFrame:

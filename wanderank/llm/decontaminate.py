@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clear_of, located, maybe_broadcast, written
+from .common import as_scan, bounded_batches, clear_of, located, maybe_broadcast, written
 
 #: Words of a k-gram, hashes of a winnowing window, and words of a span that is always found.
 K, WINDOW = 5, 6
@@ -236,7 +236,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, locator ``__at``, n_words, runs (hit words, [start, end)), items (sorted ids)."""
-    rows = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = located(as_scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     context, parts = docs.sparkSession.sparkContext, []
     for block in benchmark_blocks(benchmark, block_bytes=block_bytes):
         index = context.broadcast(Index([tuple(r) for r in block.collect()]))
@@ -260,7 +260,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark."""
-    docs = clear_of(docs, "__at")
+    docs = as_scan(clear_of(docs, "__at"))
     bad = maybe_broadcast(hits(docs, benchmark).where(F.size("runs") > 0).select("__at"), "contaminated", BROADCAST_ROWS)
     return located(docs).join(bad, "__at", "left_anti").drop("__at")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clear_of, located, maybe_broadcast, removed, scratch_path, written
+from .common import as_scan, bounded_batches, clear_of, located, maybe_broadcast, removed, scratch_path, written
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Reference fingerprints, and the most fingerprints of a bucket that are compared pair by pair.
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component: its smallest doc_id, at the smallest locator, stays."""
-    docs = clear_of(docs, "__at")
+    docs = as_scan(clear_of(docs, "__at"))
     rows = written(near_duplicates(docs), "simhash-rows")
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     first = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("__at"))).alias("first"))

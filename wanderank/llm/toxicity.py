@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, clear_of
 
 #: Bounds of the training sample: documents of each class, characters of a document.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 10_000
+TRAIN_DOCS, TRAIN_CHARS = 1200, 8_000
 #: Words of a training window to each side, passes, step, weight decay, and the least weight that is kept.
 CONTEXT, PASSES, STEP, DECAY, LEAST_WEIGHT = 12, 8, 0.3, 1e-4, 0.02
 #: A feature marks tokens if it is in so many and such a share of the toxic documents, and its log odds are so high.
@@ -266,7 +266,7 @@ def _pairwise(unary, first, trans, start):
 
 
 def _summary(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each text: 1, logit of its largest marginal, log of its expected number of likely toxic words."""
+    """For each text: 1, logit of its largest marginal, log of the expected number of toxic words among the likelier ones."""
     out = np.zeros((len(sizes), 3))
     out[:, 0], out[:, 1] = 1.0, -8.0
     some = np.flatnonzero(sizes)
@@ -274,7 +274,7 @@ def _summary(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         first = (np.cumsum(sizes) - sizes)[some]
         top = np.clip(np.maximum.reduceat(p, first), 3.4e-4, 1 - 3.4e-4)
         out[some, 1] = np.log(top / (1 - top))
-        out[some, 2] = np.log1p(np.add.reduceat(np.where(p >= 0.05, p, 0.0), first))
+        out[some, 2] = np.log1p(np.add.reduceat(np.where(p >= 0.5, p, 0.0), first))
     return out
 
 
