@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, clear_of
 
 #: Bounds of the training sample: documents of each class, characters of a document.
-TRAIN_DOCS, TRAIN_CHARS = 1200, 8_000
+TRAIN_DOCS, TRAIN_CHARS = 1200, 10_000
 #: Words of a training window to each side, passes, step, weight decay, and the least weight that is kept.
 CONTEXT, PASSES, STEP, DECAY, LEAST_WEIGHT = 12, 8, 0.3, 1e-4, 0.02
 #: A feature marks tokens if it is in so many and such a share of the toxic documents, and its log odds are so high.
