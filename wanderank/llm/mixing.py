@@ -26,7 +26,7 @@ from .common import WORD_RUN, clear_of, written
 #: Weights of the sources in code point order, null last, repeating; share of all words to take; most times a source's size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Length classes per doubling of the size; rows that one cell holds about.
-CLASSES, CELL_ROWS = 8, 20_000
+CLASSES, CELL_ROWS = 8, 1_000
 #: Most rows of a table of counts that is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 OWN = ("size", "source_size", "target", "taken", "copies")
