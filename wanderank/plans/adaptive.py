@@ -82,7 +82,8 @@ def topk_bounded(graph: Graph, sources: DataFrame, k: int, p: Params, seed: int
 def topk_martingale(graph: Graph, sources: DataFrame, k: int, p: Params, h: int = 16, blocks: int = 8, seed: int = 1) -> DataFrame:
     """Hub oracles and doubling batches of walks, with martingale bounds; targets that can't reach the top k are pruned.
 
-    Returns (source, rank, node, ppr, lb, ub), ranked by lower bound; ppr is the bound's middle.
+    Returns (source, rank, node, ppr, lb, ub), ranked by lower bound. The bounds are those of the absorbing form; ppr is
+    their middle over the share of the source's walks that were not absorbed, which is the score with restarts.
     """
     rmax, _ = p.bidirectional()
     if rmax >= 1:
@@ -95,12 +96,14 @@ def topk_martingale(graph: Graph, sources: DataFrame, k: int, p: Params, h: int
     weights = back.where("residual > 0").select(F.col("origin").alias("target"), F.col("node").alias("dest"), "residual")
     own = back.where("reserve > 0").select(F.col("origin").alias("target"), F.col("node").alias("source"), "reserve")
     # bounds start from the targets that the source's reserve or walks reach; all others stay at (0, 1) and are never in the top k
-    state, done, total, first = None, None, 0, 1
+    state, done, ended, total, first = None, None, None, 0, 1
     live = origins(sources).select(F.col("origin").alias("source"))
     for i in range(1, 64):
         n = 2**i
         found = hub_walks(graph, live, n, hubs, oracle, blocks, p, seed, first)
         first, total = first + n, total + n
+        part = found.groupBy(F.col("start").alias("source")).agg(F.sum("cnt").alias("c"))
+        ended = kept((part if ended is None else ended.unionByName(part)).groupBy("source").agg(F.sum("c").alias("c")), "martingale-ended")
         new = found.join(weights, "dest").groupBy(F.col("start").alias("source"), "target").agg(F.sum(F.col("cnt") * F.col("residual")).alias("w"))
         direct = own.join(live, "source", "left_semi").select("source", "target", F.lit(0.0).alias("w"))
         parts = new.unionByName(direct)
@@ -112,7 +115,9 @@ def topk_martingale(graph: Graph, sources: DataFrame, k: int, p: Params, h: int
         state = kept(rows.select("source", "target", "weight", "reserve", lb.alias("lb"), ub.alias("ub")), "martingale")
         ranked_rows = topk(state.select("source", F.col("target").alias("node"), F.col("lb").alias("ppr"), "ub", "lb").where("ppr > 0"), k).withColumnRenamed("ppr", "lb")
         ranked_rows = ranked_rows.join(state.select("source", F.col("target").alias("node"), "ub"), ["source", "node"])
-        best = kept(ranked_rows.select("source", "rank", "node", ((F.col("lb") + F.col("ub")) / 2).alias("ppr"), "lb", "ub"), "martingale-top")
+        ranked_rows = ranked_rows.join(ended, "source")
+        middle = F.least((F.col("lb") + F.col("ub")) / 2 / (F.col("c") / float(total)), F.lit(1.0))
+        best = kept(ranked_rows.select("source", "rank", "node", middle.alias("ppr"), "lb", "ub"), "martingale-top")
         kth = best.where(F.col("rank") == k)
         enough_now = n >= enough
         ready = live if enough_now else kth.where(F.col("lb") * (1 + p.epsilon) >= F.col("ub")).select("source")
