@@ -31,23 +31,20 @@ def is_pushed(residual: Column, deg: Column, rmax: float, strict: bool = False)
 def one_round(state: DataFrame, moves: DataFrame, rmax: float, strict: bool = False, levels: tuple = ()) -> DataFrame:
     """One synchronous round. Moves with a level stand for whole stored pushes: of these the smallest level that is
     at least the residual is taken, scaled to it."""
-    s, t = state.alias("s"), moves.alias("t")
-    due = is_pushed(F.col("s.residual"), F.col("t.deg"), rmax, strict)
-    taken = F.col("t.own") | due
+    due = f"(s.residual > 0 AND round(s.residual, 12) {'>' if strict else '>='} t.deg * {rmax!r}D)"
+    taken = f"(t.own OR {due})"
     if levels:
-        chosen = F.lit(None).cast("double")
-        for level in sorted(levels, reverse=True):
-            chosen = F.when(F.col("s.residual") <= level, F.lit(level)).otherwise(chosen)
-        taken = taken & (F.col("t.lvl").isNull() | (F.col("t.lvl") == chosen))
-    joined = s.join(t, (F.col("s.node") == F.col("t.src")) & taken)
-    kept_residual = F.when(F.col("t.own") & ~due, F.col("s.residual")).otherwise(0.0)
-    out = joined.select(
-        F.col("s.origin").alias("origin"),
-        F.coalesce(F.col("t.dst"), F.col("s.origin")).alias("node"),
-        (F.when(F.col("t.own"), F.col("s.reserve")).otherwise(0.0) + F.when(due, F.col("s.residual") * F.col("t.rsv")).otherwise(0.0)).alias("reserve"),
-        (kept_residual + F.when(due, F.col("s.residual") * F.col("t.res")).otherwise(0.0)).alias("residual"),
+        chosen = " ".join(f"WHEN s.residual <= {level!r}D THEN {level!r}D" for level in sorted(levels))
+        taken += f" AND (t.lvl IS NULL OR t.lvl = CASE {chosen} END)"
+    # as text: a plan of many rounds is built from few calls
+    joined = state.alias("s").join(moves.alias("t"), F.expr(f"s.node = t.src AND {taken}"))
+    out = joined.selectExpr(
+        "s.origin AS origin",
+        "coalesce(t.dst, s.origin) AS node",
+        f"CASE WHEN t.own THEN s.reserve ELSE 0D END + CASE WHEN {due} THEN s.residual * t.rsv ELSE 0D END AS reserve",
+        f"CASE WHEN t.own AND NOT {due} THEN s.residual ELSE 0D END + CASE WHEN {due} THEN s.residual * t.res ELSE 0D END AS residual",
     )
-    return out.groupBy("origin", "node").agg(F.sum("reserve").alias("reserve"), F.sum("residual").alias("residual"))
+    return out.groupBy("origin", "node").agg(F.expr("sum(reserve) AS reserve"), F.expr("sum(residual) AS residual"))
 
 
 def frontier(state: DataFrame, moves: DataFrame, rmax: float, strict: bool = False) -> DataFrame:
