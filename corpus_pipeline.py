@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderank.llm import decontaminate, mixing, sharding, simhash, toxicity
+from wanderank.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from wanderank.llm.common import as_scan, located, maybe_broadcast, scratch_path
 
 #: Toxic rows whose locators are broadcast at most.
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each component of near copies (5-word shingles, similarity 0.8 or more): the smallest doc_id."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,19 +41,24 @@ LANE_ROWS = 255
 LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of a whole text; 0 for one without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each run of ``width`` words; fewer words are one run, and none give nothing."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        return digest(joined, SEED)
+    if len(words) < width:
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-SHINGLE])).tolist()
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    return _majority(h)
+    starts = np.concatenate(([0], ends[:-width])).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash of a whole text; 0 for one without words."""
+    h = shingle_hashes(text, SHINGLE)
+    return _majority(h) if len(h) else 0
 
 
 def _majority(h: np.ndarray) -> int:
@@ -254,15 +259,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(all_fps, "fp")
 
 
+def without_others(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without all but one row of each ``g`` of ``rows`` (id, __at, g): the smallest id, at the smallest locator, stays."""
+    first = rows.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("__at"))).alias("first"))
+    gone = rows.select("g", "__at").join(first, "g").where("__at <> first.__at").select("__at")
+    gone = maybe_broadcast(gone, "gone", BROADCAST_ROWS)
+    return located(docs).join(gone, "__at", "left_anti").drop("__at")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component: its smallest doc_id, at the smallest locator, stays."""
     docs = as_scan(clear_of(docs, "__at"))
     rows = written(near_duplicates(docs), "simhash-rows")
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    first = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("__at"))).alias("first"))
-    gone = rows.select(group.alias("g"), "__at").join(first, "g").where("__at <> first.__at").select("__at")
-    gone = maybe_broadcast(gone, "simhash-gone", BROADCAST_ROWS)
-    return located(docs).join(gone, "__at", "left_anti").drop("__at")
+    return without_others(docs, rows.select("id", "__at", group.alias("g")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
