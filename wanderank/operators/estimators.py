@@ -23,13 +23,23 @@ def reserves(state: DataFrame) -> DataFrame:
     return state.where("reserve > 0").select(F.col("origin").alias("source"), "node", F.col("reserve").alias("ppr"))
 
 
+def started(graph: Graph, sources: DataFrame, dangling: str = "source") -> DataFrame:
+    """All residual at the sources; a dead end that its own rest goes back to has all in its reserve at once, the sum of endless rounds."""
+    state = unit_state(origins(sources))
+    if dangling != "source":
+        return state
+    ends = graph.nodes.where("out_deg = 0").select("node", F.lit(True).alias("__end"))
+    state = state.join(ends, "node", "left")
+    return state.select("origin", "node", F.when(F.col("__end"), 1.0).otherwise(0.0).alias("reserve"), F.when(F.col("__end"), 0.0).otherwise(1.0).alias("residual"))
+
+
 def power_iteration(graph: Graph, sources: DataFrame, p: Params, rounds: int = POWER_ITERATIONS) -> DataFrame:
     """Ground truth: every residual is pushed in each round."""
     return reserves(push(unit_state(origins(sources)), graph.transitions(p.alpha), 0.0, rounds))
 
 
 def forward_push(graph: Graph, sources: DataFrame, p: Params, rounds: int | None = None) -> DataFrame:
-    return reserves(push(unit_state(origins(sources)), graph.transitions(p.alpha), p.forward_push(), rounds))
+    return reserves(push(started(graph, sources), graph.transitions(p.alpha), p.forward_push(), rounds))
 
 
 def montecarlo(graph: Graph, sources: DataFrame, p: Params, seed: int = 1) -> DataFrame:

@@ -177,15 +177,15 @@ def _state(df):
 def _forward(name, scale=1.0, dangling="source"):
     def run(spark, sf_dir):
         g = graph(spark, sf_dir, name)
-        return _state(push(unit_state(estimators.origins(sources(g))), g.transitions(ALPHA, dangling), params(g).forward_push() * scale, ROUNDS))
+        return _state(push(estimators.started(g, sources(g), dangling), g.transitions(ALPHA, dangling), params(g).forward_push() * scale))
 
     return run
 
 
 def forward_push_resume(spark, sf_dir):
     g = graph(spark, sf_dir, "events")
-    first = push(unit_state(estimators.origins(sources(g))), g.transitions(ALPHA), params(g).forward_push() * 16, 10)
-    return _state(push(first, g.transitions(ALPHA), params(g).forward_push(), 10))
+    first = push(estimators.started(g, sources(g)), g.transitions(ALPHA), params(g).forward_push() * 16, 10)
+    return _state(push(first, g.transitions(ALPHA), params(g).forward_push()))
 
 
 def power_iteration(name):
@@ -197,12 +197,12 @@ def power_iteration(name):
 
 def backward_push(spark, sf_dir):
     g = graph(spark, sf_dir, "events")
-    return _state(push(unit_state(estimators.origins(sources(g))), g.backward(ALPHA), 0.01, ROUNDS, strict=True)).withColumnRenamed("source", "target")
+    return _state(push(unit_state(estimators.origins(sources(g))), g.backward(ALPHA), 0.01, strict=True)).withColumnRenamed("source", "target")
 
 
 def backward_push_all_targets(spark, sf_dir):
     g = graph(spark, sf_dir, "events")
-    return _state(estimators.all_targets(g, params(g), 0.05, ROUNDS)).withColumnRenamed("source", "target")
+    return _state(estimators.all_targets(g, params(g), 0.05)).withColumnRenamed("source", "target")
 
 
 # ---- estimators ---------------------------------------------------------------------------------------------------------
@@ -215,7 +215,7 @@ def ppr_montecarlo(spark, sf_dir):
 
 def ppr_forward_push(spark, sf_dir):
     g = graph(spark, sf_dir, "events")
-    return told(estimators.forward_push(g, sources(g), params(g), ROUNDS), "ppr")
+    return told(estimators.forward_push(g, sources(g), params(g)), "ppr")
 
 
 def _push_walk(opt=False, indexed=False, name="events"):
@@ -261,7 +261,7 @@ def kth(spark, sf_dir):
 
 def _evaluated(spark, sf_dir, ks):
     g = graph(spark, sf_dir, "events")
-    guess = estimators.forward_push(g, sources(g), params(g, rmax_scale=4.0), ROUNDS)
+    guess = estimators.forward_push(g, sources(g), params(g, rmax_scale=4.0))
     return evaluated(topk(guess, max(ks)), topk(exact(g), max(ks)), ks)
 
 
