@@ -19,25 +19,87 @@ SMALL_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is empty and the master is local, a folder of this machine."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that setting is empty and the master is local, so that there is only one machine, a temporary folder is made and set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if found:
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wanderank-"))
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")
 
 
+#: Scratch tables made inside ``scratch_scope``, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is there is deleted when the application ends, or its ``scratch_scope``."""
+    path = f"{shared_dir(spark)}/wanderank-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made within are deleted at its end."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            removed(spark, path)
+
+
 def kept(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends, the plan gets true sizes, lost executors don't matter."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wanderank-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Delete the scratch table of a ``kept`` DataFrame that nothing reads any more."""
+    path = getattr(df, "__dict__", {}).get("scratch")
+    if path:
+        removed(df.sparkSession, path)
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed within, and as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def small(df: DataFrame) -> DataFrame:
