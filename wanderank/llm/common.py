@@ -1,67 +1,24 @@
-"""Helpers shared by the training-data operators: shared scratch space and safe columns."""
+"""Helpers shared by the training-data operators: scratch tables, safe columns, checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept as written
+from ..session import removed, scratch_path, settings
+
 #: White space that separates words: space and the ASCII controls 0x09 to 0x0D.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where that setting is empty (local tests) a folder of this machine is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if found:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(found)
-        return found.rstrip("/")
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not now.isEmpty():
-        return now.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wanderank-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for a table below the shared folder."""
-    return f"{shared_dir(spark)}/wanderank-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and it survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small, as one text can hold megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def clear_of(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns (in any case) whose names an operator is about to give to its own columns."""
     own = {n.lower() for n in names}
@@ -86,7 +43,14 @@ def located(docs: DataFrame, name: str = "__at") -> DataFrame:
     return as_scan(docs).withColumn(name, at)
 
 
+def checked(table: DataFrame, rows: int) -> DataFrame:
+    """A written table, broadcast in joins if it was found to have at most ``rows`` rows; else Spark shuffles it, and splits hot keys."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def maybe_broadcast(df: DataFrame, name: str, rows: int) -> DataFrame:
     """``df`` written once, and broadcast in joins if it was found to have at most ``rows`` rows."""
-    kept = written(df, name)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    return checked(written(df, name), rows)
+
+
+__all__ = ["SPACE_RUN", "WORD_RUN", "as_scan", "checked", "clear_of", "located", "maybe_broadcast", "removed", "scratch_path", "settings", "utf8_size", "written"]

@@ -8,10 +8,16 @@ Two deterministic transducers, compiled from the tokenizer's file, count tokens
   numbered and tabulated as far as it is met; the maps of all chunks are composed by a parallel prefix scan,
   which gives every chunk its entry state, and the chunks then run side by side. So a text of any length is
   handled in steps of one chunk length.
-* The BPE transducer runs over a word's bytes. After each prefix the greedy merges end in one token, found by
-  the pairs that merging leaves apart; a state holds the vocabulary entries still open, each with the token
-  before it and the token count there, relative to now. A transition carries the change of the token count.
-  States and transitions are compiled when first met and kept; words already counted are remembered.
+* The BPE transducer runs over bytes and goes back to its first state where a word begins. After each prefix of a
+  word the greedy merges end in one token, found by the pairs that merging leaves apart; a state holds the
+  vocabulary entries still open, each with the token before it and the token count there, relative to now. A
+  transition emits the change of the token count. States and transitions are compiled when first met and kept.
+
+The chunks of all texts run through the BPE transducer side by side, too. A chunk's map takes an entry state to its
+exit state and its emitted count. Where a word begins in the chunk, the map is constant from there on: exit state and
+count of that part need no entry state; the head before it is run when the exit of the chunk before is known.
+Composing the maps along a text therefore needs one step of the scan, except inside words longer than a chunk, which
+are gone through in order. A text's tokens are the sum of its chunks' counts.
 
 The special strings of the tokenizer are cut out first and count as one token, as its library does by default.
 
@@ -31,10 +37,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clear_of, utf8_size
+from .common import clear_of, utf8_size
 
-#: Characters that are scanned at once; length of a chunk; words and states that a worker remembers.
-SLICE_CHARS, CHUNK, MEMO_WORDS, MEMO_STATES = 2_000_000, 128, 500_000, 200_000
+#: Characters that are scanned at once; length of a chunk; states that a worker keeps; chunks that are run one by one.
+SLICE_CHARS, CHUNK, MEMO_STATES, FEW = 2_000_000, 128, 300_000, 16
 
 # Character classes: the letters that contractions are made of stand alone.
 LETTER, S, T_, R, E_, V, M, L, D, NUMBER, QUOTE, OTHER, SPACE, BLANK, END = range(15)
@@ -46,6 +52,10 @@ END_MARK = 0x110000
 # States of the pre-tokenizer: what has been read since the word began.
 (START, IN_LETTERS, IN_NUMBER, IN_OTHER, AT_QUOTE, QUOTE_E, QUOTE_L, CLOSED, ONE_SPACE, ONE_BLANK, LAST_SPACE, LAST_BLANK) = range(12)
 STATES = 12
+#: States of the BPE transducer that have fixed numbers: at the beginning of a word, and not known yet (emits nothing).
+START_STATE, UNKNOWN = 0, 1
+#: Added to a byte where a word begins; added to a count so that it is stored without a sign; multiplier of the hash.
+FRESH, BIAS, SPREAD = 256, 1 << 15, np.uint64(0x9E3779B97F4A7C15)
 #: Emissions: a word begins at this character; a word begins at the character before it.
 HERE, BEFORE = 1, 2
 
@@ -188,9 +198,10 @@ class BpeTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.number = {((0, -1, 0),): 0}
-        self.states = [((0, -1, 0),)]
-        self.steps: list[dict[int, tuple[int, int]]] = [{}]
+        self.states = [((0, -1, 0),), ()]
+        self.number = {state: k for k, state in enumerate(self.states)}
+        self.steps: dict[int, int] = {}
+        self._sized(1 << 16)
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merge by rank, the leftmost of equals first, until nothing merges."""
@@ -246,6 +257,8 @@ class BpeTransducer:
         return known
 
     def _compiled(self, state: int, byte: int) -> tuple[int, int]:
+        if state == UNKNOWN:
+            return UNKNOWN, 0
         opened, last = [], None
         for node, token, count in self.states[state]:
             step = self.child.get((node, byte))
@@ -262,24 +275,132 @@ class BpeTransducer:
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
-        self.steps[state][byte] = (number, count)
         return number, count
 
-    def count(self, word: bytes) -> int:
+    # The transitions as an open hash table of arrays: key state << 8 | byte, value next state << 16 | count + BIAS.
+
+    def _sized(self, size: int) -> None:
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        self.shift = np.uint64(64 - (size.bit_length() - 1))
+        if self.steps:
+            self._filed(np.fromiter(self.steps.keys(), np.int64, len(self.steps)), np.fromiter(self.steps.values(), np.int64, len(self.steps)))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
+
+    def _filed(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slots, last = self._slots(keys), len(self.keys) - 1
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            self.keys[slots[free]] = keys[free]  # of several that want one slot the last has it
+            done = self.keys[slots] == keys
+            self.values[slots[done]] = values[done]
+            keys, values, slots = keys[~done], values[~done], (slots[~done] + 1) & last
+
+    def _step(self, key: int) -> int:
+        """The packed value of a transition, compiled if it is new."""
+        value = self.steps.get(key)
+        if value is None:
+            number, count = self._compiled(key >> 8, key & 255)
+            value = self.steps[key] = number << 16 | (count + BIAS)
+        return value
+
+    def _values(self, keys: np.ndarray) -> np.ndarray:
+        """Packed values of the transitions."""
+        slots = self._slots(keys)
+        out = self.values[slots]
+        other = np.flatnonzero(self.keys[slots] != keys)
+        while len(other):
+            # the next slot; an empty one before the key is found means that the transition is new
+            empty = self.keys[slots[other]] < 0
+            if empty.any():
+                new = np.unique(keys[other[empty]])
+                known = len(self.steps)
+                packed = np.array([self._step(k) for k in new.tolist()], np.int64)
+                if 4 * len(self.steps) > len(self.keys):
+                    self._sized(4 * len(self.keys))
+                    return self._values(keys)
+                if len(self.steps) > known:
+                    self._filed(new, packed)
+                out[other[empty]] = packed[np.searchsorted(new, keys[other[empty]])]
+                other = other[~empty]
+            slots[other] = (slots[other] + 1) & (len(self.keys) - 1)
+            hit = self.keys[slots[other]] == keys[other]
+            out[other[hit]] = self.values[slots[other[hit]]]
+            other = other[~hit]
+        return out
+
+    def run(self, data: np.ndarray, at: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Run side by side over ``length`` bytes from ``at`` on, from the given states; exit states and emitted counts.
+
+        data: bytes, with FRESH added where a word begins.
+        """
+        order = np.argsort(-length, kind="stable")
+        place, state, total = at[order], state[order].astype(np.int64), np.zeros(len(at), np.int64)
+        live = np.searchsorted(-length[order], -np.arange(int(length.max(initial=0))), side="left")  # of which length > step
+        for m in live.tolist():
+            now = data[place[:m]]
+            place[:m] += 1
+            own = state[:m]
+            own[now >= FRESH] = START_STATE
+            packed = self._values(own << 8 | (now & 255))
+            state[:m] = packed >> 16
+            total[:m] += (packed & 0xFFFF) - BIAS
+        exits, counts = np.empty_like(state), np.empty_like(total)
+        exits[order], counts[order] = state, total
+        return exits, counts
+
+    def run_one(self, data: list[int], state: int) -> tuple[int, int]:
+        """The same over one run of bytes."""
+        total, steps = 0, self.steps
+        for now in data:
+            key = (now & 255) if now >= FRESH else state << 8 | now
+            value = steps.get(key)
+            if value is None:
+                value = self._step(key)
+                self._filed(np.array([key]), np.array([value]))
+                if 4 * len(steps) > len(self.keys):
+                    self._sized(4 * len(self.keys))
+            state = value >> 16
+            total += (value & 0xFFFF) - BIAS
+        return state, total
+
+    def counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of the texts that stand in ``data`` (see ``run``) from ``begin`` on; each begins with a word, if it has any."""
         if len(self.states) > MEMO_STATES:
             self._reset()
-        state = total = 0
-        steps = self.steps
-        for byte in word:
-            step = steps[state].get(byte)
-            state, emitted = self._compiled(state, byte) if step is None else step
-            total += emitted
-        return total
+        chunks = -(-size // CHUNK)
+        text = np.repeat(np.arange(len(size)), chunks)
+        inner = np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        at = begin[text] + inner * CHUNK
+        length = np.minimum(CHUNK, size[text] - inner * CHUNK)
+        # the part from the first word on
+        exits, counts = self.run(data, at, length, np.where(inner == 0, START_STATE, UNKNOWN))
+        # the heads: bytes before the first word of a chunk
+        fresh = np.append(np.flatnonzero(data >= FRESH), len(data))
+        head = np.minimum(fresh[np.searchsorted(fresh, at)] - at, length)
+        waiting = np.flatnonzero((inner > 0) & (head > 0))
+        while len(waiting):
+            ready = exits[waiting - 1] != UNKNOWN
+            if ready.sum() <= FEW:  # inside few long words: in order, one by one
+                for k in waiting.tolist():
+                    if exits[k - 1] == UNKNOWN:
+                        break
+                    state, n = self.run_one(data[at[k] : at[k] + head[k]].tolist(), int(exits[k - 1]))
+                    counts[k] += n
+                    if head[k] == length[k]:
+                        exits[k] = state
+                    waiting = waiting[1:]
+                continue
+            now, waiting = waiting[ready], waiting[~ready]
+            state, n = self.run(data, at[now], head[now], exits[now - 1])
+            counts[now] += n
+            exits[now] = np.where(head[now] == length[now], state, exits[now])
+        return np.bincount(text, counts, len(size)).astype(np.int64)
 
 
-class TokenCounter(dict):
-    """Counts of whole texts; as a dict it remembers the counts of words."""
+class TokenCounter:
+    """Counts of whole texts."""
 
     def __init__(self, tokenizer_json: str):
         spec = json.loads(tokenizer_json)
@@ -290,12 +411,6 @@ class TokenCounter(dict):
         self.bpe = BpeTransducer(model["vocab"], model["merges"])
         self.scanner = WordScanner()
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        n = self[word] = self.bpe.count(word.encode("utf-8", "surrogatepass"))
-        return n
-
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         pieces, owner, total = [], [], np.zeros(len(texts), np.int64)
@@ -310,16 +425,14 @@ class TokenCounter(dict):
         joined = "\n".join(pieces) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         ends = np.cumsum(np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))) - 1
+        codes[ends] = ord("\n")
+        width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        place = np.concatenate(([0], np.cumsum(width)))  # of each character in the bytes
         codes[ends] = END_MARK
-        starts = self.scanner.starts(codes)
-        bounds = starts.tolist()
-        bounds.append(len(codes))
-        per_word = np.fromiter((self[joined[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)), np.int64, len(starts))
-        per_word[np.searchsorted(starts, ends)] = 0  # the end marks themselves
-        sums = np.concatenate(([0], np.cumsum(per_word)))
-        until = np.searchsorted(starts, ends)
-        since = np.concatenate(([0], until[:-1] + 1))
-        np.add.at(total, np.array(owner, np.int64), sums[until] - sums[since])
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint16)
+        data[place[self.scanner.starts(codes)]] += FRESH
+        begin = place[np.concatenate(([0], ends[:-1] + 1))]
+        np.add.at(total, np.array(owner, np.int64), self.bpe.counts(data, begin, place[ends] - begin))
         return total
 
 
@@ -351,7 +464,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
             yield b[names].assign(n_tokens=np.concatenate(n))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens bigint"])
-    bounded_batches(docs.sparkSession)
     return docs.mapInPandas(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
