@@ -1,16 +1,16 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Training (bounded, on the driver): labelled documents, as many toxic as clean ones up to ``TRAIN_DOCS`` of
-each and of at most ``TRAIN_CHARS`` characters, in order of a hash of their id. A token gets label 1 where its
-document is toxic and one of its features (word, prefixes) speaks for toxic documents by
-its document frequencies; all other tokens get label 0. A two-state CRF is fitted to windows of these tokens
+each and of at most ``TRAIN_CHARS`` characters, in order of a hash of their id. A token of a toxic document gets
+a soft label: the share of the occurrences of its features (word, prefixes) there that is more than their rate in
+clean documents explains; all other tokens get label 0. A two-state CRF is fitted to windows of these tokens
 by gradient ascent on the conditional likelihood. A logistic calibration from what a document's marginals
-come to (largest, and expected number of toxic words) to the document's label is then fitted on the same documents.
+come to (largest, expected number and share of toxic words) to the document's label is then fitted on the same documents.
 
 Scoring: forward-backward over all words of the whole text. The two-state recursions are products of 2 x 2
 matrices; all texts of a batch are one chain that restarts at each text, cut into chunks of equal length,
 whose products are composed by a prefix scan. So a very long text takes no more steps than short ones.
-Inputs of a score are the text's words alone. Fixed seeds and orders make the model the same in every run.
+Inputs of a score are the text's words alone; spans are offsets in the text as it is. Fixed seeds and orders make the model the same in every run.
 
 Defined results: null, empty and wordless texts get the score of a document without toxic words; with fewer
 than one labelled document of each class all documents score 0; repeated rows get equal scores; an empty
@@ -31,16 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clear_of
+from .common import clear_of
 
 #: Bounds of the training sample: documents of each class, characters of a document.
 TRAIN_DOCS, TRAIN_CHARS = 1200, 10_000
 #: Words of a training window to each side, passes, step, weight decay, and the least weight that is kept.
 CONTEXT, PASSES, STEP, DECAY, LEAST_WEIGHT = 12, 8, 0.3, 1e-4, 0.02
-#: A feature marks tokens if it is in so many and such a share of the toxic documents, and its log odds are so high.
-SUPPORT, SHARE, ODDS = 5, 0.02, 3.0
+#: A feature marks tokens if so many toxic documents hold it, with such log odds of its rates and such a likelihood ratio.
+SUPPORT, ODDS, GAIN = 3, 2.0, 24.0
 THRESHOLD = 0.3
-SLICE_CHARS, CHUNK, MEMO_WORDS = 2_000_000, 64, 500_000
+#: Marginals from which on a word is counted, and the share of toxic words that is told from none.
+COUNTED, LEAST_SHARE = 0.3, 0.002
+SLICE_CHARS, CHUNK, MEMO_WORDS, MEMO_LENGTH = 2_000_000, 64, 500_000, 64
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7)
 
@@ -119,7 +121,7 @@ class Crf:
     trans: np.ndarray
     start: np.ndarray
     bias: float = 0.0
-    calibration: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
     known: bool = True
 
     def potential(self, word: str) -> float:
@@ -139,38 +141,63 @@ def unlike(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
     return out
 
 
-def marks(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Features that speak for toxic documents: by the log odds of their document frequencies, and found in many contexts.
+def _gain(k1: int, n1: int, k0: int, n0: int) -> float:
+    """Likelihood ratio statistic of two counts against one common rate."""
+    rate = (k1 + k0) / (n1 + n0)
+    part = lambda k, n: k * math.log(k / (n * rate)) if k else 0.0
+    return 2 * (part(k1, n1) + part(k0, n0))
 
-    A context is the pair of words around a token; copies of one document have the same contexts, so that
-    the rare words of a copied document don't count as widespread.
+
+def marks(docs: list[tuple[list[str], int]]) -> dict[str, float]:
+    """Features that are more frequent in toxic documents, each with the share of its tokens there that is excess.
+
+    Tokens are counted once per context, the pair of words around them, so that copied passages don't count as
+    widespread. A feature needs ``SUPPORT`` toxic documents, a rate ``ODDS`` (log) above that in clean documents and
+    a likelihood ratio of ``GAIN``.
     """
-    df, n = (Counter(), Counter()), [0, 0]
+    counts, n = (Counter(), Counter()), [1, 1]
     for words, y in docs:
-        n[y] += 1
-        df[y].update({f for w in set(words) for f in features(w)})
-    least = max(SUPPORT, SHARE * n[1])
-    odds = lambda k, f: math.log((k + 0.5) / (n[1] + 1)) - math.log((df[0][f] + 0.5) / (n[0] + 1))
-    found = {f for f, k in df[1].items() if k >= least and odds(k, f) >= ODDS}
-    contexts: dict[str, set[tuple[str, int]]] = {f: set() for f in found}
-    for words, y in docs:
-        for i, w in enumerate(words) if y else ():
+        counts[y].update(words)
+        n[y] += len(words)
+    total: tuple[Counter, Counter] = (Counter(), Counter())
+    for y in (0, 1):
+        for w, k in counts[y].items():
             for f in features(w):
-                if f in found:
-                    around = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
-                    contexts[f].add((w, zlib.crc32(around.encode("utf-8", "surrogatepass"))))
-    wide = {f for f, c in contexts.items() if len(c) >= least and odds(min(len(c), df[1][f]), f) >= ODDS}
-    # a prefix that nearly always belongs to one word says no more than the word
-    return {f for f in wide if f[0] == "w" or max(Counter(w for w, _ in contexts[f]).values()) < 0.8 * len(contexts[f])}
+                total[y][f] += k
+    odds = lambda k1, k0: math.log((k1 + 0.5) / n[1]) - math.log((k0 + 0.5) / n[0])
+    likely = {f for f, k in total[1].items() if k >= SUPPORT and odds(k, total[0][f]) >= ODDS / 2}
+    of_word = {w: found for w in counts[1].keys() | counts[0].keys() if (found := [f for f in features(w) if f in likely])}
+    places: tuple[dict, dict] = ({f: {} for f in likely}, {f: {} for f in likely})
+    inside: dict[str, set[int]] = {f: set() for f in likely}
+    for d, (words, y) in enumerate(docs):
+        for i, w in enumerate(words):
+            for f in of_word.get(w, ()):
+                around = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
+                places[y][f][zlib.crc32(around.encode("utf-8", "surrogatepass"))] = w
+                if y:
+                    inside[f].add(d)
+    out = {}
+    for f in likely:
+        k1, k0 = len(places[1][f]), len(places[0][f])
+        if len(inside[f]) < SUPPORT or odds(k1, k0) < ODDS or _gain(k1, n[1], k0, n[0]) < GAIN:
+            continue
+        # a prefix that nearly always belongs to one word says no more than the word
+        if f[0] == "w" or max(Counter(places[1][f].values()).values()) < 0.8 * k1:
+            out[f] = 1 - math.exp(-odds(k1, k0))
+    return out
 
 
-def token_labels(words: list[str], y: int, marked: set[str]) -> np.ndarray:
-    return np.array([int(y == 1 and any(f in marked for f in features(w))) for w in words], np.int8)
+def token_labels(words: list[str], y: int, marked: dict[str, float]) -> np.ndarray:
+    """The probability that a token of a toxic document is toxic by its marked features; 0 in clean documents."""
+    if y != 1:
+        return np.zeros(len(words))
+    memo: dict[str, float] = {}
+    return np.array([memo[w] if w in memo else memo.setdefault(w, max((marked.get(f, 0.0) for f in features(w)), default=0.0)) for w in words])
 
 
 def _windows(words: list[str], labels: np.ndarray, like: set[str], rng: np.random.Generator) -> list[tuple[int, int]]:
     """Parts of a document to train on: around its toxic tokens, around tokens like toxic ones, and one at random."""
-    spots = [i for i, w in enumerate(words) if labels[i] or w in like]
+    spots = [i for i, w in enumerate(words) if labels[i] > 0 or w in like]
     if len(words):
         spots.append(int(rng.integers(len(words))))
     out: list[list[int]] = []
@@ -187,7 +214,7 @@ def fit(docs: list[tuple[str, int]], seed: int = 11) -> Crf:
     """Fit the chain and its calibration on (text, toxic) pairs."""
     rng = np.random.default_rng(seed)
     one: dict[str, str] = {}  # each word is kept once
-    tokens = [([one.setdefault(w, w) for w in WORD.findall(t.lower())], y) for t, y in docs]
+    tokens = [([one.setdefault(w, w) for w in map(str.lower, WORD.findall(t))], y) for t, y in docs]
     model = Crf({}, np.zeros((2, 2)), np.zeros(2))
     if {y for _, y in tokens} != {0, 1}:
         model.known = False
@@ -197,7 +224,7 @@ def fit(docs: list[tuple[str, int]], seed: int = 11) -> Crf:
     number: dict[str, int] = {}
     spans = []
     labelled = [token_labels(words, y, marked) for words, y in tokens]
-    toxic = {f for (words, _), labels in zip(tokens, labelled, strict=True) for i in np.flatnonzero(labels).tolist() for f in features(words[i])}
+    toxic = {f for (words, _), labels in zip(tokens, labelled, strict=True) for i in np.flatnonzero(labels >= 0.5).tolist() for f in features(words[i])}
     like = {w for words, _ in tokens for w in set(words) if any(f in toxic for f in features(w))}
     for (words, _), labels in zip(tokens, labelled, strict=True):
         for a, b in _windows(words, labels, like, rng):
@@ -265,16 +292,21 @@ def _pairwise(unary, first, trans, start):
     return p, pair
 
 
+SUMMARY = 4
+
+
 def _summary(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each text: 1, logit of its largest marginal, log of the expected number of toxic words among the likelier ones."""
-    out = np.zeros((len(sizes), 3))
-    out[:, 0], out[:, 1] = 1.0, -8.0
+    """For each text: 1, logit of its largest marginal, log of its expected number of toxic words, and of their share."""
+    out = np.zeros((len(sizes), SUMMARY))
+    out[:, 0], out[:, 1], out[:, 3] = 1.0, -8.0, math.log(LEAST_SHARE)
     some = np.flatnonzero(sizes)
     if len(some):
         first = (np.cumsum(sizes) - sizes)[some]
         top = np.clip(np.maximum.reduceat(p, first), 3.4e-4, 1 - 3.4e-4)
+        expected = np.add.reduceat(np.where(p >= COUNTED, p, 0.0), first)
         out[some, 1] = np.log(top / (1 - top))
-        out[some, 2] = np.log1p(np.add.reduceat(np.where(p >= 0.5, p, 0.0), first))
+        out[some, 2] = np.log1p(expected)
+        out[some, 3] = np.log(LEAST_SHARE + expected / sizes[some])
     return out
 
 
@@ -285,24 +317,26 @@ def _calibrate(model: Crf, tokens: list[tuple[list[str], int]]) -> None:
     unary = np.array([memo.setdefault(w, 0.0) if w in memo else memo.setdefault(w, model.potential(w)) for words, _ in tokens for w in words])
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
     x = _summary(marginals(unary, first, model.trans, model.start), sizes)
-    y, beta = np.array([t[1] for t in tokens], float), np.zeros(3)
+    y, beta = np.array([t[1] for t in tokens], float), np.zeros(SUMMARY)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(3)
-        beta += np.linalg.solve(hessian, x.T @ (y - p) - beta)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(SUMMARY)
+        beta += np.linalg.solve(hessian, x.T @ (y - p) - 0.1 * beta)
     model.calibration = beta
 
 
 class Scorer(dict):
-    """Scores whole texts; as a dict it remembers the words' potentials."""
+    """Scores whole texts; as a dict it remembers the potentials of words of usual length."""
 
     def __init__(self, model: Crf):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = self.model.potential(word)
+        value = self.model.potential(word.lower())
+        if len(word) <= MEMO_LENGTH:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def scored(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
@@ -310,7 +344,7 @@ class Scorer(dict):
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         if not self.model.known:
             return np.zeros(len(texts)), spans
-        words = [WORD.findall(t.lower()) for t in texts]
+        words = [WORD.findall(t) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         unary = np.fromiter((self[w] for ws in words for w in ws), float, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
@@ -321,8 +355,7 @@ class Scorer(dict):
         for t in np.flatnonzero(p >= 0.5).tolist():
             hits.setdefault(int(doc_of[t]), []).append(t - int(starts[doc_of[t]]))
         for d, at in hits.items():
-            # lower-casing may change a text's length; then the offsets are those of the lower-cased text
-            places = [m.span() for m in WORD.finditer(texts[d].lower())]
+            places = [m.span() for m in WORD.finditer(texts[d])]
             spans[d] = [places[k] for k in at]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), spans
 
@@ -373,7 +406,6 @@ def scored(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
             yield b[names].assign(score=np.concatenate(score), spans=spans)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double", "spans array<array<bigint>>"])
-    bounded_batches(docs.sparkSession)
     return docs.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
