@@ -1,8 +1,9 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
 Every input partition knows only how many rows it has. The driver draws the matrix of how many of
-them go to each shard, so that the shards' sizes come out exact; each partition permutes its rows and
-deals them out by its row of the matrix; one exchange moves them; each shard permutes what it got.
+them go to each shard, so that the shards' sizes come out exact, and writes it as a table; each partition permutes its
+rows and deals them out by its row of the matrix; one exchange moves them; each shard permutes what it got, in
+cells that are counted and then numbered on end.
 Every order of all rows is equally likely, rows of one source or group of copies spread like all others,
 and no key decides where a row goes, so that no key can make a partition large.
 
@@ -13,6 +14,7 @@ gives no rows; a shard may stay empty where there are fewer rows than shards; in
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import clear_of, utf8_size, written
+from .common import checked, clear_of, maybe_broadcast, scratch_path, utf8_size, written
 
-#: Rows that one cell (a part of a shard that one task permutes) holds about, and the most cells a shard has.
-CELL_ROWS, MAX_CELLS = 8192, 1024
+#: Rows that one cell (a part of a shard that one task permutes) holds about.
+CELL_ROWS = 8192
+#: Rows of the matrix that one constant of a plan holds while it is written; most rows of a table that is broadcast.
+MATRIX_ROWS, BROADCAST_ROWS = 4096, 100_000
 #: Rank of a row in its partition: the low 33 bits of monotonically_increasing_id().
 LOCAL_RANK = (1 << 33) - 1
 
@@ -89,9 +93,15 @@ def _hashable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def _lookup(table: list, kind: str) -> Column:
-    """A small table of the driver as one constant of the plan."""
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), kind)
+def _matrix_table(spark, counts: list[int], sizes: list[int], seed: int) -> DataFrame:
+    """(__part, __ends): for each partition the ranks at which its rows for each shard end, as a written table."""
+    path = scratch_path(spark, "shard-matrix")
+    rows = [{"__part": p, "__ends": list(itertools.accumulate(row))} for p, row in enumerate(communication_matrix(counts, sizes, seed))]
+    kind = "array<struct<__part:int,__ends:array<bigint>>>"
+    for at in range(0, max(1, len(rows)), MATRIX_ROWS):
+        part = json.dumps(rows[at : at + MATRIX_ROWS], separators=(",", ":"))
+        spark.range(1).select(F.inline(F.from_json(F.lit(part), kind))).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema("__part int, __ends array<bigint>").parquet(path)
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20_240_817) -> DataFrame:
@@ -109,33 +119,29 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20_240_817
     counts = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
     total = sum(counts)
     sizes = [total // shards + (k < total % shards) for k in range(shards)]
-    cells = min(MAX_CELLS, max(1, -(-total // (shards * CELL_ROWS))))
-    ends = []
-    for row in communication_matrix(counts, sizes, seed):
-        ends.append([sum(row[: k + 1]) for k in range(shards)])
+    cells = max(1, -(-total // (shards * CELL_ROWS)))
+    matrix = checked(_matrix_table(spark, counts, sizes, seed), BROADCAST_ROWS)
 
     names = [f.name for f in docs.schema.fields if _hashable(f.dataType)]
     mixed = F.xxhash64(F.lit(seed), *[F.col(f"`{n}`") for n in names])
-    dealt = docs.withColumn("__mixed", mixed)
     order = ["__mixed", *[F.col(f"`{n}`") for n in docs.columns if n == "doc_id"]]
-    dealt = dealt.sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__rank": F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_RANK))})
-    # get() gives null beyond the counted partitions and rows; then the input changed between the passes
-    dealt = dealt.withColumn("__ends", F.get(_lookup(ends, "array<array<bigint>>"), F.col("__part")))
-    inside = F.col("__rank") < F.get(F.col("__ends"), F.lit(shards - 1))
+    dealt = docs.withColumn("__mixed", mixed).sortWithinPartitions(*order)
+    dealt = dealt.withColumns({"__part": F.spark_partition_id(), "__rank": F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_RANK))})
+    # no row of the matrix, or a rank beyond its last end: the input changed between the passes
+    dealt = dealt.join(matrix, "__part", "left")
+    inside = F.coalesce(F.col("__rank") < F.get(F.col("__ends"), F.lit(shards - 1)), F.lit(False))
     shard = sum((F.when(F.col("__rank") >= F.get(F.col("__ends"), F.lit(k)), 1).otherwise(0) for k in range(shards - 1)), F.lit(0))
     shard = F.when(inside, shard).otherwise(F.raise_error(F.lit("the input's partitions changed between two passes over it")).cast("int"))
     again = F.xxhash64(F.lit(seed + 1), F.col("__mixed"))
     dealt = dealt.withColumns({"shard": shard.cast("int"), "__again": again, "__cell": F.pmod(F.shiftright(again, 20), F.lit(cells)).cast("int")}).drop("__part", "__rank", "__ends")
 
-    starts = [[0] * cells for _ in range(shards)]
-    if cells > 1:
-        held = {(s, c): n for s, c, n in dealt.groupBy("shard", "__cell").count().collect()}
-        for s in range(shards):
-            for c in range(1, cells):
-                starts[s][c] = starts[s][c - 1] + held.get((s, c - 1), 0)
-    start = F.get(F.get(_lookup(starts, "array<array<bigint>>"), F.col("shard")), F.col("__cell"))
-    place = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__again", "__mixed"))
-    return dealt.withColumn("slot", start + place.cast("bigint") - 1).drop("__mixed", "__again", "__cell")
+    place = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__again", "__mixed")).cast("bigint") - 1
+    if cells == 1:
+        return dealt.withColumn("slot", place).drop("__mixed", "__again", "__cell")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("n")).select("shard", "__cell", F.coalesce(before, F.lit(0)).alias("__start"))
+    dealt = dealt.withColumn("__place", place).join(maybe_broadcast(starts, "shard-starts", BROADCAST_ROWS), ["shard", "__cell"])
+    return dealt.withColumn("slot", F.col("__start") + F.col("__place")).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
