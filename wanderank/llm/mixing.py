@@ -6,9 +6,13 @@ that order, one random offset is added, and a document is emitted once for each
 passes. The copies of a source are thus as many as expected, to within one, in every length class too, so
 that its words come near the target, and no document is emitted more often than its expectation rounded up.
 
+The texts are read once, for a thin table of each row's locator, source, size and hash; all else works on that, and
+the mix itself fetches the texts by their locators, which are unique.
+
 The running sum needs no global sort: the order is cut into cells (source, length class, hash bucket), the
 cells are counted (partial aggregation), the counts are summed along the cells, and rows are ranked only
-inside their cell. A source with a third of all rows has many buckets; no task gets a whole source.
+inside their cell. A source with a third of all rows has many buckets; no task gets a whole source. There are a few
+cells for each shuffle partition, so that the sum along a source's cells stays as short however many its rows are.
 
 Defined results: a null source is a source of its own, after all others; a null, empty or blank text has
 size 0 and is emitted like others but counts no words; repeated rows are drawn one by one; an empty table
@@ -21,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_RUN, clear_of, written
+from .common import WORD_RUN, as_scan, checked, clear_of, located, maybe_broadcast, written
 
 #: Weights of the sources in code point order, null last, repeating; share of all words to take; most times a source's size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-#: Length classes per doubling of the size; rows that one cell holds about.
-CLASSES, CELL_ROWS = 8, 1_000
+#: Length classes per doubling of the size; cells for each shuffle partition, and the fewest rows that one is planned for.
+CLASSES, CELLS, CELL_ROWS = 8, 8, 64
 #: Most rows of a table of counts that is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 OWN = ("size", "source_size", "target", "taken", "copies")
@@ -67,53 +71,58 @@ def _unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """A table of counts, written once; broadcast if it is found to be small, else joined by a shuffle."""
-    kept = written(df, name)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+def _thin(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(__at, size, __src, __no, __class, __digest) and the columns ``keep`` of each row of a scan, written: the texts are read once."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))).cast("binary"))
+    source = F.col(source_col).cast("string")
+    rows = located(docs).select("__at", *keep, n_words(F.col(text_col)).alias("size"), F.coalesce(source, F.lit("")).alias("__src"), source.isNull().alias("__no"), digest.alias("__digest"))
+    return written(rows.withColumn("__class", F.floor(F.log2(F.col("size") + F.lit(1.0)) * CLASSES).cast("int")), "mix-thin")
 
 
-def expected_copies(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` = copies * size."""
-    docs = clear_of(docs, *OWN)
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))).cast("binary"))
-    sized = docs.withColumns({"size": n_words(F.col(text_col)), "__src": F.coalesce(F.col(source_col), F.lit("")), "__no": F.col(source_col).isNull(), "__digest": digest})
+def drawn(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One thin row per row of the scan ``docs``: __at, the columns ``keep``, size, source_size, target (its source's), copies and taken = copies * size."""
+    thin = _thin(docs, seed, id_col, text_col, source_col, keep)
     # (source, length class) decides the order; the number of hash buckets follows the rows of each
-    sized = sized.withColumn("__class", F.floor(F.log2(F.col("size") + F.lit(1.0)) * CLASSES).cast("int"))
     keys = ["__src", "__no", "__class"]
-    classes = written(sized.groupBy(*keys).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")), "mix-classes")
+    classes = written(thin.groupBy(*keys).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")), "mix-classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    cell_rows = max(CELL_ROWS, total // (CELLS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     source = F.when(~F.col("__no"), F.col("__src"))
     goals = targets(classes.groupBy("__src", "__no").agg(F.sum("s").alias("source_size")).withColumn("source", source)).drop("source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    buckets = F.ceil(F.col("n") / CELL_ROWS).cast("int")
-    classes = _small(classes.join(goals, ["__src", "__no"]).select(*keys, "source_size", "target", rate.alias("__rate"), buckets.alias("__buckets")), "mix-rates")
+    buckets = F.ceil(F.col("n") / cell_rows).cast("int")
+    classes = classes.join(goals, ["__src", "__no"]).select(*keys, "source_size", "target", rate.alias("__rate"), buckets.alias("__buckets"))
     bucket = F.floor(F.conv(F.substring("__digest", 1, 8), 16, 10).cast("bigint") * F.col("__buckets") / F.lit(float(1 << 32))).cast("int")
-    sized = sized.join(classes, keys).withColumn("__bucket", bucket)
-    return _drawn(sized, [*keys, "__bucket"], seed).drop(*keys, "__digest", "__rate", "__buckets", "__bucket", "__before", "__in")
-
-
-def _drawn(sized: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    cells = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    rows = thin.join(maybe_broadcast(classes, "mix-rates", BROADCAST_ROWS), keys).withColumn("__bucket", bucket)
+    cell = [*keys, "__bucket"]
     along = Window.partitionBy("__src", "__no").orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = _small(cells.select(*keys, F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before")), "mix-cells")
-    ranked = sized.join(cells, keys).withColumn("__in", F.row_number().over(Window.partitionBy(*keys).orderBy("__digest")))
-    rank = F.col("__before") + F.col("__in")
+    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).select(*cell, F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before"))
+    ranked = rows.join(maybe_broadcast(cells, "mix-cells", BROADCAST_ROWS), cell).withColumn("__in", F.row_number().over(Window.partitionBy(*cell).orderBy("__digest")))
     offset = _unit(F.lit(f"offset {seed}"), F.col("__src"), F.col("__no").cast("string"))
     passed = lambda r: F.floor(offset + F.col("__rate") * r.cast("double"))
-    copies = (passed(rank) - passed(rank - 1)).cast("int")
-    return ranked.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("bigint"))
+    rank = F.col("__before") + F.col("__in")
+    ranked = ranked.withColumn("copies", (passed(rank) - passed(rank - 1)).cast("int"))
+    return ranked.select("__at", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def expected_copies(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` = copies * size."""
+    docs = as_scan(clear_of(docs, *OWN, "__at"))
+    return located(docs).join(checked(written(drawn(docs, seed, id_col, text_col, source_col), "mix-drawn"), BROADCAST_ROWS), "__at").drop("__at")
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: every document as often as it was drawn, with the columns of ``docs``."""
-    drawn = expected_copies(docs, seed).where("copies > 0")
-    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = as_scan(clear_of(docs, "__at"))
+    copies = checked(written(drawn(docs, seed).where("copies > 0").select("__at", F.col("copies").alias("__copies")), "mix-drawn"), BROADCAST_ROWS)
+    rows = located(docs).join(copies, "__at")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The contract's rows for op5."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return expected_copies(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return drawn(docs, keep=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: The same mix in DuckDB's SQL.
