@@ -18,6 +18,7 @@ an empty benchmark leaves all documents clean; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, bounded_batches, clear_of, located, maybe_broadcast, written
+from .common import as_scan, clear_of, located, maybe_broadcast, written
 
 #: Words of a k-gram, hashes of a winnowing window, and words of a span that is always found.
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
 BLOCK_BYTES = 16 << 20
 #: Characters that are scanned at once, and words that a task remembers the hashes of.
-SLICE_CHARS, MEMO_WORDS = 2_000_000, 1_000_000
+SLICE_CHARS, MEMO_WORDS, MEMO_LENGTH = 2_000_000, 1_000_000, 64
 BROADCAST_ROWS = 100_000
 
 #: Bytes of words stay, A-Z become a-z, others become a space: word bytes are 0-9, a-z and all beyond ASCII.
@@ -47,12 +48,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Hashes(dict):
-    """Word -> 64-bit hash, remembered."""
+    """Word -> 64-bit hash, remembered for words of usual length."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_LENGTH:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -222,13 +225,12 @@ def _scan(rows: DataFrame, index, text_col: str) -> DataFrame:
             )
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), HITS])
-    bounded_batches(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The items in blocks of about ``block_bytes`` of text."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    """The distinct items in blocks of about ``block_bytes`` of text."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n_bytes // block_bytes))
     return [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks)]
@@ -238,15 +240,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: id, locator ``__at``, n_words, runs (hit words, [start, end)), items (sorted ids)."""
     rows = located(as_scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     context, parts = docs.sparkSession.sparkContext, []
-    for block in benchmark_blocks(benchmark, block_bytes=block_bytes):
+    blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
+    for block in blocks:
         index = context.broadcast(Index([tuple(r) for r in block.collect()]))
-        parts.append(_scan(rows, index, "text"))
-    if len(parts) == 1:
-        return parts[0]
-    all_rows, found = parts[0].select("__at", "id", "n_words"), None
-    for k, part in enumerate(parts):
-        part = written(part.where(F.size("runs") > 0).select("__at", "runs", "items"), f"winnow-{k}")
-        found = part if found is None else found.unionByName(part)
+        part = _scan(rows, index, "text")
+        if len(blocks) == 1:
+            return part
+        if not parts:
+            counts = written(part.select("__at", "id", "n_words", "runs", "items"), "winnow-first")
+            part = counts
+        parts.append(written(part.where(F.size("runs") > 0).select("__at", "runs", "items"), "winnow-hits"))
+        index.destroy()
+    all_rows, found = counts.select("__at", "id", "n_words"), functools.reduce(DataFrame.unionByName, parts)
     found = found.groupBy("__at").agg(F.flatten(F.collect_list("runs")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     step = F.aggregate(
         F.array_sort("all"),
