@@ -11,9 +11,11 @@ parts of usual pages (menus, headers, adverts, notices, forms, sidebars, article
 comments, footers), with words drawn from several alphabets so that it learns structure rather than topics.
 
 Defined results: a null or empty page, or one without article blocks, gives an empty text; scripts, styles,
-templates and comments are no blocks; a tag or comment that the end of the page cuts off is dropped;
-character references are decoded by the HTML5 rules; a page of any length is read whole; repeated rows are read
-each; an empty table gives no rows; extra columns pass through.
+templates and comments are no blocks (nor drawings and scriptless fallbacks that are closed); a tag or comment that
+the end of the page cuts off is dropped; character references are decoded by the HTML5 rules; a page of any length,
+depth and number of blocks is read whole: an element's path is a pointer to its parent's, and the network goes through
+long pages in slices that hand on its state; repeated rows are read each; an empty table gives no rows; extra
+columns pass through, but input columns named ``text`` or ``n_chars`` (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -30,33 +32,76 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clear_of
+from .common import clear_of
 
 #: Hash sizes and dimensions of the path and word vectors, number of text measures, hidden units of a direction.
 PATHS, PATH_DIM, WORDS, WORD_DIM, MEASURES, HIDDEN = 1024, 16, 2048, 6, 8, 16
 TRAIN_PAGES, PASSES, BATCH, RATE, SEED = 700, 10, 32, 0.01, 5
 THRESHOLD = 0.5
-#: Blocks that are scored at once.
-SLICE_BLOCKS = 40_000
-MEMO = 200_000
+#: Blocks that are scored at once, blocks of a slice of a longer page, and characters from which on a text is not split into a list.
+SLICE_BLOCKS, SLICE_STEPS, LONG_TEXT = 40_000, 4096, 500_000
+#: Paths and words that a task remembers, the latter of usual length.
+MEMO, MEMO_LENGTH = 200_000, 64
 
 # Names of HTML elements (fixed values).
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-RAW_TAGS = frozenset("script style template noscript svg math textarea object canvas".split())
+RAW_TAGS, CLOSED_RAW_TAGS = frozenset("script style template textarea".split()), frozenset("noscript svg".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
-PUNCTUATION = re.compile(r"[.,;:!?…]")
+MARKS = ".,;:!?…"
+PUNCTUATION, SPACES, NO_SPACES = re.compile(f"[{MARKS}]"), re.compile(r"\s+"), re.compile("[^ ]+")
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """Leaf blocks of a page: (path names from the root, text, share of it that is linked)."""
-    page = page or ""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Path:
+    """An open element: its parent's path and the hashed names along it, shared with the parent where it adds none."""
+
+    __slots__ = ("ids", "last", "names", "vector_ids")
+
+    def __init__(self, above: Path | None, tag: str, own: tuple[str, ...]):
+        ids = frozenset(_hash(n, PATHS) for n in own)
+        if above is not None:
+            ids = above.ids if ids <= above.ids else above.ids | ids
+        self.ids, self.last, self.vector_ids = ids, _hash("last " + tag, PATHS), None
+
+    def numbers(self) -> np.ndarray:
+        if self.vector_ids is None:
+            self.vector_ids = np.array(sorted(self.ids | {self.last}), np.int64)
+        return self.vector_ids
+
+
+class Paths(dict):
+    """Paths by (parent, names), remembered across pages."""
+
+    def of(self, above: Path | None, tag: str, own: tuple[str, ...]) -> Path:
+        key = (above, own)
+        found = self.get(key)
+        if found is None:
+            if len(self) >= MEMO:
+                self.clear()
+            found = self[key] = Path(above, tag, own)
+        return found
+
+
+def _plain(raw: str) -> str:
+    """Character references decoded, each run of white space as one space, trimmed."""
+    text = html.unescape(raw)
+    return " ".join(text.split()) if len(text) < LONG_TEXT else SPACES.sub(" ", text).strip(" ")
+
+
+Block = tuple[Path | None, str, float]
+
+
+def blocks(page: str | None, paths: Paths | None = None) -> list[Block]:
+    """Leaf blocks of a page: (path, text, share of it that is linked)."""
+    page, paths = page or "", Paths() if paths is None else paths
+    out: list[Block] = []
+    stack: list[tuple[str, Path]] = []
+    opened: dict[str, int] = {}  # how many of each tag are on the stack
+    shut_at: dict[str, int] = {}  # where the next closing tag of a name was last found; the end of the page if there is none
     parts: list[str] = []
     linked, in_link, at, end = 0, 0, 0, len(page)
 
@@ -64,12 +109,17 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         nonlocal linked
         if parts:
             raw = "".join(parts)
-            text = " ".join(html.unescape(raw).split())
+            text = _plain(raw)
             if text:
-                out.append((stack[-1][1] if stack else (), text, min(1.0, linked / max(1, len(raw)))))
+                out.append((stack[-1][1] if stack else None, text, min(1.0, linked / max(1, len(raw)))))
             parts.clear()
         linked = 0
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     while at < end:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else end]
@@ -84,10 +134,15 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if not name:
             continue
         closing = bool(m[1] or m[4])
-        if name in RAW_TAGS:
+        if name in RAW_TAGS or name in CLOSED_RAW_TAGS:
             if not closing and not (m[3] or "").endswith("/"):
-                stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                at = stop.end() if stop else end
+                if shut_at.get(name, -1) < at:
+                    stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                    shut_at[name] = stop.end() if stop else end + 1
+                if shut_at[name] <= end:
+                    at = shut_at[name]
+                elif name in RAW_TAGS:
+                    at = end
             continue
         if name == "a":
             in_link = 0 if closing else 1
@@ -98,21 +153,22 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         flush()
         if closing:
-            if any(tag == name for tag, _ in stack):
-                while stack.pop()[0] != name:
+            if opened.get(name):
+                while pop() != name:
                     pass
             in_link = 0
         elif name not in VOID_TAGS:
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             while stack and stack[-1][0] in SELF_CLOSING.get(name, ()):
-                stack.pop()
+                pop()
             attributes = (m[3] or m[6] or "").lower()
             own = [name]
             for value in NAMES.findall(attributes) if attributes else ():
-                own += [f"{name}.{n}" for n in NAME.findall("".join(value))] + ["." + n for n in NAME.findall("".join(value))]
-            above = stack[-1][1] if stack else ()
-            stack.append((name, above + tuple(own)))
+                for n in NAME.findall("".join(value)):
+                    own += (f"{name}.{n}", "." + n)
+            stack.append((name, paths.of(stack[-1][1] if stack else None, name, tuple(own))))
+            opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 
@@ -125,40 +181,45 @@ class Features:
     """Vectors of blocks, remembering paths and words."""
 
     def __init__(self):
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.paths = Paths()
         self.words: dict[str, int] = {}
 
-    def path(self, names: tuple[str, ...]) -> np.ndarray:
-        ids = self.paths.get(names)
-        if ids is None:
-            if len(self.paths) >= MEMO:
-                self.paths.clear()
-            last = [i for i, n in enumerate(names) if "." not in n]
-            ids = self.paths[names] = np.array(sorted({_hash(n, PATHS) for n in names} | ({_hash("last " + names[last[-1]], PATHS)} if last else set()) or {0}), np.int64)
-        return ids
-
     def word(self, word: str) -> int:
         n = self.words.get(word)
         if n is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            n = self.words[word] = _hash(word, WORDS)
+            n = _hash(word, WORDS)
+            if len(word) <= MEMO_LENGTH:
+                if len(self.words) >= MEMO:
+                    self.words.clear()
+                self.words[word] = n
         return n
 
-    def of(self, pages: list[list[tuple[tuple[str, ...], str, float]]]):
-        """Path ids, word ids (each with the rows they belong to) and measures of all blocks."""
-        paths, words, sizes, measures = [], [], [], []
+    def _words(self, text: str) -> np.ndarray:
+        text = text.lower()
+        tokens = text.split(" ") if len(text) < LONG_TEXT else (m[0] for m in NO_SPACES.finditer(text))
+        return np.fromiter(map(self.word, tokens), np.int64)
+
+    def of(self, pages: list[list[Block]], first: int = 0, total: int | None = None):
+        """Ids of the distinct paths and which of these each block has, word ids (with the blocks' sizes) and measures of all blocks.
+
+        first, total: of a part of one page, the place of its first block and the number of the page's blocks.
+        """
+        number: dict[Path | None, int] = {}
+        path, words, sizes, measures = [], [], [], []
         for page in pages:
-            total = len(page)
-            for k, (names, text, linked) in enumerate(page):
-                paths.append(self.path(names))
-                tokens = text.lower().split(" ")
-                words += map(self.word, tokens)
-                sizes.append(len(tokens))
-                n = len(text)
-                measures.append((min(1.0, np.log1p(n) / 8), linked, min(1.0, len(tokens) / 20), min(1.0, len(PUNCTUATION.findall(text)) / (1 + len(tokens)) * 4), float(text[-1] in ".!?:…\"'”"), k / total, (total - k) / total, 1.0))
-        widths = np.array([len(p) for p in paths], np.int64)
-        return (np.concatenate(paths) if paths else np.empty(0, np.int64), widths, np.array(words, np.int64), np.array(sizes, np.int64), np.array(measures, np.float64).reshape(-1, MEASURES))
+            n = total or len(page)
+            for k, (own, text, linked) in enumerate(page, first):
+                path.append(number.setdefault(own, len(number)))
+                ids = self._words(text)
+                words.append(ids)
+                size, chars = max(1, len(ids)), len(text)
+                sizes.append(size)
+                marks = len(PUNCTUATION.findall(text)) if chars < LONG_TEXT else sum(map(text.count, MARKS))
+                measures.append((min(1.0, np.log1p(chars) / 8), linked, min(1.0, size / 20), min(1.0, marks / (1 + size) * 4), float(text[-1] in ".!?:…\"'”"), k / n, (n - k) / n, 1.0))
+        ids = [own.numbers() if own is not None else np.zeros(1, np.int64) for own in number]
+        widths = np.array([len(p) for p in ids], np.int64)
+        flat = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+        return flat(ids), widths, np.array(path, np.int64), flat(words), np.array(sizes, np.int64), np.array(measures, np.float64).reshape(-1, MEASURES)
 
 
 def _sigmoid(x):
@@ -174,11 +235,12 @@ class Lstm:
         self.b[hidden : 2 * hidden] = 1.0
         self.h = hidden
 
-    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """x: (time, batch, inputs); states of padded steps stay as they were."""
+    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False, state=None):
+        """x: (time, batch, inputs); states of padded steps stay as they were. Returns outputs, tape and the last state."""
         steps, batch, inputs = x.shape
         n = self.h
-        h, c, out, tape = np.zeros((batch, n)), np.zeros((batch, n)), np.empty((steps, batch, n)), []
+        h, c = state if state is not None else (np.zeros((batch, n)), np.zeros((batch, n)))
+        out, tape = np.empty((steps, batch, n)), []
         projected = x.reshape(-1, inputs) @ self.w[:inputs]
         projected = projected.reshape(steps, batch, -1) + self.b
         for t in range(steps):
@@ -194,7 +256,7 @@ class Lstm:
             c = np.where(live, new_c, c)
             h = np.where(live, o * tanh_c, h)
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def back(self, x, mask, tape, d_out):
         steps, batch, inputs = x.shape
@@ -231,8 +293,8 @@ class Labeller:
         self.bias = np.zeros(1)
 
     def vectors(self, features) -> np.ndarray:
-        paths, widths, words, sizes, measures = features
-        a = np.add.reduceat(self.path_vectors[paths], np.cumsum(widths) - widths) / np.sqrt(widths)[:, None]
+        paths, widths, path, words, sizes, measures = features
+        a = (np.add.reduceat(self.path_vectors[paths], np.cumsum(widths) - widths) / np.sqrt(widths)[:, None])[path]
         b = np.add.reduceat(self.word_vectors[words], np.cumsum(sizes) - sizes) / sizes[:, None]
         return np.concatenate((a, b, measures), axis=1)
 
@@ -252,13 +314,29 @@ class Labeller:
         time, page, mask = self._grid(counts)
         x = np.zeros((*mask.shape, v.shape[1]))
         x[time, page] = v
-        fore, tape_a = self.ahead.run(x, mask, keep)
+        fore, tape_a, _ = self.ahead.run(x, mask, keep)
         # from the end: padded steps come first there and leave the state at zero
-        back, tape_b = self.behind.run(x[::-1], mask[::-1], keep)
+        back, tape_b, _ = self.behind.run(x[::-1], mask[::-1], keep)
         both = np.concatenate((fore[time, page], back[::-1][time, page], v), axis=1)
         p = _sigmoid(both @ self.out + self.bias)
         return (p, (time, page, mask, x, both, tape_a, tape_b)) if keep else p
 
+    def long_scores(self, features: Features, page: list[Block], step: int = SLICE_STEPS) -> np.ndarray:
+        """P(article) of each block of one page, slice by slice in both directions; a slice hands its state to the next."""
+        starts = range(0, len(page), step)
+        z = np.full(len(page), self.bias[0])
+        for ahead in (True, False):
+            state, net = None, self.ahead if ahead else self.behind
+            own = self.out[:HIDDEN] if ahead else self.out[HIDDEN : 2 * HIDDEN]
+            for a in starts if ahead else reversed(starts):
+                part = page[a : a + step]
+                v = self.vectors(features.of([part], a, len(page)))
+                x = (v if ahead else v[::-1])[:, None, :]
+                out, _, state = net.run(x, np.ones((len(part), 1), bool), state=state)
+                told = out[:, 0] @ own
+                z[a : a + step] += told + v @ self.out[2 * HIDDEN :] if ahead else told[::-1]
+        return _sigmoid(z)
+
     def trained(self, pages: list[tuple[list, np.ndarray]], seed: int = SEED) -> Labeller:
         rng, memory, moments = np.random.default_rng(seed), Features(), {}
         names = ("path_vectors", "word_vectors", "aw", "ab", "bw", "bb", "out", "bias")
@@ -277,9 +355,11 @@ class Labeller:
                 aw, ab, dx_a = self.ahead.back(x, mask, tape_a, d_fore)
                 bw, bb, dx_b = self.behind.back(x[::-1], mask[::-1], tape_b, d_back[::-1])
                 dv = d_both[:, 2 * HIDDEN :] + dx_a[time, page] + dx_b[::-1][time, page]
-                paths, widths, words, sizes, _ = features
+                paths, widths, path, words, sizes, _ = features
                 d_path, d_word = np.zeros_like(self.path_vectors), np.zeros_like(self.word_vectors)
-                np.add.at(d_path, paths, np.repeat(dv[:, :PATH_DIM] / np.sqrt(widths)[:, None], widths, axis=0))
+                d_own = np.zeros((len(widths), PATH_DIM))
+                np.add.at(d_own, path, dv[:, :PATH_DIM])
+                np.add.at(d_path, paths, np.repeat(d_own / np.sqrt(widths)[:, None], widths, axis=0))
                 np.add.at(d_word, words, np.repeat(dv[:, PATH_DIM : PATH_DIM + WORD_DIM] / sizes[:, None], sizes, axis=0))
                 step += 1
                 grads = dict(zip(names, (d_path, d_word, aw, ab, bw, bb, both.T @ error, np.array([error.sum()])), strict=True))
@@ -443,8 +523,12 @@ def trained_labeller() -> Labeller:
 
 def main_texts(pages: list[str | None], model: Labeller, features: Features) -> list[str]:
     """The main text of each page."""
-    cut = [blocks(p) for p in pages]
+    cut = [blocks(p, features.paths) for p in pages]
     out = [""] * len(pages)
+    for i, page in enumerate(cut):
+        if len(page) > SLICE_BLOCKS:
+            out[i] = "\n\n".join(text for (_, text, _), q in zip(page, model.long_scores(features, page), strict=True) if q >= THRESHOLD)
+            cut[i] = []
     # pages of like length run side by side
     order, first = sorted((i for i, c in enumerate(cut) if c), key=lambda i: len(cut[i])), 0
     while first < len(order):
@@ -475,7 +559,6 @@ def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield b[names].assign(text=main_texts(b[html_col].tolist(), model.value, features))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string"])
-    bounded_batches(pages.sparkSession, 256)
     return pages.mapInPandas(run, schema).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
