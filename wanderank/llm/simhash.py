@@ -1,14 +1,18 @@
-"""SimHash near-duplicates: candidates in buckets of equal blocks, pivot distance tables, verified links, components.
+"""SimHash near-duplicates: pivot distance tables, their cells, verified links, components.
 
 Each document gets a 64-bit fingerprint of the XXH64 values of its 3-word shingles. Equal fingerprints are
-one node from then on, so that exact copies (a third of all rows, say) weigh as one. Fingerprints that
-differ in at most 3 bits agree in at least ``blocks - 3`` of ``blocks`` blocks; for each such choice of
-blocks a fingerprint goes into one bucket. Within a bucket the distances of every fingerprint to fixed
-reference fingerprints (pivots) are tabulated; by the triangle inequality a pair whose distances to some
-pivot differ by more than 3 can't be a link and is discarded, and the survivors are verified bit by bit.
-The blocks get more, and thus the buckets smaller, as the number of fingerprints grows.
-
-A bucket of more than ``HOT`` fingerprints is not compared pair by pair: x and y are within 3 bits if and
+one node from then on, so that exact copies (a third of all rows, say) weigh as one.
+
+The fingerprint is cut into blocks, and each block has ``REFERENCES`` reference fingerprints (pivots). A row of the
+distance table holds the Hamming distances of a fingerprint to all of them, each over the reference's block. By the
+triangle inequality the largest difference of two fingerprints' coordinates in a block is at most their distance
+there, so the sum of these differences over the blocks is at most their distance: a pair for which it is more than
+3 is discarded, the survivors are verified bit by bit. It also follows that fingerprints within 3 bits have
+equal coordinates in all but 3 blocks; for each choice of these blocks the table's equal cells propose pairs, so
+that no pass over all pairs is needed. The blocks get more, and thus the cells smaller, as the fingerprints do.
+
+A cell of more than ``HOT`` fingerprints is not compared pair by pair: its fingerprints go through a finer table
+(``FINE`` blocks), and those of cells that are still hot are joined exactly: x and y are within 3 bits if and
 only if some z is within 2 bits of x and 1 of y, so that a join on z finds the same components from a fixed
 number of rows per fingerprint. A task hands on a spanning forest of its links, and the components come from
 alternating large-star and small-star rounds, each written to the shared folder.
@@ -20,8 +24,10 @@ fall into one component, of which one row stays; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +36,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, bounded_batches, clear_of, located, maybe_broadcast, removed, scratch_path, written
+from .common import as_scan, clear_of, located, maybe_broadcast, removed, scratch_path, written
 
 SHINGLE, SEED, BITS = 3, 42, 3
-#: Reference fingerprints, and the most fingerprints of a bucket that are compared pair by pair.
-PIVOTS, HOT = 12, 4096
+#: Reference fingerprints of a block, blocks of the finer table, and the most fingerprints of a cell that are compared pair by pair.
+REFERENCES, FINE, HOT = 8, 10, 4096
 BROADCAST_ROWS = 100_000
 #: Shingles whose bits are counted at once.
 LANE_ROWS = 255
@@ -85,31 +91,43 @@ def fingerprints(rows: DataFrame, text_col: str = "text") -> DataFrame:
             yield b[names].assign(fp=fp)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp bigint"])
-    bounded_batches(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 
-def block_plan(n: int) -> tuple[int, list[int]]:
-    """Blocks of the fingerprint and how many of them must agree, so that a bucket by chance holds about one of ``n``."""
-    for blocks in (5, 6, 7):
-        if n <= 2 ** (64 * (blocks - BITS) // blocks + 1):
-            break
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    return blocks - BITS, edges
+def block_plan(n: int) -> int:
+    """Blocks of the fingerprint, so that a cell by chance holds few of ``n`` (a block tells at least one bit less than it has)."""
+    return next((blocks for blocks in (5, 6, 7) if n <= 2 ** ((64 // blocks - 1) * (blocks - BITS) + 1)), 7)
+
+
+@functools.lru_cache(maxsize=8)
+def references(blocks: int) -> list[tuple[int, list[int]]]:
+    """For each block its mask and its reference fingerprints, which are zero elsewhere."""
+    rng, edges = random.Random(64), [64 * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(edges)]
+    return [(m, [rng.getrandbits(64) & m for _ in range(REFERENCES)]) for m in masks]
+
+
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
 
 
-def bucket_keys(fp: Column, n: int) -> Column:
-    """One bucket id per choice of agreeing blocks: the choice's number, then the blocks' bits."""
-    agree, edges = block_plan(n)
-    keys = []
-    for number, chosen in enumerate(itertools.combinations(range(len(edges) - 1), agree)):
-        key = F.lit(number).cast("bigint")
-        for c in chosen:
-            width = edges[c + 1] - edges[c]
-            part = F.shiftrightunsigned(fp, edges[c]).bitwiseAND(F.lit((1 << width) - 1))
-            key = F.shiftleft(key, width).bitwiseOR(part)
-        keys.append(key)
-    return F.array(*keys)
+def cells(fps: DataFrame, blocks: int) -> DataFrame:
+    """(cell, fp): one cell per choice of blocks, the hash of the choice's number and of the coordinates to all references of these blocks."""
+    fp, tables = F.col("fp"), []
+    for mask, own in references(blocks):
+        # four bits for each coordinate, as no block has more than 15 bits
+        parts = [F.bit_count(fp.bitwiseXOR(F.lit(_signed(r))).bitwiseAND(F.lit(_signed(mask)))).cast("bigint") for r in own]
+        tables.append(functools.reduce(lambda a, c: F.shiftleft(a, 4).bitwiseOR(c), parts).alias(f"t{len(tables)}"))
+    chosen = itertools.combinations(range(blocks), blocks - BITS)
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"t{c}") for c in some]) for k, some in enumerate(chosen)])
+    return fps.select("fp", *tables).select(F.explode(keys).alias("cell"), "fp")
+
+
+def distance_table(fp: np.ndarray, blocks: int) -> np.ndarray:
+    """(fingerprint, block, reference): the distances over the reference's block."""
+    masks = np.array([m for m, _ in references(blocks)], np.uint64)
+    points = np.array([own for _, own in references(blocks)], np.uint64)
+    return np.bitwise_count((fp[:, None, None] ^ points[None]) & masks[None, :, None]).astype(np.int8)
 
 
 class Forest:
@@ -132,19 +150,16 @@ class Forest:
         return True
 
 
-def _pivots(n: int = PIVOTS) -> np.ndarray:
-    return np.random.default_rng(64).integers(0, 1 << 64, n, dtype=np.uint64)
-
-
-def close_pairs(bucket: np.ndarray, fp: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of rows of one bucket within BITS bits; rows are sorted by bucket."""
-    table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+def close_pairs(cell: np.ndarray, fp: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of rows of one cell within BITS bits; rows are sorted by cell."""
+    table = distance_table(fp, blocks)
     found, live, lag = [], np.arange(len(fp)), 0
     while len(live):
         lag += 1
         live = live[live + lag < len(fp)]
-        live = live[bucket[live] == bucket[live + lag]]
-        near = live[np.abs(table[live] - table[live + lag]).max(axis=1, initial=0) <= BITS]
+        live = live[cell[live] == cell[live + lag]]
+        apart = np.abs(table[live] - table[live + lag]).max(axis=2).sum(axis=1, dtype=np.int64)
+        near = live[apart <= BITS]
         near = near[np.bitwise_count(fp[near] ^ fp[near + lag]) <= BITS]
         found.append((near, near + lag))
     if not found:
@@ -152,15 +167,15 @@ def close_pairs(bucket: np.ndarray, fp: np.ndarray, pivots: np.ndarray) -> tuple
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _bucket_links(hot: int):
-    """For rows sorted by bucket: (a, b) links, or (a, null) for each fingerprint of a hot bucket."""
+def _cell_links(hot: int, blocks: int):
+    """For rows sorted by cell: (a, b) links, or (a, null) for each fingerprint of a hot cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, forest = _pivots(), Forest()
-        held_b, held_f, hot_bucket = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        forest = Forest()
+        held_b, held_f, hot_cell = np.empty(0, np.int64), np.empty(0, np.uint64), None
 
         def told(b: np.ndarray, f: np.ndarray):
-            i, j = close_pairs(b, f, pivots)
+            i, j = close_pairs(b, f, blocks)
             pairs = [(x, y) for x, y in zip(f[i].view(np.int64).tolist(), f[j].view(np.int64).tolist(), strict=True) if forest.joins(x, y)]
             return pd.DataFrame({"a": np.array([p[0] for p in pairs], np.int64), "b": pd.array([p[1] for p in pairs], "Int64")})
 
@@ -168,25 +183,25 @@ def _bucket_links(hot: int):
             return pd.DataFrame({"a": f.view(np.int64), "b": pd.array([None] * len(f), "Int64")})
 
         for batch in batches:
-            b = np.concatenate((held_b, batch["bucket"].to_numpy(np.int64)))
+            b = np.concatenate((held_b, batch["cell"].to_numpy(np.int64)))
             f = np.concatenate((held_f, batch["fp"].to_numpy(np.int64).view(np.uint64)))
             if not len(b):
                 continue
-            # the last bucket of the batch may go on in the next one
+            # the last cell of the batch may go on in the next one
             first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
             sizes = np.diff(np.concatenate((first, [len(b)])))
             is_hot = sizes > hot
-            if hot_bucket is not None and len(first) and b[0] == hot_bucket:
+            if hot_cell is not None and b[0] == hot_cell:
                 is_hot[0] = True
             mask = np.repeat(is_hot, sizes)
             if mask.any():
                 yield handed(f[mask])
-                hot_bucket = b[-1] if mask[-1] else None
-            b, f = b[~mask], f[~mask]
-            cut = np.searchsorted(b, b[-1]) if len(b) and not mask[-1] else len(b)
-            if cut:
-                yield told(b[:cut], f[:cut])
-            held_b, held_f = b[cut:], f[cut:]
+            hot_cell = b[-1] if mask[-1] else None
+            cut = first[-1] if not mask[-1] else len(b)
+            done = np.flatnonzero(~mask[:cut])
+            if len(done):
+                yield told(b[done], f[done])
+            held_b, held_f = (b[cut:], f[cut:]) if not mask[-1] else (b[:0], f[:0])
         if len(held_b):
             yield told(held_b, held_f)
 
@@ -196,7 +211,7 @@ def _bucket_links(hot: int):
 def _masks(bits: int) -> list[int]:
     """All 64-bit words with at most ``bits`` bits set, as signed numbers."""
     words = [sum(1 << i for i in c) for k in range(bits + 1) for c in itertools.combinations(range(64), k)]
-    return [w - (1 << 64) if w >> 63 else w for w in words]
+    return [_signed(w) for w in words]
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
@@ -209,34 +224,42 @@ def ball_links(fps: DataFrame) -> DataFrame:
 def links(distinct_fps: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``fp`` within 3 bits."""
     spark = distinct_fps.sparkSession
-    rows = distinct_fps.select(F.explode(bucket_keys(F.col("fp"), n)).alias("bucket"), "fp")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 200_000))
-    found = written(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_bucket_links(hot), "a bigint, b bigint"), "simhash-links")
-    crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    sure = found.where("b is not null")
-    return sure if crowded.isEmpty() else sure.unionByName(written(ball_links(crowded), "simhash-balls"))
+    parts, found = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 200_000)), None
+    for blocks in (block_plan(n), FINE):
+        rows = cells(distinct_fps, blocks).repartition(parts, "cell").sortWithinPartitions("cell")
+        told = written(rows.mapInPandas(_cell_links(hot, blocks), "a bigint, b bigint"), "simhash-links")
+        sure = told.where("b is not null")
+        found = sure if found is None else found.unionByName(sure)
+        crowded = told.where("b is null")
+        if crowded.isEmpty():
+            return found
+        distinct_fps = written(crowded.select(F.col("a").alias("fp")).distinct(), "simhash-crowded")
+    return found.unionByName(written(ball_links(distinct_fps), "simhash-balls"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of ``edges`` (a, b); root is the component's smallest node."""
+    """(node, root) for each node of ``edges`` (a, b); root is the component's smallest node.
+
+    A node with very many neighbours is a hot key of the joins; its table of minima is written (or broadcast, if small),
+    so that Spark can split what it is joined with.
+    """
     spark = edges.sparkSession
-    path, mark = None, None
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "simhash-edges")
+    size, mark = pairs.count(), None
+    table = (lambda df: F.broadcast(df)) if size <= BROADCAST_ROWS else (lambda df: written(df, "simhash-low"))
     while True:
         # large star: neighbours above a node go to its smallest neighbour
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its neighbours below go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = scratch_path(spark, "simhash-stars")
-        small.write.parquet(new)
-        pairs = spark.read.schema("a bigint, b bigint").parquet(new)
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if path:
-            removed(spark, path)
-        path = new
+        low = table(large.groupBy("a").agg(F.min("b").alias("m")))
+        below = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, "a").select(F.explode(below).alias("e")).select("e.*").where("a <> b").distinct()
+        new = written(small, "simhash-stars")
+        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        removed(spark, pairs.scratch)
+        pairs = new
         if tuple(now) == mark:
             break
         mark = tuple(now)
@@ -247,22 +270,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: id, ``fp``, ``component_id`` and the row's locator ``__at``."""
     rows = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     prints = written(fingerprints(rows), "simhash-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     edges = links(distinct.select("fp"), distinct.count(), hot)
-    if edges.isEmpty():
-        return prints.join(distinct, "fp").withColumnRenamed("low", "component_id")
-    roots = components(edges).withColumnRenamed("node", "fp")
-    member = distinct.join(roots, "fp")
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = written(member.join(lowest, "root").select("fp", "component_id"), "simhash-linked")
-    all_fps = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return prints.join(all_fps, "fp")
+    # fingerprints of several rows, or with links; the others' component is the row itself
+    table = distinct.where("n > 1").select("fp", F.col("low").alias("component_id"))
+    if not edges.isEmpty():
+        member = written(distinct.join(components(edges).withColumnRenamed("node", "fp"), "fp"), "simhash-members")
+        lowest = maybe_broadcast(member.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest", BROADCAST_ROWS)
+        linked = written(member.join(lowest, "root").select("fp", "component_id"), "simhash-linked")
+        table = table.join(linked.select("fp"), "fp", "left_anti").unionByName(linked)
+    table = maybe_broadcast(table.withColumn("__of_many", F.lit(True)), "simhash-table", BROADCAST_ROWS)
+    own = F.when(F.col("__of_many"), F.col("component_id")).otherwise(F.col("id"))
+    return prints.join(table, "fp", "left").select("fp", "id", "__at", own.alias("component_id"))
 
 
 def without_others(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each ``g`` of ``rows`` (id, __at, g): the smallest id, at the smallest locator, stays."""
     first = rows.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("__at"))).alias("first"))
-    gone = rows.select("g", "__at").join(first, "g").where("__at <> first.__at").select("__at")
+    # places are unique, so that no group makes a hot key
+    gone = rows.select("__at").join(first.select(F.col("first.__at").alias("__at")), "__at", "left_anti")
     gone = maybe_broadcast(gone, "gone", BROADCAST_ROWS)
     return located(docs).join(gone, "__at", "left_anti").drop("__at")
 
