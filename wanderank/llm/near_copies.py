@@ -1,14 +1,22 @@
-"""Near copies by word shingles: MinHash proposes pairs, the shingle sets decide.
+"""Near copies by word shingles: sketches propose pairs, the shingle sets decide.
 
 Two texts are near copies if the sets of their 5-word shingles have a Jaccard similarity of at least 0.8; what such
-pairs connect is one component. Texts of equal sets are one node from then on. A node's sketch is a byte of
-each of 100 minima; nodes with equal bytes in one of 20 bands of 5 share a bucket, and those of a bucket whose sketches
-agree in ``LIKELY`` of the bytes are linked. What the links connect goes to one task with its texts, which parts
-it again by the sets themselves. A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^5)^20 =
-0.0004, and a more similar one with less; no pair of lower similarity is ever linked.
+pairs connect is one component. Texts of equal sets are one node from then on. Pairs are proposed by two sketches:
 
-No bucket and no group is capped. A node is compared with the nodes outside its own part alone, and the
-latest members of large parts come first, so that a large group of copies takes about one comparison per node.
+* the SimHash fingerprints of the 5-word shingles, linked by the pivot distance tables of :mod:`.simhash` at 3 bits.
+  This finds copies with few changes. Similarity 0.8 moves about 10 of 64 bits, and no pivot discards anything at
+  that radius (coordinates of unrelated fingerprints differ by 6 as a rule), so that it can't be the only net;
+* MinHash: a byte of each of 100 minima; nodes with equal bytes in one of 20 bands of 5 share a bucket. A pair of
+  similarity 0.8 shares no bucket with probability (1 - 0.8^5)^20 = 0.0004, and a more similar one with less. A pair
+  is likely if its sketches agree in ``LIKELY`` of the bytes.
+
+Likely pairs are verified by their sets: first every node of a bucket with the bucket's smallest node (the two most
+likely ones of its buckets), which joins large groups of copies, then likely pairs of nodes that are
+still in different components, ever more for each pair of components, until none is left untried.
+No pair of lower similarity is ever linked.
+
+No group comes together in a task, nor any bucket but as its sketches, where it still holds several components. A
+verifying task holds the set of one text, which is repeated for parts of its partners, and one batch of these.
 
 Defined results: null, empty and blank texts have no shingles and are copies of each other; fewer than 5 words are
 one shingle; repeated rows are copies; of rows with and without an id the one with an id stays.
@@ -17,7 +25,7 @@ one shingle; repeated rows are copies; of rows with and without an id the one wi
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,17 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, bounded_batches, clear_of, located, maybe_broadcast, written
-from .simhash import BROADCAST_ROWS, Forest, components, shingle_hashes, without_others
+from .common import as_scan, checked, clear_of, located, maybe_broadcast, written
+from .simhash import BROADCAST_ROWS, _majority, components, links, shingle_hashes, without_others
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Share of equal sketch bytes from which a pair is looked at: five standard deviations below ``SIMILAR``.
 LIKELY = 0.6
-#: Buckets of up to so many rows are compared all at once; parts of more members are tried by their latest ones first.
-SMALL, LARGE_PART, LATEST = 64, 8, 4
-#: Shingles whose minima are taken at once.
-LANE = 1024
+#: Shingles whose minima are taken at once; partners of a text that one task compares with it.
+LANE, PARTNERS = 1024, 256
+#: Pairs of two components that are tried in the first round, and how many times more in each further one.
+TRIES, MORE = 4, 8
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -68,118 +76,165 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return common >= SIMILAR * (len(a) + len(b) - common) - 1e-9
 
 
-def parts(sketches: np.ndarray, same: Callable[[int, int], bool]) -> np.ndarray:
-    """A label per row: the components of all likely pairs that are the ``same``."""
-    n = len(sketches)
-    labels, latest, count = np.full(n, -1), {}, {}
-
-    def join(i: int, j: int):
-        a, b = sorted((int(labels[i]), int(labels[j])), key=lambda r: -count[r])
-        labels[labels == b] = a
-        count[a] += count.pop(b)
-        latest[a] = (latest[a] + latest.pop(b))[-LATEST:]
-
-    for i in range(n):
-        labels[i], latest[i], count[i] = i, [i], 1
-        for r in [r for r, c in count.items() if c > LARGE_PART]:
-            hit = next((j for j in reversed(latest[r]) if same(i, j)), None)
-            if hit is not None:
-                join(i, hit)
-        others = np.flatnonzero(labels[:i] != labels[i])
-        if len(others):
-            agree = (sketches[others] == sketches[i]).sum(axis=1)
-            for k in np.argsort(-agree, kind="stable").tolist():
-                if agree[k] < LIKELY * sketches.shape[1]:
-                    break
-                if labels[others[k]] != labels[i] and same(i, int(others[k])):
-                    join(i, int(others[k]))
-    return labels
-
-
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        sets = [shingle_set(t) for t in b["text"]]
-        node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        yield b[["id", "file", "row"]].assign(node=node, sketch=[sketch(s).tobytes() if len(s) else None for s in sets])
+        node, fp, rows = [], [], []
+        for text in b["text"]:
+            hashes = shingle_hashes(text, SHINGLE)
+            own = np.unique(hashes)
+            node.append(xxhash.xxh64_intdigest(own.tobytes()))
+            fp.append(_majority(hashes) if len(hashes) else 0)
+            rows.append(sketch(own).tobytes() if len(own) else None)
+        yield b[["id", "file", "row"]].assign(node=np.array(node, np.uint64).view(np.int64), fp=np.array(fp, np.uint64).view(np.int64), sketch=rows)
 
 
 def _matrix(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BANDS * BAND_ROWS)
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
-    """Rows sorted by ``by``, so cut that all rows of a group come together."""
+def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) with their sketches -> the likely ones, with the number of equal bytes."""
+    for p in batches:
+        agree = (_matrix(list(p["sa"])) == _matrix(list(p["sb"]))).sum(axis=1)
+        likely = agree >= LIKELY * BANDS * BAND_ROWS
+        yield pd.DataFrame({"a": p["a"].to_numpy(np.int64)[likely], "b": p["b"].to_numpy(np.int64)[likely], "agree": agree[likely]})
+
+
+def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (b, salt), the text of b itself first (``lead``) -> the pairs that are alike."""
+    now, own = None, np.empty(0, np.uint64)
+    for p in batches:
+        out = []
+        for a, b, lead, text in zip(p["a"].tolist(), p["b"].tolist(), p["lead"].tolist(), p["text"], strict=True):
+            if lead:
+                if b != now:
+                    now, own = b, shingle_set(text)
+            elif alike(shingle_set(text), own):
+                out.append((a, b))
+        yield pd.DataFrame({"a": np.array([x[0] for x in out], np.int64), "b": np.array([x[1] for x in out], np.int64)})
+
+
+def _groups_of(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``by``, group by group."""
     held: list[pd.DataFrame] = []
     for b in batches:
         if not len(b):
             continue
-        last = b[by].iloc[-1]
-        cut = int((b[by] != last).sum())
-        if held and (cut or held[0][by].iloc[0] != last):
-            yield pd.concat([*held, b.iloc[:cut]])
-            held = []
-        elif cut:
-            yield b.iloc[:cut]
-        held.append(b.iloc[cut:])
+        key = b[by].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
+        for at, end in zip(first, [*first[1:], len(b)], strict=True):
+            part = b.iloc[at:end]
+            if held and held[0][by].iloc[0] != key[at]:
+                yield pd.concat(held)
+                held = []
+            held.append(part)
     if held:
         yield pd.concat(held)
 
 
-def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    forest, least = Forest(), LIKELY * BANDS * BAND_ROWS
-    for b in _whole_groups(batches, "bucket"):
-        bucket, node, rows = b["bucket"].to_numpy(np.int64), b["node"].to_numpy(np.int64), _matrix(list(b["sketch"]))
-        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        sizes = np.diff(np.concatenate((first, [len(bucket)])))
-        pairs, live, lag = [], np.flatnonzero(np.repeat(sizes <= SMALL, sizes)), 0
-        while len(live):
-            lag += 1
-            live = live[live + lag < len(bucket)]
-            live = live[bucket[live] == bucket[live + lag]]
-            near = live[(rows[live] == rows[live + lag]).sum(axis=1) >= least]
-            pairs += zip(node[near].tolist(), node[near + lag].tolist(), strict=True)
-        for at, n in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            own = rows[at : at + n]
-            labels = parts(own, lambda i, j, own=own: (own[i] == own[j]).sum() >= least)
-            pairs += zip(node[at : at + n].tolist(), node[at + labels].tolist(), strict=True)
-        new = [p for p in pairs if forest.joins(*p)]
-        yield pd.DataFrame({"a": np.array([p[0] for p in new], np.int64), "b": np.array([p[1] for p in new], np.int64)})
-
-
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in _whole_groups(batches, "root"):
-        root, node, texts = b["root"].to_numpy(np.int64), b["node"].to_numpy(np.int64), b["text"].to_numpy()
-        first = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1]))).tolist()
-        heads = []
-        for at, end in zip(first, [*first[1:], len(root)], strict=True):
-            sets = [shingle_set(t) for t in texts[at:end]]
-            heads.append(at + parts(np.stack([sketch(s) for s in sets]), lambda i, j, sets=sets: alike(sets[i], sets[j])))
-        yield pd.DataFrame({"node": node, "head": node[np.concatenate(heads)]})
+def _across(tries: int):
+    """Likely pairs of nodes of one bucket and different components: for each two components the most likely ``tries``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups_of(batches, "bucket"):
+            node, label, rows = g["node"].to_numpy(np.int64), g["label"].to_numpy(np.int64), _matrix(list(g["sketch"]))
+            _, label = np.unique(label, return_inverse=True)
+            # the largest component comes last and isn't gone through
+            order = np.lexsort((label, np.bincount(label)[label]))
+            node, label, rows = node[order], label[order], rows[order]
+            pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+            for i in range(int((label != label[-1]).sum())):
+                agree = (rows[i + 1 :] == rows[i]).sum(axis=1)
+                for j in (i + 1 + np.flatnonzero((agree >= LIKELY * rows.shape[1]) & (label[i + 1 :] != label[i]))).tolist():
+                    pairs.setdefault((min(label[i], label[j]), max(label[i], label[j])), []).append((-int(agree[j - i - 1]), i, j))
+            chosen = [(p, len(found) > tries) for found in pairs.values() for p in sorted(found)[:tries]]
+            yield pd.DataFrame({"a": node[[p[1] for p, _ in chosen]] if chosen else np.empty(0, np.int64), "b": node[[p[2] for p, _ in chosen]] if chosen else np.empty(0, np.int64), "more": np.array([m for _, m in chosen], bool)})
+
+    return run
+
+
+class Copies:
+    """The nodes of a corpus and the links between them."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        self.spark = docs.sparkSession
+        self.docs = located(as_scan(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+        kind = self.docs.schema["id"].dataType.simpleString()
+        flat = self.docs.select("id", "__at.file", "__at.row", "text").mapInPandas(_sketched, f"id {kind}, file string, row bigint, node bigint, fp bigint, sketch binary")
+        self.prints = written(flat.select("id", F.struct("file", "row").alias("__at"), "node", "fp", "sketch"), "copies-prints")
+        # a node's text is that of any of its rows: an exact copy, or one with the same shingles
+        one = self.prints.where("sketch is not null").groupBy("node").agg(F.min(F.struct("__at", "fp", "sketch")).alias("s"))
+        self.nodes = written(one.select("node", "s.__at", "s.fp", "s.sketch"), "copies-nodes")
+        self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.nodes.count() // 20_000))
+
+    def by_fingerprints(self) -> DataFrame:
+        """Pairs (a, b) whose fingerprints are equal or linked, as a forest."""
+        first = written(self.nodes.groupBy("fp").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")), "copies-prints-of")
+        many = maybe_broadcast(first.where("n > 1").select("fp", "b"), "copies-prints-many", BROADCAST_ROWS)
+        equal = self.nodes.select("fp", F.col("node").alias("a")).join(many, "fp").where("a <> b").select("a", "b")
+        found = links(first.select("fp"), first.count())
+        ends = first.select("fp", F.col("b").alias("node"))
+        linked = found.join(ends.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(ends.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+        return equal.unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    def crowd(self) -> DataFrame:
+        """(bucket, node, lead) of all buckets of more than one node; lead is the bucket's smallest node."""
+        band = lambda k: F.conv(F.hex(F.substring("sketch", k * BAND_ROWS + 1, BAND_ROWS)), 16, 10).cast("bigint") + F.lit(k << (8 * BAND_ROWS))
+        rows = self.nodes.select(F.explode(F.array(*map(band, range(BANDS)))).alias("bucket"), "node")
+        leads = rows.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "lead")
+        return written(rows.join(maybe_broadcast(leads, "copies-leads", BROADCAST_ROWS), "bucket"), "copies-crowd")
+
+    def likeliest(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) the two for each a whose sketches agree most, if they are likely."""
+        own = self.nodes.select("node", "sketch")
+        both = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        agree = both.select("a", "b", "sa", "sb").mapInPandas(_agreeing, "a bigint, b bigint, agree bigint")
+        best = agree.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), False), 1, 2).alias("best"))  # at most one pair per band
+        return best.select("a", F.explode("best.b").alias("b"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The written pairs (a, b) whose shingle sets are alike."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        places = maybe_broadcast(ends.join(self.nodes.select("node", "__at"), "node"), "copies-places", BROADCAST_ROWS)
+        texts = written(self.docs.select("__at", "text").join(places, "__at").select("node", "text"), "copies-texts")
+        hot = pairs.groupBy("b").count().where(F.col("count") > PARTNERS).select("b", F.ceil(F.col("count") / PARTNERS).cast("int").alias("salts"))
+        salted = pairs.join(maybe_broadcast(hot, "copies-hot", BROADCAST_ROWS), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+        salted = written(salted, "copies-salted")
+        members = salted.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "salt", F.lit(False).alias("lead"), "text")
+        leads = salted.select("b", "salt").distinct().join(texts.select(F.col("node").alias("b"), "text"), "b").select(F.col("b").alias("a"), "b", "salt", F.lit(True).alias("lead"), "text")
+        rows = members.unionByName(leads).repartition(self.parts, "b", "salt").sortWithinPartitions("b", "salt", F.desc("lead"))
+        return written(rows.select("a", "b", "lead", "text").mapInPandas(_checked, "a bigint, b bigint"), "copies-verified")
+
+    def labels(self) -> DataFrame:
+        """(node, root) of the nodes that have links."""
+        crowd = self.crowd()
+        pairs = self.likeliest(crowd.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+        sure, tries = self.verified(written(pairs.unionByName(self.by_fingerprints()).distinct(), "copies-pairs")), TRIES
+        while True:
+            roots = written(components(sure), "copies-roots")
+            label = crowd.join(checked(roots, BROADCAST_ROWS), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+            mixed = label.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+            rows = label.join(maybe_broadcast(mixed, "copies-mixed", BROADCAST_ROWS), "bucket").join(self.nodes.select("node", "sketch"), "node")
+            rows = rows.select("bucket", "node", "label", "sketch").repartition(self.parts, "bucket").sortWithinPartitions("bucket")
+            found = written(rows.mapInPandas(_across(tries), "a bigint, b bigint, more boolean"), "copies-across")
+            if found.isEmpty():
+                return roots
+            new = self.verified(written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-tried"))
+            left = not found.where("more").isEmpty()
+            if not new.isEmpty():
+                sure = written(sure.unionByName(new), "copies-sure")
+            if not left:
+                return roots if new.isEmpty() else written(components(sure), "copies-roots")
+            tries *= MORE
+
+    def told(self) -> DataFrame:
+        roots = checked(self.labels(), BROADCAST_ROWS)
+        return self.prints.select("id", "__at", "node").join(roots, "node", "left").select("id", "__at", F.coalesce("root", "node").alias("g"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id``, the row's locator ``__at``, and ``g``, the same for the rows of a component."""
-    docs = as_scan(docs)
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    id_type = rows.schema["id"].dataType.simpleString()
-    flat = rows.select("id", "__at.file", "__at.row", "text").mapInPandas(_sketched, f"id {id_type}, file string, row bigint, node bigint, sketch binary")
-    prints = written(flat.select("id", F.struct("file", "row").alias("__at"), "node", "sketch"), "copies-prints")
-    distinct = written(prints.where("sketch is not null").groupBy("node").agg(F.min(F.struct("__at", "sketch")).alias("s")).select("node", "s.__at", "s.sketch"), "copies-distinct")
-    band = lambda k: F.conv(F.hex(F.substring("sketch", k * BAND_ROWS + 1, BAND_ROWS)), 16, 10).cast("bigint") + F.lit(k << (8 * BAND_ROWS))
-    buckets = distinct.select(F.explode(F.array(*map(band, range(BANDS)))).alias("bucket"), "node", "sketch")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = distinct.count()
-    dealt = buckets.repartition(max(n, -(-size // 20_000)), "bucket").sortWithinPartitions("bucket")
-    links = written(dealt.mapInPandas(_bucket_links, "a bigint, b bigint"), "copies-links")
-    if links.isEmpty():
-        return prints.select("id", "__at", F.col("node").alias("g"))
-    members = distinct.join(components(links), "node").select("__at", "node", "root")
-    texts = rows.select("__at", "text").join(maybe_broadcast(members, "copies-members", BROADCAST_ROWS), "__at").select("root", "node", "text")
-    checked = texts.repartition(max(n, -(-size // 20_000)), "root").sortWithinPartitions("root").mapInPandas(_verified, "node bigint, head bigint")
-    heads = maybe_broadcast(checked.where("node <> head"), "copies-heads", BROADCAST_ROWS)
-    return prints.join(heads, "node", "left").select("id", "__at", F.coalesce("head", "node").alias("g"))
+    return Copies(docs, id_col, text_col).told()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
