@@ -21,22 +21,21 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, clear_of, located, maybe_broadcast, written
+from .common import as_scan, checked, clear_of, located, per_text, scoped, written
 
 #: Words of a k-gram, hashes of a winnowing window, and words of a span that is always found.
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
 BLOCK_BYTES = 16 << 20
-#: Characters that are scanned at once, and words that a task remembers the hashes of.
-SLICE_CHARS, MEMO_WORDS, MEMO_LENGTH = 2_000_000, 1_000_000, 64
+#: Words, of usual length, that a task remembers the hashes of.
+MEMO_WORDS, MEMO_LENGTH = 300_000, 64
 BROADCAST_ROWS = 100_000
 
 #: Bytes of words stay, A-Z become a-z, others become a space: word bytes are 0-9, a-z and all beyond ASCII.
@@ -192,40 +191,27 @@ def merged_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    first, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= SLICE_CHARS:
-            yield first, i + 1
-            first, chars = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
-HITS = "n_words bigint, runs array<array<bigint>>, items array<string>"
+HITS = {"n_words": ("bigint", pa.int64()), "runs": ("array<array<bigint>>", pa.list_(pa.list_(pa.int64()))), "items": ("array<string>", pa.list_(pa.string()))}
 
 
 def _scan(rows: DataFrame, index, text_col: str) -> DataFrame:
     """``rows`` with the text replaced by the columns of HITS."""
-    kept = [f for f in rows.schema.fields if f.name != text_col]
-    names = [f.name for f in kept]
     memo = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         table, hashes = index.value, memo.setdefault("hashes", Hashes())
-        for b in batches:
-            texts, found = b[text_col].tolist(), []
-            for i, j in _slices(texts):
-                found += scanned(texts[i:j], table, hashes)
-            yield b[names].assign(
-                n_words=np.array([x[0] for x in found], np.int64),
-                runs=[[list(r) for r in merged_runs(x[1])] for x in found],
-                items=[sorted({table.ids[n] for n in x[2] if table.ids[n] is not None}) for x in found],
-            )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), HITS])
-    return rows.mapInPandas(run, schema)
+        def run(texts: list[str]) -> dict:
+            found = scanned(texts, table, hashes)
+            return {
+                "n_words": [x[0] for x in found],
+                "runs": [[list(r) for r in merged_runs(x[1])] for x in found],
+                "items": [sorted({table.ids[n] for n in x[2] if table.ids[n] is not None}) for x in found],
+            }
+
+        return run
+
+    return per_text(rows, text_col, HITS, make)
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
@@ -266,7 +252,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark."""
     docs = as_scan(clear_of(docs, "__at"))
-    bad = maybe_broadcast(hits(docs, benchmark).where(F.size("runs") > 0).select("__at"), "contaminated", BROADCAST_ROWS)
+    bad = checked(scoped(docs.sparkSession, "contaminated", lambda: hits(docs, benchmark).where(F.size("runs") > 0).select("__at")), BROADCAST_ROWS)
     return located(docs).join(bad, "__at", "left_anti").drop("__at")
 
 

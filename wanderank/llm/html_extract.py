@@ -25,14 +25,13 @@ import html
 import random
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of
+from .common import clear_of, per_text
 
 #: Hash sizes and dimensions of the path and word vectors, number of text measures, hidden units of a direction.
 PATHS, PATH_DIM, WORDS, WORD_DIM, MEASURES, HIDDEN = 1024, 16, 2048, 6, 8, 16
@@ -550,16 +549,13 @@ def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with the html replaced by ``text`` and its ``n_chars``; the network (of fixed size) goes with the tasks."""
     pages = clear_of(pages, "text", "n_chars")
     model = pages.sparkSession.sparkContext.broadcast(trained_labeller())
-    kept = [f for f in pages.schema.fields if f.name != html_col]
-    names, memo = [f.name for f in kept], {}
+    memo = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         features = memo.setdefault("features", Features())
-        for b in batches:
-            yield b[names].assign(text=main_texts(b[html_col].tolist(), model.value, features))
+        return lambda texts: {"text": main_texts(texts, model.value, features)}
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string"])
-    return pages.mapInPandas(run, schema).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return per_text(pages, html_col, {"text": ("string", pa.string())}, make).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

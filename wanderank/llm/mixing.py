@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_RUN, as_scan, checked, clear_of, located, maybe_broadcast, written
+from .common import WORD_RUN, as_scan, checked, clear_of, located, maybe_broadcast, scoped, written
 
 #: Weights of the sources in code point order, null last, repeating; share of all words to take; most times a source's size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -108,13 +108,13 @@ def drawn(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str
 def expected_copies(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` = copies * size."""
     docs = as_scan(clear_of(docs, *OWN, "__at"))
-    return located(docs).join(checked(written(drawn(docs, seed, id_col, text_col, source_col), "mix-drawn"), BROADCAST_ROWS), "__at").drop("__at")
+    return located(docs).join(checked(scoped(docs.sparkSession, "mix-drawn", lambda: drawn(docs, seed, id_col, text_col, source_col)), BROADCAST_ROWS), "__at").drop("__at")
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: every document as often as it was drawn, with the columns of ``docs``."""
     docs = as_scan(clear_of(docs, "__at"))
-    copies = checked(written(drawn(docs, seed).where("copies > 0").select("__at", F.col("copies").alias("__copies")), "mix-drawn"), BROADCAST_ROWS)
+    copies = checked(scoped(docs.sparkSession, "mix-drawn", lambda: drawn(docs, seed).where("copies > 0").select("__at", F.col("copies").alias("__copies"))), BROADCAST_ROWS)
     rows = located(docs).join(copies, "__at")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -6,17 +6,18 @@ pairs connect is one component. Texts of equal sets are one node from then on. P
 * the SimHash fingerprints of the 5-word shingles, linked by the pivot distance tables of :mod:`.simhash` at 3 bits.
   This finds copies with few changes. Similarity 0.8 moves about 10 of 64 bits, and no pivot discards anything at
   that radius (coordinates of unrelated fingerprints differ by 6 as a rule), so that it can't be the only net;
-* MinHash: a byte of each of 100 minima; nodes with equal bytes in one of 20 bands of 5 share a bucket. A pair of
+* MinHash: a byte of each of 400 minima; nodes with equal bytes in one of 20 bands of 5 share a bucket. A pair of
   similarity 0.8 shares no bucket with probability (1 - 0.8^5)^20 = 0.0004, and a more similar one with less. A pair
-  is likely if its sketches agree in ``LIKELY`` of the bytes.
+  is likely if its sketches agree in ``LIKELY`` of the bytes (a pair of similarity 0.8 fails that with 0.0013, one of 0.82 with 0.00002).
 
-Likely pairs are verified by their sets: first every node of a bucket with the bucket's smallest node (the two most
-likely ones of its buckets), which joins large groups of copies, then likely pairs of nodes that are
-still in different components, ever more for each pair of components, until none is left untried.
-No pair of lower similarity is ever linked.
+Likely pairs are verified by their sets: first every node of a bucket with the bucket's lead, the node with the most
+neighbours (the two most likely ones of its buckets), which joins large groups of copies around their original, then
+the likely pairs of nodes that are still in different components, the likeliest of each component first and ever
+more of them, until none is left untried. No pair of lower similarity is ever linked.
 
-No group comes together in a task, nor any bucket but as its sketches, where it still holds several components. A
-verifying task holds the set of one text, which is repeated for parts of its partners, and one batch of these.
+No group comes together in a task: the nodes of a bucket's largest component are dealt over tasks, and the others of
+that bucket, few as a rule, go to each of these. A verifying task holds the set of one text, which is repeated for
+parts of its partners, and one batch of these.
 
 Defined results: null, empty and blank texts have no shingles and are copies of each other; fewer than 5 words are
 one shingle; repeated rows are copies; of rows with and without an id the one with an id stays.
@@ -25,25 +26,29 @@ one shingle; repeated rows are copies; of rows with and without an id the one wi
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, checked, clear_of, located, maybe_broadcast, written
+from .common import as_scan, checked, clear_of, located, maybe_broadcast, per_text, written
 from .simhash import BROADCAST_ROWS, _majority, components, links, shingle_hashes, without_others
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, BAND_ROWS = 20, 5
-#: Share of equal sketch bytes from which a pair is looked at: five standard deviations below ``SIMILAR``.
-LIKELY = 0.6
+BANDS, BAND_ROWS, MINIMA = 20, 5, 400
+#: Share of equal sketch bytes from which a pair is looked at: three standard deviations below ``SIMILAR``.
+LIKELY = 0.74
 #: Shingles whose minima are taken at once; partners of a text that one task compares with it.
 LANE, PARTNERS = 1024, 256
-#: Pairs of two components that are tried in the first round, and how many times more in each further one.
-TRIES, MORE = 4, 8
+#: Rows of a bucket that one task compares the others with.
+PART = 256
+#: Pairs of a component and a bucket that are tried in the first round, and how many times more in each further one.
+TRIES, MORE = 2, 8
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -53,14 +58,14 @@ def shingle_set(text: str | None) -> np.ndarray:
 @functools.lru_cache(maxsize=1)
 def _maps() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(80)
-    flips, factors = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    flips, factors = rng.integers(0, 1 << 64, (2, MINIMA), dtype=np.uint64)
     return flips[:, None], (factors | np.uint64(1))[:, None]
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """A byte of the minimum of each map over the set."""
     flips, factors = _maps()
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), LANE):
         np.minimum(least, ((hashes[None, k : k + LANE] ^ flips) * factors).min(axis=1), out=least)
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
@@ -76,27 +81,29 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return common >= SIMILAR * (len(a) + len(b) - common) - 1e-9
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        node, fp, rows = [], [], []
-        for text in b["text"]:
-            hashes = shingle_hashes(text, SHINGLE)
-            own = np.unique(hashes)
-            node.append(xxhash.xxh64_intdigest(own.tobytes()))
-            fp.append(_majority(hashes) if len(hashes) else 0)
-            rows.append(sketch(own).tobytes() if len(own) else None)
-        yield b[["id", "file", "row"]].assign(node=np.array(node, np.uint64).view(np.int64), fp=np.array(fp, np.uint64).view(np.int64), sketch=rows)
+SKETCH = {"node": ("bigint", pa.int64()), "fp": ("bigint", pa.int64()), "sketch": ("binary", pa.binary())}
+
+
+def _sketched(texts: list[str]) -> dict:
+    out: dict[str, list] = {name: [] for name in SKETCH}
+    for text in texts:
+        hashes = shingle_hashes(text, SHINGLE)
+        own = np.unique(hashes)
+        out["node"].append(xxhash.xxh64_intdigest(own.tobytes()))
+        out["fp"].append(_majority(hashes) if len(hashes) else 0)
+        out["sketch"].append(sketch(own).tobytes() if len(own) else None)
+    return out | {name: np.array(out[name], np.uint64).view(np.int64) for name in ("node", "fp")}
 
 
 def _matrix(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BANDS * BAND_ROWS)
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, MINIMA)
 
 
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (a, b) with their sketches -> the likely ones, with the number of equal bytes."""
     for p in batches:
         agree = (_matrix(list(p["sa"])) == _matrix(list(p["sb"]))).sum(axis=1)
-        likely = agree >= LIKELY * BANDS * BAND_ROWS
+        likely = agree >= LIKELY * MINIMA
         yield pd.DataFrame({"a": p["a"].to_numpy(np.int64)[likely], "b": p["b"].to_numpy(np.int64)[likely], "agree": agree[likely]})
 
 
@@ -133,22 +140,25 @@ def _groups_of(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFram
 
 
 def _across(tries: int):
-    """Likely pairs of nodes of one bucket and different components: for each two components the most likely ``tries``."""
+    """Rows of one part of a bucket -> for each component but the bucket's largest its likeliest pairs with others.
+
+    A part holds all rows of the smaller components and some of the largest (``big``); the first part also compares the smaller
+    ones among themselves.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups_of(batches, "bucket"):
-            node, label, rows = g["node"].to_numpy(np.int64), g["label"].to_numpy(np.int64), _matrix(list(g["sketch"]))
-            _, label = np.unique(label, return_inverse=True)
-            # the largest component comes last and isn't gone through
-            order = np.lexsort((label, np.bincount(label)[label]))
-            node, label, rows = node[order], label[order], rows[order]
-            pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-            for i in range(int((label != label[-1]).sum())):
-                agree = (rows[i + 1 :] == rows[i]).sum(axis=1)
-                for j in (i + 1 + np.flatnonzero((agree >= LIKELY * rows.shape[1]) & (label[i + 1 :] != label[i]))).tolist():
-                    pairs.setdefault((min(label[i], label[j]), max(label[i], label[j])), []).append((-int(agree[j - i - 1]), i, j))
-            chosen = [(p, len(found) > tries) for found in pairs.values() for p in sorted(found)[:tries]]
-            yield pd.DataFrame({"a": node[[p[1] for p, _ in chosen]] if chosen else np.empty(0, np.int64), "b": node[[p[2] for p, _ in chosen]] if chosen else np.empty(0, np.int64), "more": np.array([m for _, m in chosen], bool)})
+        for g in _groups_of(batches, "part"):
+            node, big, rows = g["node"].to_numpy(np.int64), g["big"].to_numpy(bool), _matrix(list(g["sketch"]))
+            _, label = np.unique(g["label"].to_numpy(np.int64), return_inverse=True)
+            open_to = np.ones(len(node), bool) if g["first"].iloc[0] else big
+            pairs: dict[int, list[tuple[int, int, int]]] = {}
+            for i in np.flatnonzero(~big).tolist():
+                agree = (rows == rows[i]).sum(axis=1)
+                for j in np.flatnonzero(open_to & (agree >= LIKELY * MINIMA) & (label != label[i])).tolist():
+                    pairs.setdefault(int(label[i]), []).append((-int(agree[j]), i, j))
+            chosen = [(p, len(found) > tries) for found in pairs.values() for p in heapq.nsmallest(tries, found)]
+            ends = np.array([p[1:] for p, _ in chosen], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"a": node[ends[:, 0]], "b": node[ends[:, 1]], "more": np.array([m for _, m in chosen], bool)})
 
     return run
 
@@ -159,9 +169,7 @@ class Copies:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.spark = docs.sparkSession
         self.docs = located(as_scan(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-        kind = self.docs.schema["id"].dataType.simpleString()
-        flat = self.docs.select("id", "__at.file", "__at.row", "text").mapInPandas(_sketched, f"id {kind}, file string, row bigint, node bigint, fp bigint, sketch binary")
-        self.prints = written(flat.select("id", F.struct("file", "row").alias("__at"), "node", "fp", "sketch"), "copies-prints")
+        self.prints = written(per_text(self.docs, "text", SKETCH, lambda: _sketched), "copies-prints")
         # a node's text is that of any of its rows: an exact copy, or one with the same shingles
         one = self.prints.where("sketch is not null").groupBy("node").agg(F.min(F.struct("__at", "fp", "sketch")).alias("s"))
         self.nodes = written(one.select("node", "s.__at", "s.fp", "s.sketch"), "copies-nodes")
@@ -178,11 +186,14 @@ class Copies:
         return equal.unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def crowd(self) -> DataFrame:
-        """(bucket, node, lead) of all buckets of more than one node; lead is the bucket's smallest node."""
+        """(bucket, node, lead) of all buckets of more than one node; the lead has the most neighbours in all its buckets."""
         band = lambda k: F.conv(F.hex(F.substring("sketch", k * BAND_ROWS + 1, BAND_ROWS)), 16, 10).cast("bigint") + F.lit(k << (8 * BAND_ROWS))
         rows = self.nodes.select(F.explode(F.array(*map(band, range(BANDS)))).alias("bucket"), "node")
-        leads = rows.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "lead")
-        return written(rows.join(maybe_broadcast(leads, "copies-leads", BROADCAST_ROWS), "bucket"), "copies-crowd")
+        many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = written(rows.join(maybe_broadcast(many, "copies-many", BROADCAST_ROWS), "bucket"), "copies-rows-of-many")
+        weight = maybe_broadcast(rows.groupBy("node").agg(F.sum("n").alias("w")), "copies-weight", BROADCAST_ROWS)
+        leads = rows.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("w", "node"))["node"].alias("lead"))
+        return written(rows.join(maybe_broadcast(leads, "copies-leads", BROADCAST_ROWS), "bucket").select("bucket", "node", "lead"), "copies-crowd")
 
     def likeliest(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) the two for each a whose sketches agree most, if they are likely."""
@@ -205,27 +216,34 @@ class Copies:
         rows = members.unionByName(leads).repartition(self.parts, "b", "salt").sortWithinPartitions("b", "salt", F.desc("lead"))
         return written(rows.select("a", "b", "lead", "text").mapInPandas(_checked, "a bigint, b bigint"), "copies-verified")
 
+    def untried(self, crowd: DataFrame, roots: DataFrame, tries: int) -> DataFrame:
+        """Likely pairs (a, b, more) of different components, by parts of buckets."""
+        label = crowd.join(checked(roots, BROADCAST_ROWS), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+        sizes = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        rows = label.join(maybe_broadcast(mixed, "copies-mixed", BROADCAST_ROWS), "bucket").withColumns({"big": F.col("label") == F.col("largest"), "salts": F.ceil(F.col("n") / PART).cast("int")})
+        every = F.sequence(F.lit(0), F.col("salts") - 1)
+        rows = rows.withColumn("salt", F.explode(F.when(F.col("big"), F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))).otherwise(every)))
+        rows = rows.join(self.nodes.select("node", "sketch"), "node").select(F.xxhash64("bucket", "salt").alias("part"), (F.col("salt") == 0).alias("first"), "node", "label", "big", "sketch")
+        return rows.repartition(self.parts, "part").sortWithinPartitions("part").mapInPandas(_across(tries), "a bigint, b bigint, more boolean")
+
     def labels(self) -> DataFrame:
         """(node, root) of the nodes that have links."""
         crowd = self.crowd()
         pairs = self.likeliest(crowd.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-        sure, tries = self.verified(written(pairs.unionByName(self.by_fingerprints()).distinct(), "copies-pairs")), TRIES
+        ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        first = written(pairs.unionByName(self.by_fingerprints()).distinct(), "copies-pairs")
+        sure, tried, tries = self.verified(first), written(ordered(first), "copies-tried"), TRIES
         while True:
             roots = written(components(sure), "copies-roots")
-            label = crowd.join(checked(roots, BROADCAST_ROWS), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
-            mixed = label.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-            rows = label.join(maybe_broadcast(mixed, "copies-mixed", BROADCAST_ROWS), "bucket").join(self.nodes.select("node", "sketch"), "node")
-            rows = rows.select("bucket", "node", "label", "sketch").repartition(self.parts, "bucket").sortWithinPartitions("bucket")
-            found = written(rows.mapInPandas(_across(tries), "a bigint, b bigint, more boolean"), "copies-across")
-            if found.isEmpty():
-                return roots
-            new = self.verified(written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-tried"))
-            left = not found.where("more").isEmpty()
-            if not new.isEmpty():
-                sure = written(sure.unionByName(new), "copies-sure")
-            if not left:
-                return roots if new.isEmpty() else written(components(sure), "copies-roots")
-            tries *= MORE
+            found = written(self.untried(crowd, roots, tries), "copies-across")
+            new = written(ordered(found).join(tried, ["a", "b"], "left_anti"), "copies-new")
+            right = None if new.isEmpty() else self.verified(new)
+            if right is not None and not right.isEmpty():
+                sure, roots = written(sure.unionByName(right), "copies-sure"), None
+            if found.where("more").isEmpty():
+                return written(components(sure), "copies-roots") if roots is None else roots
+            tried, tries = written(tried.unionByName(new), "copies-tried"), tries * MORE
 
     def told(self) -> DataFrame:
         roots = checked(self.labels(), BROADCAST_ROWS)
@@ -240,4 +258,4 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component: its smallest doc_id, at the smallest locator, stays."""
     docs = as_scan(clear_of(docs, "__at"))
-    return without_others(docs, written(groups(docs), "copies-rows"))
+    return without_others(docs, lambda: groups(docs))

@@ -42,7 +42,7 @@ MORE = {
     "local_phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]?[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "spelled_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40}+\x20?[\[({]?(?:at|AT)[\])}]?\x20?[A-Za-z0-9-]{2,40}+\x20?[\[({]?(?:dot|DOT)[\])}]?\x20?[A-Za-z]{2,6}(?![A-Za-z0-9])",
+    "spelled_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[({]?(?:at|AT)[\])}]?\x20?[A-Za-z0-9-]{2,}+\x20?[\[({]?(?:dot|DOT)[\])}]?\x20?[A-Za-z]{2,6}(?![A-Za-z0-9])",
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 FINDINGS, SEED, PRECISION = 2400, 17, 0.95

@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, clear_of, located, maybe_broadcast, removed, scratch_path, written
+from .common import as_scan, checked, clear_of, located, maybe_broadcast, per_text, removed, scoped, written
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Reference fingerprints of a block, blocks of the finer table, and the most fingerprints of a cell that are compared pair by pair.
@@ -82,16 +83,7 @@ def _majority(h: np.ndarray) -> int:
 
 def fingerprints(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` with the text replaced by ``fp`` bigint (the fingerprint's 64 bits)."""
-    kept = [f for f in rows.schema.fields if f.name != text_col]
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter(map(fingerprint, b[text_col]), np.uint64, len(b)).view(np.int64)
-            yield b[names].assign(fp=fp)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp bigint"])
-    return rows.mapInPandas(run, schema)
+    return per_text(rows, text_col, {"fp": ("bigint", pa.int64())}, lambda: lambda texts: {"fp": np.array(list(map(fingerprint, texts)), np.uint64).view(np.int64)})
 
 
 def block_plan(n: int) -> int:
@@ -284,21 +276,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(table, "fp", "left").select("fp", "id", "__at", own.alias("component_id"))
 
 
-def without_others(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` without all but one row of each ``g`` of ``rows`` (id, __at, g): the smallest id, at the smallest locator, stays."""
-    first = rows.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("__at"))).alias("first"))
-    # places are unique, so that no group makes a hot key
-    gone = rows.select("__at").join(first.select(F.col("first.__at").alias("__at")), "__at", "left_anti")
-    gone = maybe_broadcast(gone, "gone", BROADCAST_ROWS)
-    return located(docs).join(gone, "__at", "left_anti").drop("__at")
+def without_others(docs: DataFrame, make) -> DataFrame:
+    """``docs`` (a scan) without all but one row of each ``g`` of the rows (id, __at, g) that ``make`` returns: the smallest id, at the smallest locator, stays."""
+    spark = docs.sparkSession
+
+    def gone() -> DataFrame:
+        rows = written(make(), "rows")
+        first = rows.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("__at"))).alias("first"))
+        # places are unique, so that no group makes a hot key
+        return rows.select("__at").join(first.select(F.col("first.__at").alias("__at")), "__at", "left_anti")
+
+    return located(docs).join(checked(scoped(spark, "gone", gone), BROADCAST_ROWS), "__at", "left_anti").drop("__at")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component: its smallest doc_id, at the smallest locator, stays."""
     docs = as_scan(clear_of(docs, "__at"))
-    rows = written(near_duplicates(docs), "simhash-rows")
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    return without_others(docs, rows.select("id", "__at", group.alias("g")))
+    return without_others(docs, lambda: near_duplicates(docs).select("id", "__at", group.alias("g")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

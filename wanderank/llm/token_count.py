@@ -30,17 +30,16 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, utf8_size
+from .common import clear_of, per_text, utf8_size
 
-#: Characters that are scanned at once; length of a chunk; states that a worker keeps; chunks that are run one by one.
-SLICE_CHARS, CHUNK, MEMO_STATES, FEW = 2_000_000, 128, 300_000, 16
+#: Length of a chunk; states that a worker keeps; chunks that are run one by one.
+CHUNK, MEMO_STATES, FEW = 128, 300_000, 16
 
 # Character classes: the letters that contractions are made of stand alone.
 LETTER, S, T_, R, E_, V, M, L, D, NUMBER, QUOTE, OTHER, SPACE, BLANK, END = range(15)
@@ -446,25 +445,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     docs = clear_of(docs, "n_bytes", "n_tokens", "over_limit").withColumn("n_bytes", utf8_size(F.col(text_col)))
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _counter(spec.value)
-        for b in batches:
-            texts = [t or "" for t in b[text_col]]
-            n, first = [np.empty(0, np.int64)], 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) <= SLICE_CHARS):
-                    chars += len(texts[last])
-                    last += 1
-                n.append(counter.counts(texts[first:last]))
-                first = last
-            yield b[names].assign(n_tokens=np.concatenate(n))
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens bigint"])
-    return docs.mapInPandas(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    docs = per_text(docs, text_col, {"n_tokens": ("bigint", pa.int64())}, lambda: lambda texts: {"n_tokens": _counter(spec.value).counts(texts)})
+    return docs.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

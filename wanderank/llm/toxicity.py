@@ -23,15 +23,14 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of
+from .common import clear_of, per_text
 
 #: Bounds of the training sample: documents of each class, characters of a document.
 TRAIN_DOCS, TRAIN_CHARS = 1200, 10_000
@@ -42,7 +41,7 @@ SUPPORT, ODDS, GAIN = 3, 2.0, 24.0
 THRESHOLD = 0.3
 #: Marginals from which on a word is counted, and the share of toxic words that is told from none.
 COUNTED, LEAST_SHARE = 0.3, 0.002
-SLICE_CHARS, CHUNK, MEMO_WORDS, MEMO_LENGTH = 2_000_000, 64, 500_000, 64
+CHUNK, MEMO_WORDS, MEMO_LENGTH = 64, 300_000, 64
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7)
 
@@ -386,27 +385,19 @@ def scored(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``score`` double, ``predicted`` int and ``spans`` array<array<bigint>>; the model, bounded by the training sample, is broadcast."""
     docs = clear_of(docs, "score", "predicted", "spans")
     model = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    names, memo = [f.name for f in kept], {}
+    memo = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scorer = memo.setdefault("scorer", Scorer(model.value))
-        for b in batches:
-            texts = [t or "" for t in b[text_col]]
-            score, spans, first = [np.empty(0)], [], 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) <= SLICE_CHARS):
-                    chars += len(texts[last])
-                    last += 1
-                s, at = scorer.scored(texts[first:last])
-                score.append(s)
-                spans += [[list(x) for x in y] for y in at]
-                first = last
-            yield b[names].assign(score=np.concatenate(score), spans=spans)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double", "spans array<array<bigint>>"])
-    return docs.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+        def run(texts: list[str]) -> dict:
+            score, spans = scorer.scored(texts)
+            return {"score": score, "spans": [[list(x) for x in own] for own in spans]}
+
+        return run
+
+    out = per_text(docs, text_col, {"score": ("double", pa.float64()), "spans": ("array<array<bigint>>", pa.list_(pa.list_(pa.int64())))}, make)
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def trained(spark, sf_dir: str) -> Crf:
