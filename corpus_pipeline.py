@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanderank.llm import decontaminate, mixing, near_copies, sharding, toxicity
-from wanderank.llm.common import as_scan, clear_of, located, maybe_broadcast
+from wanderank.llm.common import as_scan, checked, clear_of, located, scoped
 from wanderank.session import removed, scratch_path, scratch_scope
 
 #: Toxic rows whose locators are broadcast at most.
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject. Null and empty texts are scored as texts without words; equal texts get equal scores."""
     rows = located(as_scan(clear_of(docs, "__at")))
     toxic = toxicity.scored(rows.select("__at", "text"), toxicity.trained(spark, sf_dir)).where("predicted = 1").select("__at")
-    return rows.join(maybe_broadcast(toxic, "toxic", BROADCAST_ROWS), "__at", "left_anti").drop("__at")
+    return rows.join(checked(scoped(spark, "toxic", lambda: toxic), BROADCAST_ROWS), "__at", "left_anti").drop("__at")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
