@@ -57,12 +57,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 class Dedup:
-    """The streams, their state and their tables below ``state_dir``."""
+    """The streams, their state and their tables below ``state_dir``; ``path`` is a file or folder, not a pattern."""
 
     def __init__(self, spark: SparkSession, path: str, state_dir: str, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = FILES_PER_BATCH):
-        self.spark, self.path, self.dir = spark, path, state_dir.rstrip("/")
+        self.spark, self.path, self.dir = spark, _escaped(path), state_dir.rstrip("/")
         self.text_col, self.files_per_batch = text_col, files_per_batch
-        self.schema = spark.read.parquet(path).schema
+        self.schema, self.stream_path = spark.read.parquet(self.path).schema, _streamable(spark, path)
         kind = self.schema[id_col].dataType.simpleString()
         self.id = F.col(id_col).alias("id")
         self.rows_schema = f"id {kind}, at struct<file:string,row:bigint>, digest string"
@@ -82,7 +82,7 @@ class Dedup:
 
     def _hashed(self) -> None:
         """The first stream: id, locator and digest of each new row."""
-        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files_per_batch).option("maxFileAge", "36500d").parquet(_streamable(self.spark, self.path))
+        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files_per_batch).option("maxFileAge", "36500d").parquet(self.stream_path)
         thin = stream.select(self.id, _at().alias("at"), F.sha2(normalised(F.col(self.text_col)).cast("binary"), 256).alias("digest"))
         self._run(thin, "append", "seen", lambda batch, k: batch.write.mode("overwrite").parquet(f"{self.dir}/rows/batch={k}"))
 
