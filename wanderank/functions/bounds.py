@@ -43,17 +43,27 @@ def martingale_bounds(rmax: float, log_fail: float, total: int, least: float, we
     return F.when((low < 1) & (low > lower), low).otherwise(lower), F.when((up > 0) & (up < upper), up).otherwise(upper)
 
 
+def rest_bound(p: Params, rsum: Column, walks: Column, before: Column) -> Column:
+    """Upper bound of the nodes that no walk has ended at so far; ``before``: that of the round before, 1 at first."""
+    return lambda_bound(rsum, p.log_fail, before, walks)
+
+
 def stops(bounds: DataFrame, p: Params, k: int) -> DataFrame:
-    """(source, stop) for rows (source, node, ppr, lb, ub): whether the top k are certain enough at this delta."""
-    from pyspark.sql.window import Window
+    """(source, stop) for rows (source, node, ppr, lb, ub): whether the top k are certain enough at this delta.
+
+    Only the top k by score and by lower bound are ranked, which every task does for its own rows first; the rest is
+    aggregation, so that no task gets all nodes of a source.
+    """
+    from ..operators.topk import first_of
 
-    by_score = Window.partitionBy("source").orderBy(F.round("ppr", 12).desc(), "node")
-    by_bound = Window.partitionBy("source").orderBy(F.round("lb", 12).desc(), "node")
-    rows = bounds.withColumns({"r": F.row_number().over(by_score), "b": F.row_number().over(by_bound)})
     e = p.epsilon
-    rows = rows.withColumn("kth_lb", F.coalesce(F.max(F.when(F.col("b") == k, F.col("lb"))).over(Window.partitionBy("source")), F.lit(0.0)))
-    outside = (F.col("b") > k) & (F.col("ppr") > 0) & (F.col("ub") > F.col("kth_lb") * (1 + e)) & (F.col("ub") <= (1 + e) / (1 - e) * F.col("lb") if e < 1 else F.lit(True))
-    wide = (F.col("b") <= k) & (F.col("ub") > (1 + e) * F.col("lb"))
-    certain = ~F.bool_or(wide) & (F.max("kth_lb") > p.delta) & ~F.bool_or(outside)
-    high = F.coalesce(F.max(F.when(F.col("r") == k, F.col("ppr"))), F.lit(0.0)) >= 2 * p.delta
-    return rows.groupBy("source").agg((high | (F.lit(p.delta < p.topk_threshold()) & certain)).alias("stop"))
+    high = first_of(bounds, k, F.round("ppr", 12), "ppr").groupBy("source").agg(F.max(F.when(F.col("rank") == k, F.col("value"))).alias("kth"))
+    best = first_of(bounds, k, F.round("lb", 12), "lb").select("source", "node", "rank", "value")
+    kth = best.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("rank") == k, F.col("value"))), F.lit(0.0)).alias("kth_lb"))
+    rows = bounds.join(best.select("source", "node", F.lit(True).alias("inside")), ["source", "node"], "left").join(kth, "source")
+    inside = F.coalesce("inside", F.lit(False))
+    outside = ~inside & (F.col("ppr") > 0) & (F.col("ub") > F.col("kth_lb") * (1 + e)) & (F.col("ub") <= (1 + e) / (1 - e) * F.col("lb") if e < 1 else F.lit(True))
+    wide = inside & (F.col("ub") > (1 + e) * F.col("lb"))
+    told = rows.groupBy("source").agg((~F.bool_or(wide) & (F.max("kth_lb") > p.delta) & ~F.bool_or(outside)).alias("certain"))
+    sure = F.lit(p.delta < p.topk_threshold()) & F.col("certain")
+    return told.join(high, "source").select("source", ((F.coalesce("kth", F.lit(0.0)) >= 2 * p.delta) | sure).alias("stop"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.params import POWER_ITERATIONS, Params
+from ..report import counted
 from ..session import kept
 from ..sources.graphs import Graph
 from .push import push, residual_sums, unit_state
@@ -56,21 +57,35 @@ def normalised(ppr: DataFrame) -> DataFrame:
     return ppr.join(total, "source").select("source", "node", (F.col("ppr") / F.col("total")).alias("ppr"))
 
 
-def walk_plan(state: DataFrame, p: Params, omega: float) -> DataFrame:
-    """Residual rows with their number of walks: ceil(share of the source's floor(omega * rsum)), at least one each."""
+def walk_plan(state: DataFrame, p: Params, omega: float, used: DataFrame | None = None) -> DataFrame:
+    """Residual rows with their number of walks: ceil(share of the source's floor(omega * rsum)), at least one each.
+
+    ``first``: walks of the node that the source has used up before, from ``used`` (origin, node, used); its next walks
+    have the numbers after that.
+    """
     left = state.where("residual > 0").join(residual_sums(state), "origin")
     share = 1 - p.alpha if p.opt else 1.0
     # rounded before floor and ceil, so that the order of a sum does not decide
     walks = F.greatest(F.floor(F.round(F.lit(omega) * F.col("rsum") * share, 9)), F.lit(1))
-    return left.withColumn("n_walks", F.greatest(F.ceil(F.round(F.col("residual") / F.col("rsum") * walks, 9)), F.lit(1)).cast("bigint"))
+    plan = left.withColumn("n_walks", F.greatest(F.ceil(F.round(F.col("residual") / F.col("rsum") * walks, 9)), F.lit(1)).cast("bigint"))
+    if used is None:
+        return plan.withColumn("first", F.lit(0).cast("bigint"))
+    return plan.join(used, ["origin", "node"], "left").withColumn("first", F.coalesce("used", F.lit(0))).drop("used")
+
+
+def used_up(plan: DataFrame, used: DataFrame | None) -> DataFrame:
+    """(origin, node, used): the walks that are used up after the plan."""
+    now = plan.select("origin", "node", (F.col("first") + F.col("n_walks")).alias("used"))
+    both = now if used is None else now.unionByName(used)
+    return both.groupBy("origin", "node").agg(F.max("used").alias("used"))
 
 
 def online_walks(plan: DataFrame, graph: Graph, p: Params, seed: int, after: DataFrame | None = None) -> DataFrame:
     """(start, walk, dest) of the walks the plan needs at each node, shared by all sources; those of an index (``after``: start, held) are left out."""
-    need = plan.groupBy(F.col("node").alias("start")).agg(F.max("n_walks").alias("n"))
-    rows = fan_out(need, F.col("n"))
+    need = plan.groupBy(F.col("node").alias("start")).agg(F.max(F.col("first") + F.col("n_walks")).alias("n"), F.min("first").alias("first"))
     if after is not None:
-        rows = rows.join(after, "start", "left").where("held is null or walk > held")
+        need = need.join(after, "start", "left").withColumn("first", F.greatest("first", F.coalesce("held", F.lit(0)))).drop("held")
+    rows = fan_out(need, F.col("n"), F.col("first")).select("start", "walk")
     return walked(rows, graph, p.alpha, seed, zero_hop=not p.opt, dangling="absorb")
 
 
@@ -80,7 +95,7 @@ def combined(state: DataFrame, plan: DataFrame, walks: DataFrame, p: Params) ->
     parts = state.select(F.col("origin").alias("source"), "node", F.col("reserve").alias("ppr"))
     if p.opt:
         parts = parts.unionByName(state.select(F.col("origin").alias("source"), "node", (F.col("residual") * p.alpha).alias("ppr")))
-    carried = plan.alias("r").join(walks.alias("w"), (F.col("r.node") == F.col("w.start")) & (F.col("w.walk") <= F.col("r.n_walks")))
+    carried = plan.alias("r").join(walks.alias("w"), F.expr("r.node = w.start AND w.walk > r.first AND w.walk <= r.first + r.n_walks"))
     parts = parts.unionByName(carried.select(F.col("r.origin").alias("source"), F.col("w.dest").alias("node"), (F.col("r.residual") * share / F.col("r.n_walks")).alias("ppr")))
     return normalised(parts.groupBy("source", "node").agg(F.sum("ppr").alias("ppr")).where("ppr > 0"))
 
@@ -93,19 +108,27 @@ def push_walk(graph: Graph, sources: DataFrame, p: Params, seed: int = 1, index:
     """
     own_rmax, omega = p.push_walk()
     state = push(unit_state(origins(sources)), graph.transitions(p.alpha, "absorb"), rmax or own_rmax, rounds)
-    return _with_walks(graph, state, p, omega, seed, index)
+    return with_walks(graph, state, kept(walk_plan(state, p, omega), "walk-plan"), p, seed, index)
 
 
-def _with_walks(graph, state, p, omega, seed, index=None) -> DataFrame:
-    plan = kept(walk_plan(state, p, omega), "walk-plan")
+def with_walks(graph: Graph, state: DataFrame, plan: DataFrame, p: Params, seed: int, index: DataFrame | None = None) -> DataFrame:
+    """(source, node, ppr) of a push's state and the written plan of its walks."""
+    counted(walks=lambda: plan.agg(F.coalesce(F.sum("n_walks"), F.lit(0))).first()[0])
     if index is None:
         return combined(state, plan, online_walks(plan, graph, p, seed), p)
     # a walk of the index that was absorbed has no destination but is used up: held counts walk numbers
     held = index.groupBy("start").agg(F.max("held").alias("held"))
+    counted(index_walks=lambda: index_use(plan, held).agg(F.coalesce(F.sum("from_index"), F.lit(0))).first()[0])
     rest = online_walks(plan, graph, p, seed, held)
     return combined(state, plan, index.where("dest is not null").select("start", "walk", "dest").unionByName(rest), p)
 
 
+def index_use(plan: DataFrame, held: DataFrame) -> DataFrame:
+    """The plan with ``from_index``: how many of its walks the index (start, held) still has."""
+    rows = plan.join(held.select(F.col("start").alias("node"), "held"), "node", "left")
+    return rows.withColumn("from_index", F.greatest(F.lit(0), F.least(F.col("n_walks"), F.coalesce("held", F.lit(0)) - F.col("first"))))
+
+
 def bidirectional(graph: Graph, sources: DataFrame, p: Params, seed: int = 1, rounds: int | None = None, back: DataFrame | None = None) -> DataFrame:
     """Walks from the sources, and backward push from every target (``back``: its state, if there is one)."""
     rmax, omega = p.bidirectional()

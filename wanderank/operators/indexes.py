@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.params import Params
-from ..session import kept, sized
+from ..report import counted, phase
+from ..session import dropped, kept, sized
 from ..sources.graphs import Graph
-from .estimators import from_both_sides, montecarlo, origins
+from .estimators import all_targets, from_both_sides, montecarlo, origins
 from .push import push, unit_state
 from .walks import _stepped, destinations, fan_out, walk_length, walked
 
@@ -21,7 +25,7 @@ LEVELS = (0.05, 0.25, 1.0, 5.0)
 def build_index(graph: Graph, p: Params, seed: int = 1) -> DataFrame:
     """(start, walk, dest, held): the walks that push-and-walk will want of each node; dest is null where a walk was absorbed."""
     sizes = graph.nodes.select(F.col("node").alias("start"), p.index_size(F.col("out_deg")).alias("held"))
-    rows = fan_out(sizes, F.col("held"))
+    rows = fan_out(sizes, F.col("held")).select("start", "walk", "held")
     found = walked(rows, graph, p.alpha, seed, zero_hop=not p.opt, dangling="absorb")
     return rows.join(found, ["start", "walk"], "left").select("start", "walk", "dest", "held")
 
@@ -46,6 +50,16 @@ def load_index(spark: SparkSession, folder: str, p: Params) -> DataFrame:
 # ---- hubs ---------------------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Hubs:
+    """Hubs (hub), their stored walks (hub, block, dest, cnt) and their stored backward pushes; these are null where there are none."""
+
+    hubs: DataFrame
+    forward: DataFrame
+    backward: DataFrame | None
+    blocks: int
+
+
 def choose_hubs(graph: Graph, h: int) -> DataFrame:
     """(hub): the h nodes with the most edges in and out, ties by node."""
     return graph.nodes.orderBy((F.col("in_deg") * F.col("out_deg")).desc(), "node").limit(h).select(F.col("node").alias("hub"))
@@ -71,39 +85,51 @@ def expanded(quotas: DataFrame, oracle: DataFrame) -> DataFrame:
     return quotas.join(oracle, "hub").where(bit).groupBy("source", "dest").agg(F.sum("cnt").alias("cnt"))
 
 
-def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: DataFrame, oracle: DataFrame, blocks: int, p: Params, seed: int = 1, first: int = 1) -> DataFrame:
+def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, seed: int = 1, first: int = 1, split: bool = False) -> DataFrame:
     """(start, dest, cnt) of walks ``first`` to ``first + n - 1`` from each source; at a hub the rest comes from its stored walks.
 
     Arrivals beyond a hub's stored walks go on online, as walks of the hub with numbers beyond the stored ones.
+    ``split``: alpha n of the walks of a source that is no hub end at it for certain and are not drawn; the others make a
+    first hop and count a little less than one each, so that they are (1 - alpha) n in all.
     """
     spark = graph.nodes.sparkSession
-    number = F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(first + n - 1).cast("bigint")))
     deg = graph.nodes.select(F.col("node").alias("start"), F.col("out_deg").alias("deg"))
-    mark = hubs.select(F.col("hub").alias("cur"), F.lit(True).alias("at_hub"))
-    rows = origins(sources).select(F.col("origin").alias("start"), number.alias("walk")).join(deg, "start")
-    alive = rows.select("start", "walk", F.col("start").alias("cur"), "deg", F.lit(0).alias("step"), walk_length(seed, F.col("start"), F.col("walk"), p.alpha).alias("len"), F.col("deg").alias("home"))
-    done, arrived = None, None
-    with sized(spark, graph.m):
+    mark = hubs.hubs.select(F.col("hub").alias("cur"), F.lit(True).alias("at_hub"))
+    starts = origins(sources).select(F.col("origin").alias("start"))
+    moving = math.ceil((1 - p.alpha) * n) if split else n
+    weight = (1 - p.alpha) * n / moving if split else 1.0
+    starts = starts.join(mark.select(F.col("cur").alias("start"), F.col("at_hub").alias("is_hub")), "start", "left").withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
+    starts = kept(starts, "hub-starts")
+    number = F.lit(first - 1) + F.when(F.col("is_hub"), F.lit(n)).otherwise(F.lit(moving))
+    counted(walks=lambda: n * starts.count())
+    rows = fan_out(starts, number, F.lit(first - 1)).join(deg, "start")
+    length = walk_length(seed, F.col("start"), F.col("walk"), p.alpha) + F.when(F.col("is_hub"), 0).otherwise(int(split))
+    alive = rows.select("start", "walk", F.col("start").alias("cur"), "deg", F.lit(0).alias("step"), length.alias("len"), F.col("deg").alias("home"))
+    ended, arrived, more = [], [], True
+    with phase("rand-walks"), sized(spark, n * starts.count()):
         alive = kept(alive, "hub-walks")
-        for _ in range(400):
+        while more:
             # arriving at a hub hands the walk over, before it is decided whether it stops there
             seen = kept(alive.join(mark, "cur", "left"), "hub-seen")
-            ended = seen.where("at_hub is null and step >= len").select("start", F.col("cur").alias("dest"))
-            at_hub = seen.where("at_hub").select("start", F.col("cur").alias("hub"))
-            done = ended if done is None else done.unionByName(ended)
-            arrived = at_hub if arrived is None else arrived.unionByName(at_hub)
+            dropped(alive)
+            ended.append(seen.where("at_hub is null and step >= len").groupBy("start", F.col("cur").alias("dest")).agg(F.count(F.lit(1)).alias("cnt")))
+            arrived.append(seen.where("at_hub").groupBy(F.col("start").alias("source"), F.col("cur").alias("hub")).agg(F.count(F.lit(1)).alias("all")))
             alive = kept(_stepped(seen.where("at_hub is null and step < len").drop("at_hub"), graph.neighbours, seed, "absorb"), "hub-walks")
-            if alive.isEmpty():
-                break
-    counts = arrived.groupBy(F.col("start").alias("source"), "hub").agg(F.count(F.lit(1)).alias("all"))
-    most = (1 << blocks) - 1
+            more = not alive.isEmpty()
+    most = (1 << hubs.blocks) - 1
+    counts = functools.reduce(DataFrame.unionByName, arrived).groupBy("source", "hub").agg(F.sum("all").alias("all"))
     counts = kept(counts.select("source", "hub", F.least("all", F.lit(most)).alias("walks"), F.greatest(F.col("all") - most, F.lit(0)).alias("more")), "hub-counts")
-    stored = expanded(counts, oracle).select(F.col("source").alias("start"), "dest", "cnt")
-    online = fan_out(counts.groupBy(F.col("hub").alias("start")).agg(F.max("more").alias("n")), F.col("n")).withColumn("walk", F.col("walk") + most)
-    online = walked(online, graph, p.alpha, seed, dangling="absorb").alias("w")
+    counted(index_walks=lambda: counts.agg(F.coalesce(F.sum("walks"), F.lit(0))).first()[0])
+    stored = expanded(counts, hubs.forward).select(F.col("source").alias("start"), "dest", "cnt")
+    need = counts.where("more > 0").groupBy(F.col("hub").alias("start")).agg(F.max("more").alias("n"))
+    online = walked(fan_out(need, F.col("n") + most, F.lit(most)).select("start", "walk"), graph, p.alpha, seed, dangling="absorb").alias("w")
     rest = counts.alias("c").join(online, (F.col("c.hub") == F.col("w.start")) & (F.col("w.walk") <= F.col("c.more") + most)).groupBy(F.col("c.source").alias("start"), F.col("w.dest").alias("dest")).agg(F.count(F.lit(1)).alias("cnt"))
-    own = done.groupBy("start", "dest").agg(F.count(F.lit(1)).alias("cnt"))
-    return own.unionByName(stored).unionByName(rest).groupBy("start", "dest").agg(F.sum("cnt").alias("cnt"))
+    parts = functools.reduce(DataFrame.unionByName, ended).unionByName(stored).unionByName(rest)
+    if not split:
+        return parts.groupBy("start", "dest").agg(F.sum("cnt").alias("cnt"))
+    parts = parts.join(starts, "start").select("start", "dest", (F.col("cnt") * F.when(F.col("is_hub"), 1.0).otherwise(weight)).alias("cnt"))
+    stay = starts.where("not is_hub").select("start", F.col("start").alias("dest"), F.lit(p.alpha * n).alias("cnt"))
+    return parts.unionByName(stay).groupBy("start", "dest").agg(F.sum("cnt").alias("cnt"))
 
 
 def backward_oracle(graph: Graph, hubs: DataFrame, p: Params, rmax: float) -> DataFrame:
@@ -117,28 +143,59 @@ def backward_oracle(graph: Graph, hubs: DataFrame, p: Params, rmax: float) -> Da
     return kept(out, "backward-oracle")
 
 
-def hub_all_targets(graph: Graph, hubs: DataFrame, stored: DataFrame, p: Params, rmax: float) -> DataFrame:
+def build_hubs(graph: Graph, p: Params, h: int = 16, blocks: int = 8, seed: int = 1) -> Hubs:
+    """The oracles of the h best hubs, written to the shared folder."""
+    hubs = kept(choose_hubs(graph, h), "hubs")
+    rmax, _ = p.bidirectional()
+    return Hubs(hubs, kept(forward_oracle(graph, hubs, blocks, p, seed), "hub-oracle"), None if rmax >= 1 else backward_oracle(graph, hubs, p, rmax), blocks)
+
+
+def hub_path(folder: str, p: Params, h: int) -> str:
+    """Oracles of other accuracy or number of hubs must not be mixed."""
+    return f"{folder}/hub-oracle.eps-{p.epsilon:g}.hubs-{h}"
+
+
+def save_hubs(hubs: Hubs, folder: str, p: Params, h: int) -> str:
+    path = hub_path(folder, p, h)
+    hubs.hubs.withColumn("blocks", F.lit(hubs.blocks)).write.mode("overwrite").parquet(f"{path}/hubs.parquet")
+    hubs.forward.repartitionByRange("hub").sortWithinPartitions("hub", "block").write.mode("overwrite").parquet(f"{path}/forward.parquet")
+    if hubs.backward is not None:
+        hubs.backward.write.mode("overwrite").parquet(f"{path}/backward.parquet")
+    return path
+
+
+def load_hubs(spark: SparkSession, folder: str, p: Params, h: int) -> Hubs:
+    """Stored oracles; without the backward part, targets are pushed without it. A missing forward part raises Spark's own error."""
+    path = hub_path(folder, p, h)
+    forward, hubs = spark.read.parquet(f"{path}/forward.parquet"), spark.read.parquet(f"{path}/hubs.parquet")
+    try:
+        backward = spark.read.parquet(f"{path}/backward.parquet")
+    except AnalysisException:
+        backward = None
+    return Hubs(hubs.select("hub"), forward, backward, hubs.agg(F.max("blocks")).first()[0])
+
+
+def hub_all_targets(graph: Graph, hubs: Hubs, p: Params, rmax: float) -> DataFrame:
     """Backward states of all targets, a hub's push being its stored one of the smallest level that is enough."""
-    moves, hub = graph.backward(p.alpha), hubs.select(F.col("hub").alias("src"))
+    if hubs.backward is None:
+        return all_targets(graph, p, rmax)
+    moves, hub = graph.backward(p.alpha), hubs.hubs.select(F.col("hub").alias("src"))
     plain = moves.join(hub, "src", "left_anti")
     # a hub's own row only keeps: what its stored push leaves there comes with the stored rows
     own = moves.where("own").join(hub, "src").withColumn("rsv", F.lit(0.0))
-    rows = stored.select("src", "dst", F.lit(False).alias("own"), "rsv", "res", "lvl", F.lit(1.0).alias("deg"))
+    rows = hubs.backward.select("src", "dst", F.lit(False).alias("own"), "rsv", "res", "lvl", F.lit(1.0).alias("deg"))
     moves = kept(plain.unionByName(own).unionByName(rows), "hub-moves")
     return push(unit_state(graph.nodes.select(F.col("node").alias("origin"))), moves, rmax, strict=True, levels=LEVELS)
 
 
-def hub_ppr(graph: Graph, sources: DataFrame, p: Params, h: int = 16, blocks: int = 8, seed: int = 1) -> DataFrame:
-    """The bidirectional estimate with the oracles of h hubs on both sides."""
+def hub_ppr(graph: Graph, sources: DataFrame, p: Params, hubs: Hubs | None = None, seed: int = 1) -> DataFrame:
+    """The bidirectional estimate with the oracles of hubs on both sides."""
     rmax, omega = p.bidirectional()
     if rmax >= 1:
         return montecarlo(graph, sources, p, seed)
-    hubs = kept(choose_hubs(graph, h), "hubs")
-    oracle = kept(forward_oracle(graph, hubs, blocks, p, seed), "hub-oracle")
+    hubs = build_hubs(graph, p, seed=seed) if hubs is None else hubs
     n = math.ceil(omega)
-    found = hub_walks(graph, sources, n, hubs, oracle, blocks, p, seed)
-    back = hub_all_targets(graph, hubs, backward_oracle(graph, hubs, p, rmax), p, rmax)
-    return from_both_sides(found, back, n)
+    return from_both_sides(hub_walks(graph, sources, n, hubs, p, seed), hub_all_targets(graph, hubs, p, rmax), n)
 
 
-__all__ = ["backward_oracle", "build_index", "choose_hubs", "destinations", "expanded", "forward_oracle", "hub_all_targets", "hub_ppr", "hub_walks", "load_index", "oracle_sizes", "save_index"]
+__all__ = ["Hubs", "backward_oracle", "build_hubs", "build_index", "choose_hubs", "destinations", "expanded", "forward_oracle", "hub_all_targets", "hub_ppr", "hub_walks", "load_hubs", "load_index", "oracle_sizes", "save_hubs", "save_index"]

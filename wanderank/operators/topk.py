@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIGITS = 6
 
 
+def first_of(rows: DataFrame, k: int, order: Column, value: str) -> DataFrame:
+    """(source, node, rank, value): the k largest of each source by ``order``, ties by node. Tasks drop what can't be among them before the exchange."""
+    place = Window.partitionBy("source").orderBy(order.desc(), "node")
+    return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("source", "node", "rank", F.col(value).alias("value"))
+
+
 def topk(ppr: DataFrame, k: int) -> DataFrame:
     """(source, rank, node, ppr): the k largest of each source, ties (to 6 digits) by node; fewer where there are fewer."""
-    order = Window.partitionBy("source").orderBy(F.round("ppr", DIGITS).desc(), "node")
-    return ppr.where("ppr > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("source", "rank", "node", "ppr")
+    best = first_of(ppr.where("ppr > 0"), k, F.round("ppr", DIGITS), "ppr")
+    return best.select("source", "rank", "node", F.col("value").alias("ppr"))
 
 
 def kth_value(ppr: DataFrame, k: int) -> DataFrame:

@@ -7,15 +7,19 @@ walks still under way with (node, number of the out-edge). After ``UNROLL`` step
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import kept, sized
+from ..report import phase
+from ..session import dropped, kept, sized
 from ..sources.graphs import Graph, draw_number
 
-UNROLL, MOST_STEPS = 8, 400
+UNROLL = 8
+#: Walks that one row of the first stage of a fan-out stands for, and walks of a task after it.
+BLOCK, TASK_WALKS = 8192, 100_000
 
 
 def walk_length(seed: int, start: Column, walk: Column, alpha: float, zero_hop: bool = True) -> Column:
@@ -37,20 +41,21 @@ def walked(starts: DataFrame, graph: Graph, alpha: float = 0.2, seed: int = 1, z
     alive = rows.select("start", "walk", F.col("start").alias("cur"), F.col("deg").alias("deg"), F.lit(0).alias("step"), F.when((F.col("deg") == 0) & (F.lit(dangling) != "absorb"), 0).otherwise(hops).alias("len"))
     alive = alive.withColumn("home", F.col("deg"))
     finished, spark = [], starts.sparkSession
-    with sized(spark, graph.m):
+    with phase("rand-walks"):
         alive = kept(alive, "walks")
-        for done in range(0, MOST_STEPS, UNROLL):
-            for _ in range(UNROLL):
-                alive = _stepped(alive, graph.neighbours, seed, dangling)
-            alive = kept(alive, "walks")
-            finished.append(alive.where("step >= len").select("start", "walk", F.col("cur").alias("dest")))
-            alive = alive.where("step < len")
-            if alive.isEmpty():
-                break
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out
+        with sized(spark, alive.count()):
+            while True:
+                at = alive
+                for _ in range(UNROLL):
+                    at = _stepped(at, graph.neighbours, seed, dangling)
+                at = at.withColumn("done", F.expr("step >= len"))
+                at = kept(at, "walks")
+                dropped(alive)
+                finished.append(at.where("done").select("start", "walk", F.col("cur").alias("dest")))
+                left = at.where("not done").drop("done")
+                if left.isEmpty():
+                    return functools.reduce(DataFrame.unionByName, finished)
+                alive = kept(left, "walks")
 
 
 def _stepped(alive: DataFrame, neighbours: DataFrame, seed: int, dangling: str) -> DataFrame:
@@ -71,9 +76,21 @@ def _stepped(alive: DataFrame, neighbours: DataFrame, seed: int, dangling: str)
     return (out.where("not stuck") if dangling == "absorb" else out).drop("stuck")
 
 
-def fan_out(rows: DataFrame, n: Column) -> DataFrame:
-    """Each row once for each walk number 1 to n; rows with n < 1 go."""
-    return rows.withColumn("__n", n.cast("bigint")).where("__n > 0").withColumn("walk", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))).drop("__n")
+def fan_out(rows: DataFrame, n: Column, first: Column | None = None) -> DataFrame:
+    """Each row once for each walk number ``first`` + 1 to n (1 to n by default); rows without such numbers go.
+
+    In two stages, first blocks of numbers and then, dealt over the tasks, the numbers, so that no row is made into very
+    many by one task.
+    """
+    first = F.lit(0) if first is None else first
+    rows = rows.withColumns({"__lo": first.cast("bigint"), "__n": n.cast("bigint")}).where("__n > __lo")
+    total = rows.agg(F.coalesce(F.sum(F.col("__n") - F.col("__lo")), F.lit(0))).first()[0]
+    blocks = rows.withColumn("__b", F.explode(F.expr(f"sequence(0L, (__n - __lo - 1) div {BLOCK})")))
+    tasks = max(1, total // TASK_WALKS, min(total // BLOCK, rows.sparkSession.sparkContext.defaultParallelism))
+    if tasks > 1:
+        blocks = blocks.repartition(int(tasks), *[F.col(f"`{c}`") for c in blocks.columns])
+    numbers = F.expr(f"sequence(__lo + __b * {BLOCK} + 1, least(__lo + (__b + 1) * {BLOCK}, __n))")
+    return blocks.withColumn("walk", F.explode(numbers)).drop("__lo", "__n", "__b")
 
 
 def destinations(walks: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 
 from ..operators import estimators, indexes
 from ..operators.topk import evaluated, precision_recall, topk
-from ..report import Timers, report
+from ..report import Timers, report, result_fields
+from ..session import kept
 from ..sources.graphs import Graph
 from . import adaptive
 from .params import Params
@@ -22,32 +23,40 @@ class PprEngine:
         self.params = Params(graph.n, graph.m, epsilon, **params)
         self.timers = Timers()
 
-    def query(self, sources: DataFrame, algorithm: str = "push_walk", index: DataFrame | None = None, balanced: bool = False) -> DataFrame:
-        """(source, node, ppr) of all nodes that the estimate reaches."""
+    def _estimate(self, sources: DataFrame, algorithm: str, index, balanced: bool, hubs) -> DataFrame:
         g, p, s = self.graph, self.params, self.seed
-        with self.timers.span(f"query {algorithm}"):
-            if algorithm == "push_walk":
-                return adaptive.balanced(g, sources, p, s) if balanced else estimators.push_walk(g, sources, p, s, index)
-            if algorithm == "forward_push":
-                return estimators.forward_push(g, sources, p)
-            if algorithm == "montecarlo":
-                return estimators.montecarlo(g, sources, p, s)
-            if algorithm == "bidirectional":
-                return estimators.bidirectional(g, sources, p, s)
-            if algorithm == "hub":
-                return indexes.hub_ppr(g, sources, p, seed=s)
+        if algorithm == "push_walk":
+            return adaptive.balanced(g, sources, p, s) if balanced else estimators.push_walk(g, sources, p, s, index)
+        if algorithm == "forward_push":
+            return estimators.forward_push(g, sources, p)
+        if algorithm == "montecarlo":
+            return estimators.montecarlo(g, sources, p, s)
+        if algorithm == "bidirectional":
+            return estimators.bidirectional(g, sources, p, s)
+        if algorithm == "hub":
+            return indexes.hub_ppr(g, sources, p, hubs, s)
         raise ValueError(f"algorithm is one of {', '.join(ALGORITHMS)}")
 
-    def topk(self, sources: DataFrame, k: int, algorithm: str = "push_walk", index: DataFrame | None = None) -> DataFrame:
+    def query(self, sources: DataFrame, algorithm: str = "push_walk", index: DataFrame | None = None, balanced: bool = False, hubs: indexes.Hubs | None = None) -> DataFrame:
+        """(source, node, ppr) of all nodes that the estimate reaches, written to the shared folder, so that the times are those of the work."""
+        with self.timers.active(), self.timers.span("total"):
+            return kept(self._estimate(sources, algorithm, index, balanced, hubs), "answer")
+
+    def topk(self, sources: DataFrame, k: int, algorithm: str = "push_walk", index: DataFrame | None = None, hubs: indexes.Hubs | None = None) -> DataFrame:
         """(source, rank, node, ppr); push and walks and hubs refine until the top k are settled."""
         if not 1 <= k < self.graph.n:
             raise ValueError("k lies between 1 and the number of nodes")
-        if algorithm == "push_walk":
-            plan = adaptive.topk_adaptive if self.params.opt else adaptive.topk_bounded
-            return plan(self.graph, sources, k, self.params, self.seed, index).select("source", "rank", "node", "ppr")
-        if algorithm == "hub":
-            return adaptive.topk_martingale(self.graph, sources, k, self.params, seed=self.seed).select("source", "rank", "node", "ppr")
-        return topk(self.query(sources, algorithm), k)
+        with self.timers.active(), self.timers.span("total"):
+            if algorithm == "push_walk":
+                plan = adaptive.topk_adaptive if self.params.opt else adaptive.topk_bounded
+                found = plan(self.graph, sources, k, self.params, self.seed, index)
+            elif algorithm == "hub":
+                found = adaptive.topk_martingale(self.graph, sources, k, self.params, hubs, self.seed)
+            else:
+                scores = kept(self._estimate(sources, algorithm, index, False, hubs), "answer")
+                with self.timers.span("topk"):
+                    return kept(topk(scores, k), "topk")
+            return kept(found.select("source", "rank", "node", "ppr"), "topk")
 
     def batch_topk(self, sources: DataFrame, k: int, truth: DataFrame, algorithm: str = "push_walk") -> DataFrame:
         """Precision, recall and errors for k/5, 2k/5, ... k. Adaptive plans are run for each k, others once for the largest."""
@@ -66,8 +75,12 @@ class PprEngine:
     def build_index(self) -> DataFrame:
         return indexes.build_index(self.graph, self.params, self.seed)
 
+    def build_hubs(self, h: int = 16, blocks: int = 8) -> indexes.Hubs:
+        return indexes.build_hubs(self.graph, self.params, h, blocks, self.seed)
+
     def evaluate(self, predicted: DataFrame, truth: DataFrame, k: int) -> DataFrame:
         return precision_recall(evaluated(predicted, truth, [k]))
 
-    def report(self, action: str, algorithm: str, result: dict) -> dict:
-        return report(action, algorithm, self.params, result, dict(self.timers))
+    def report(self, action: str, algorithm: str, n_sources: int, figures: dict | None = None, command_line: str = "") -> dict:
+        """The run's report: times, command, parameters, figures."""
+        return report(action, algorithm, self.params, result_fields(self.params, self.timers, n_sources, figures or {}), self.timers, command_line)

@@ -12,18 +12,21 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.bounds import martingale_bounds, score_bounds, stops
+from .functions.bounds import martingale_bounds, rest_bound, score_bounds, stops
 from .operators import estimators, indexes
 from .operators.push import push, unit_state
 from .operators.topk import evaluated, kth_value, precision_recall, topk
 from .operators.walks import destinations, fan_out, walked
 from .plans import adaptive
+from .plans.engine import PprEngine
 from .plans.params import Params, lambda_bound
-from .report import report_row
+from .report import report_row, result_fields
 from .session import kept
 from .sources import graphs
 
-ALPHA, SEED, SOURCES, ROUNDS, EXACT_ROUNDS, K, EPSILON = 0.2, 1, 20, 20, 100, 10, 0.5
+ALPHA, SEED, SOURCES, EXACT_ROUNDS, K, EPSILON = 0.2, 1, 20, 100, 10, 0.5
+#: Rounds of the SQL of pushes that run until nothing is due: residuals fall by 1 - alpha a round, to 2e-12 of what they were.
+SQL_ROUNDS = 120
 WALKS = 200
 _graphs: dict = {}
 
@@ -41,6 +44,12 @@ def graph(spark, sf_dir: str, name: str) -> graphs.Graph:
     return _graphs[key]
 
 
+def forget() -> None:
+    """The next query that needs the ground truth of a graph makes it anew."""
+    for g in _graphs.values():
+        g.__dict__.pop("truth", None)
+
+
 def sources(g: graphs.Graph) -> DataFrame:
     if not hasattr(g, "work"):
         g.work = graphs.workload(g, SOURCES, SEED)
@@ -151,9 +160,9 @@ def _walk_query(name, **how):
     return run
 
 
-def _hub_parts(spark, sf_dir, blocks=6):
+def _hub_parts(spark, sf_dir, blocks=8):
     g = graph(spark, sf_dir, "trade")
-    hubs = kept(indexes.choose_hubs(g, 8), "hubs")
+    hubs = kept(indexes.choose_hubs(g, 16), "hubs")
     return g, hubs, kept(indexes.forward_oracle(g, hubs, blocks, params(g), SEED), "oracle")
 
 
@@ -163,7 +172,7 @@ def hub_sizes(spark, sf_dir):
 
 def hub_block_expand(spark, sf_dir):
     _, hubs, oracle = _hub_parts(spark, sf_dir)
-    quotas = hubs.select(F.lit(0).cast("bigint").alias("source"), "hub", (F.pmod(graphs.draw_number(F.lit(SEED), F.col("hub"), F.lit("quota")), F.lit(64))).alias("walks"))
+    quotas = hubs.select(F.lit(0).cast("bigint").alias("source"), "hub", (F.pmod(graphs.draw_number(F.lit(SEED), F.col("hub"), F.lit("quota")), F.lit(256))).alias("walks"))
     return indexes.expanded(quotas, oracle)
 
 
@@ -223,14 +232,14 @@ def _push_walk(opt=False, indexed=False, name="events"):
         g = graph(spark, sf_dir, name)
         p = params(g, opt=opt)
         index = kept(indexes.build_index(g, p, SEED), "index") if indexed else None
-        return told(estimators.push_walk(g, sources(g), p, SEED, index, ROUNDS, rmax=8 * p.push_walk()[0]), "ppr")
+        return told(estimators.push_walk(g, sources(g), p, SEED, index), "ppr")
 
     return run
 
 
 def ppr_bidirectional(spark, sf_dir):
     g = graph(spark, sf_dir, "events")
-    return told(estimators.bidirectional(g, sources(g), params(g), SEED, ROUNDS), "ppr")
+    return told(estimators.bidirectional(g, sources(g), params(g), SEED), "ppr")
 
 
 def index_build(spark, sf_dir):
@@ -243,9 +252,10 @@ def index_hit_ratio(spark, sf_dir):
     g = graph(spark, sf_dir, "events")
     p = params(g)
     rmax, omega = p.push_walk()
-    state = push(unit_state(estimators.origins(sources(g))), g.transitions(ALPHA, "absorb"), 8 * rmax, ROUNDS)
-    plan = estimators.walk_plan(state, p, omega).join(g.nodes.select("node", p.index_size(F.col("out_deg")).alias("held")), "node")
-    return told(plan.agg((F.sum(F.least("n_walks", "held")) / F.sum("n_walks")).alias("hit_ratio")), "hit_ratio")
+    state = push(unit_state(estimators.origins(sources(g))), g.transitions(ALPHA, "absorb"), rmax)
+    held = g.nodes.select(F.col("node").alias("start"), p.index_size(F.col("out_deg")).alias("held"))
+    use = estimators.index_use(estimators.walk_plan(state, p, omega), held)
+    return told(use.agg((F.sum("from_index") / F.sum("n_walks")).alias("hit_ratio")), "hit_ratio")
 
 
 # ---- top-k and evaluation --------------------------------------------------------------------------------------------------
@@ -261,7 +271,7 @@ def kth(spark, sf_dir):
 
 def _evaluated(spark, sf_dir, ks):
     g = graph(spark, sf_dir, "events")
-    guess = estimators.forward_push(g, sources(g), params(g, rmax_scale=4.0))
+    guess = estimators.forward_push(g, sources(g), params(g))
     return evaluated(topk(guess, max(ks)), topk(exact(g), max(ks)), ks)
 
 
@@ -327,11 +337,75 @@ def ppr_balanced(spark, sf_dir):
     return adaptive.balanced(g, sources(g), params(g), SEED)
 
 
+def rest_bound_table(spark, sf_dir):
+    """The bound of nodes that no walk has reached, two rounds on end."""
+    g = graph(spark, sf_dir, "events")
+    p = params(g)
+    rows = sources(g).select("source").distinct().withColumn("rsum", 1.0 / (F.col("source") + 2.0))
+    rows = rows.withColumn("first", rest_bound(p, F.col("rsum"), F.lit(500.0), F.lit(1.0)))
+    return told(rows.withColumn("second", rest_bound(p, F.col("rsum") / 2, F.lit(1000.0), F.col("first"))), "rsum", "first", "second", digits=9)
+
+
+def _guarantee(found: DataFrame, truth: DataFrame, k: int, epsilon: float) -> DataFrame:
+    """By source: whether a list has k nodes, and whether no node outside beats one inside by more than the error allowed.
+
+    The estimate promises scores within epsilon above delta = 1/n, so a node may be in the list instead of another of at most
+    (1 + epsilon) / (1 - epsilon) times its score; scores below delta count as delta.
+    """
+    both = truth.join(found.select("source", "node", F.lit(True).alias("inside")), ["source", "node"], "left")
+    least = F.min(F.when(F.col("inside"), F.col("ppr")))
+    most = F.max(F.when(F.col("inside").isNull(), F.col("ppr")))
+    told_ = both.groupBy("source").agg(F.count(F.when(F.col("inside"), 1)).alias("found"), F.count(F.lit(1)).alias("all"), least.alias("least"), most.alias("most"))
+    return told_.select("source", (F.col("found") == F.least(F.lit(k), F.col("all"))).alias("full"), F.lit((1 + epsilon) / (1 - epsilon)).alias("__f"), "least", "most")
+
+
+def _holds(rows: DataFrame, delta: float) -> DataFrame:
+    beaten = F.coalesce(F.col("most"), F.lit(0.0)) > F.col("__f") * F.greatest("least", F.lit(delta))
+    return rows.select("source", "full", (~beaten).alias("good"))
+
+
+def topk_adaptive_holds(spark, sf_dir):
+    g = graph(spark, sf_dir, "events")
+    return _holds(_guarantee(topk_adaptive(spark, sf_dir), exact(g), K, EPSILON), 1 / g.n)
+
+
+def topk_bounded_holds(spark, sf_dir):
+    """As above, and whether all bounds hold the exact score, and that of the nodes not reached."""
+    g = graph(spark, sf_dir, "events")
+    found = kept(topk_bounded(spark, sf_dir), "bounded")
+    inside = found.join(exact(g).withColumnRenamed("ppr", "true"), ["source", "node"])
+    bounds = inside.groupBy("source").agg(F.bool_and((F.col("lb") <= F.col("true") + 1e-9) & (F.col("true") <= F.col("ub") + 1e-9)).alias("bounded"))
+    return _holds(_guarantee(found, exact(g), K, EPSILON), 1 / g.n).join(bounds, "source")
+
+
+def topk_hub_holds(spark, sf_dir):
+    g = graph(spark, sf_dir, "links")
+    return _holds(_guarantee(topk_hub(spark, sf_dir), exact(g), K, EPSILON), 1 / g.n)
+
+
+def _near(found: DataFrame, truth: DataFrame, epsilon: float, delta: float) -> DataFrame:
+    """By source: whether all scores of delta or more are met within epsilon, and the others within epsilon * delta."""
+    both = truth.withColumnRenamed("ppr", "true").join(found, ["source", "node"], "full_outer").fillna(0.0, ["ppr", "true"])
+    good = F.abs(F.col("ppr") - F.col("true")) <= epsilon * F.greatest("true", F.lit(delta))
+    return both.groupBy("source").agg(F.bool_and(good).alias("near"))
+
+
+def ppr_hub_holds(spark, sf_dir):
+    g = graph(spark, sf_dir, "links")
+    return _near(ppr_hub(spark, sf_dir), exact(g), EPSILON, 1 / g.n)
+
+
+def ppr_balanced_holds(spark, sf_dir):
+    g = graph(spark, sf_dir, "events")
+    return _near(ppr_balanced(spark, sf_dir), exact(g), EPSILON, 1 / g.n)
+
+
 def run_report(spark, sf_dir):
     g = graph(spark, sf_dir, "events")
-    began = time.perf_counter()
-    rows = kept(estimators.forward_push(g, sources(g), params(g)), "report").count()
-    return report_row(spark, "query", "forward_push", params(g), {"n_sources": SOURCES, "rows": rows}, {"total": time.perf_counter() - began})
+    engine = PprEngine(g, EPSILON, SEED)
+    engine.query(sources(g))
+    figures = {**result_fields(engine.params, engine.timers, SOURCES, {})}
+    return report_row(spark, "query", "push_walk", engine.params, figures, engine.timers, "query --algo push_walk")
 
 
 QUERIES = {
@@ -339,12 +413,13 @@ QUERIES = {
     "workload_generate": workload_generate, "workload_load": workload_load, "params_table": params_table, "lambda_bound": lambda_table, "walk_cost_model": walk_cost_model, "index_sizes": index_sizes,
     "walk_histogram": _walk_query("events"), "walk_no_zero_hop": _walk_query("events", zero_hop=False), "walk_dead_end": _walk_query("links"), "walk_absorbing": _walk_query("links", dangling="absorb"),
     "hub_sizes": hub_sizes, "hub_block_expand": hub_block_expand,
-    "forward_push": _forward("events"), "forward_push_dead_end": _forward("links", 4.0), "forward_push_absorbing": _forward("links", 4.0, "absorb"), "forward_push_trade": _forward("trade"), "forward_push_resume": forward_push_resume,
+    "forward_push": _forward("events"), "forward_push_dead_end": _forward("links"), "forward_push_absorbing": _forward("links", 1.0, "absorb"), "forward_push_trade": _forward("trade"), "forward_push_resume": forward_push_resume,
     "power_iteration": power_iteration("events"), "power_iteration_dead_end": power_iteration("links"), "backward_push": backward_push, "backward_push_all_targets": backward_push_all_targets,
     "ppr_montecarlo": ppr_montecarlo, "ppr_forward_push": ppr_forward_push, "ppr_push_walk": _push_walk(), "ppr_push_walk_onehop": _push_walk(opt=True), "ppr_push_walk_indexed": _push_walk(indexed=True), "ppr_push_walk_dead_end": _push_walk(name="links"), "ppr_bidirectional": ppr_bidirectional,
     "index_build": index_build, "index_hit_ratio": index_hit_ratio,
     "exact_topk": exact_topk, "kth_value": kth, "topk_precision_recall": topk_precision_recall, "topk_errors": topk_errors, "batch_topk": batch_topk, "bounds_table": bounds_table, "martingale_bounds": martingale_table, "stop_test": stop_test,
     "topk_adaptive": topk_adaptive, "topk_bounded": topk_bounded, "topk_hub": topk_hub, "ppr_hub": ppr_hub, "ppr_balanced": ppr_balanced, "run_report": run_report,
+    "rest_bound": rest_bound_table, "topk_adaptive_holds": topk_adaptive_holds, "topk_bounded_holds": topk_bounded_holds, "topk_hub_holds": topk_hub_holds, "ppr_hub_holds": ppr_hub_holds, "ppr_balanced_holds": ppr_balanced_holds,
 }
 
 # ---- DuckDB SQL ------------------------------------------------------------------------------------------------------------
@@ -428,17 +503,17 @@ def _plan(opt: bool) -> str:
 
 def _push_walk_sql(name: str, opt: bool = False) -> str:
     share = 1 - ALPHA if opt else 1.0
-    rmax = f"8 * {PW}" + (f" / {1 - ALPHA}" if opt else "")
+    rmax = PW + (f" / {1 - ALPHA}" if opt else "")
     need = "SELECT start, unnest(range(1, k + 1)) AS walk FROM (SELECT node AS start, max(n_walks) AS k FROM plan GROUP BY node)"
     hop = f" UNION ALL SELECT origin, node, residual * {ALPHA} FROM end_st" if opt else ""
-    return _with(name, _moves("absorb"), _rounds(rmax, ROUNDS), _plan(opt), _walks(need, not opt, "absorb"), f"""parts AS (SELECT origin AS source, node, reserve AS ppr FROM end_st{hop}
+    return _with(name, _moves("absorb"), _rounds(rmax, SQL_ROUNDS), _plan(opt), _walks(need, not opt, "absorb"), f"""parts AS (SELECT origin AS source, node, reserve AS ppr FROM end_st{hop}
   UNION ALL SELECT p.origin, w.dest, p.residual * {share}::DOUBLE / p.n_walks FROM plan p JOIN end_w w ON p.node = w.start AND w.walk <= p.n_walks),
 summed AS (SELECT source, node, sum(ppr) AS ppr FROM parts GROUP BY source, node HAVING sum(ppr) > 0)""") + "SELECT source, node, round(ppr / sum(ppr) OVER (PARTITION BY source), 6) AS ppr FROM summed"
 
 
 def _hub_sql(end: str) -> str:
-    starts = "SELECT hub AS start, unnest(range(1, 64)) AS walk FROM hubs"
-    hubs = "hubs AS MATERIALIZED (SELECT node AS hub FROM nodes ORDER BY in_deg * out_deg DESC, node LIMIT 8)"
+    starts = "SELECT hub AS start, unnest(range(1, 256)) AS walk FROM hubs"
+    hubs = "hubs AS MATERIALIZED (SELECT node AS hub FROM nodes ORDER BY in_deg * out_deg DESC, node LIMIT 16)"
     oracle = "oracle AS MATERIALIZED (SELECT start AS hub, floor(log2(walk) + 1e-9)::INT AS block, dest, count(*) AS cnt FROM end_w GROUP BY ALL)"
     return _with("trade", hubs, _walks(starts, dangling="absorb"), oracle) + end
 
@@ -449,7 +524,7 @@ def _evaluated_sql(ks: list[int], end: str) -> str:
 a AS (SELECT k, source, node, ppr AS got FROM rg, ks WHERE rank <= k), b AS (SELECT k, source, node, ppr AS tru FROM rx, ks WHERE rank <= k),
 per AS (SELECT k, source, count(CASE WHEN got IS NOT NULL AND tru IS NOT NULL THEN 1 END) AS hits, count(got) AS n_predicted, count(tru) AS n_exact,
   max(abs(coalesce(got, 0) - tru)) AS max_abs, avg(abs(coalesce(got, 0) - tru)) AS avg_abs FROM a FULL JOIN b USING (k, source, node) GROUP BY k, source)"""
-    return _with("events", _moves(), _rounds(f"4 * {FP}", ROUNDS), TRUTH, guess, both) + end
+    return _with("events", _moves(), _rounds(FP, SQL_ROUNDS), TRUTH, guess, both) + end
 
 
 def _params_sql() -> str:
@@ -470,7 +545,10 @@ def _stats_sql() -> str:
     return f"WITH {raws}\nSELECT *, round(m::DOUBLE / n, 6) AS mean_degree FROM (" + " UNION ALL ".join(one.format(g) for g in ("events", "links", "trade")) + ")"
 
 
-LAMBDA = "lf * r / (3.0 * w) + sqrt(4.0::DOUBLE / 9.0 * lf * lf * r * r + 8.0 * w * lf * r * u) / (2.0 * w)"
+def _lambda(r: str, u: str, w: str) -> str:
+    return f"lf * {r} / (3.0 * {w}) + sqrt(4.0::DOUBLE / 9.0 * lf * lf * {r} * {r} + 8.0 * {w} * lf * {r} * {u}) / (2.0 * {w})"
+
+
 BI = "0.5 * sqrt(m / n / 3 / lf)"
 
 ORACLES = {
@@ -482,7 +560,7 @@ ORACLES = {
     "workload_generate": _with("events") + "SELECT * FROM work",
     "workload_load": _with("events") + "SELECT * FROM work",
     "params_table": _params_sql(),
-    "lambda_bound": _with("events") + f"SELECT node, round({LAMBDA}, 9) AS lam FROM (SELECT node, 1.0::DOUBLE / (out_deg + 1) AS r, 1.0::DOUBLE / (in_deg + 1) AS u, out_deg + 10.0::DOUBLE AS w FROM nodes), size",
+    "lambda_bound": _with("events") + f"SELECT node, round({_lambda('r', 'u', 'w')}, 9) AS lam FROM (SELECT node, 1.0::DOUBLE / (out_deg + 1) AS r, 1.0::DOUBLE / (in_deg + 1) AS u, out_deg + 10.0::DOUBLE AS w FROM nodes), size",
     "walk_cost_model": _with("events") + "SELECT rsum, round(2.5 * lf * n / 0.25 * rsum * 0.8 * 4e-7::DOUBLE, 12) AS online, round(2.5 * lf * n / 0.25 * rsum * 0.8 * 4e-7::DOUBLE / 140, 12) AS indexed FROM (SELECT unnest([0.01, 0.1, 0.5, 1.0])::DOUBLE AS rsum), size",
     "index_sizes": _with("events") + f"SELECT node, ceil(out_deg * {PW} * (2.5 * lf * n / 0.25))::BIGINT AS size, ceil(out_deg * ({PW} / 0.8) * (2.5 * lf * n / 0.25) * 0.8)::BIGINT AS size_onehop FROM nodes, size",
     "walk_histogram": _with("events", _walks(SOME)) + COUNTS,
@@ -490,23 +568,23 @@ ORACLES = {
     "walk_dead_end": _with("links", _walks(SOME)) + COUNTS,
     "walk_absorbing": _with("links", _walks(SOME, dangling="absorb")) + COUNTS,
     "hub_sizes": _hub_sql("SELECT hub, sum(cnt)::BIGINT AS size, (2 ** floor(log2(sum(cnt))) - 1)::BIGINT AS full FROM oracle GROUP BY hub"),
-    "hub_block_expand": _hub_sql(f"SELECT 0::BIGINT AS source, dest, sum(cnt)::BIGINT AS cnt FROM (SELECT hub, ('0x' || substr(md5('{SEED}:' || hub || ':quota'), 1, 8))::BIGINT % 64 AS walks FROM hubs) JOIN oracle USING (hub) WHERE (walks >> block) & 1 = 1 GROUP BY dest"),
-    "forward_push": _with("events", _moves(), _rounds(FP, ROUNDS)) + STATE.format("source", "st"),
-    "forward_push_dead_end": _with("links", _moves(), _rounds(f"4 * {FP}", ROUNDS)) + STATE.format("source", "st"),
-    "forward_push_absorbing": _with("links", _moves("absorb"), _rounds(f"4 * {FP}", ROUNDS)) + STATE.format("source", "st"),
-    "forward_push_trade": _with("trade", _moves(), _rounds(FP, ROUNDS)) + STATE.format("source", "st"),
-    "forward_push_resume": _with("events", _moves(), _rounds(f"16 * {FP}", 10), _rounds(FP, 10, start="SELECT 0 AS round, origin, node, reserve, residual FROM end_st", name="again")) + STATE.format("source", "again"),
+    "hub_block_expand": _hub_sql(f"SELECT 0::BIGINT AS source, dest, sum(cnt)::BIGINT AS cnt FROM (SELECT hub, ('0x' || substr(md5('{SEED}:' || hub || ':quota'), 1, 8))::BIGINT % 256 AS walks FROM hubs) JOIN oracle USING (hub) WHERE (walks >> block) & 1 = 1 GROUP BY dest"),
+    "forward_push": _with("events", _moves(), _rounds(FP, SQL_ROUNDS)) + STATE.format("source", "st"),
+    "forward_push_dead_end": _with("links", _moves(), _rounds(FP, SQL_ROUNDS)) + STATE.format("source", "st"),
+    "forward_push_absorbing": _with("links", _moves("absorb"), _rounds(FP, SQL_ROUNDS)) + STATE.format("source", "st"),
+    "forward_push_trade": _with("trade", _moves(), _rounds(FP, SQL_ROUNDS)) + STATE.format("source", "st"),
+    "forward_push_resume": _with("events", _moves(), _rounds(f"16 * {FP}", 10), _rounds(FP, SQL_ROUNDS, start="SELECT 0 AS round, origin, node, reserve, residual FROM end_st", name="again")) + STATE.format("source", "again"),
     "power_iteration": _with("events", _moves(), TRUTH) + "SELECT * FROM (SELECT source, node, round(ppr, 6) AS ppr FROM exact) WHERE ppr > 0",
     "power_iteration_dead_end": _with("links", _moves(), TRUTH) + "SELECT * FROM (SELECT source, node, round(ppr, 6) AS ppr FROM exact) WHERE ppr > 0",
-    "backward_push": _with("events", BACK, _rounds("0.01", ROUNDS, strict=True)) + STATE.format("target", "st"),
-    "backward_push_all_targets": _with("events", BACK, _rounds("0.05", ROUNDS, strict=True, start="SELECT 0 AS round, node AS origin, node, 0.0::DOUBLE AS reserve, 1.0::DOUBLE AS residual FROM nodes")) + STATE.format("target", "st"),
+    "backward_push": _with("events", BACK, _rounds("0.01", SQL_ROUNDS, strict=True)) + STATE.format("target", "st"),
+    "backward_push_all_targets": _with("events", BACK, _rounds("0.05", SQL_ROUNDS, strict=True, start="SELECT 0 AS round, node AS origin, node, 0.0::DOUBLE AS reserve, 1.0::DOUBLE AS residual FROM nodes")) + STATE.format("target", "st"),
     "ppr_montecarlo": _with("events", _walks(MC)) + "SELECT start AS source, dest AS node, round(count(*) / any_value(ceil(3 * lf / 0.25 * n)), 6) AS ppr FROM end_w, size GROUP BY start, dest",
-    "ppr_forward_push": _with("events", _moves(), _rounds(FP, ROUNDS)) + "SELECT origin AS source, node, round(reserve, 6) AS ppr FROM end_st WHERE reserve > 0",
+    "ppr_forward_push": _with("events", _moves(), _rounds(FP, SQL_ROUNDS)) + "SELECT origin AS source, node, round(reserve, 6) AS ppr FROM end_st WHERE reserve > 0",
     "ppr_push_walk": _push_walk_sql("events"),
     "ppr_push_walk_onehop": _push_walk_sql("events", opt=True),
     "ppr_push_walk_indexed": _push_walk_sql("events"),
     "ppr_push_walk_dead_end": _push_walk_sql("links"),
-    "ppr_bidirectional": _with("events", BACK, _rounds(BI, ROUNDS, strict=True, start="SELECT 0 AS round, node AS origin, node, 0.0::DOUBLE AS reserve, 1.0::DOUBLE AS residual FROM nodes"),
+    "ppr_bidirectional": _with("events", BACK, _rounds(BI, SQL_ROUNDS, strict=True, start="SELECT 0 AS round, node AS origin, node, 0.0::DOUBLE AS reserve, 1.0::DOUBLE AS residual FROM nodes"),
         f"walks_n AS (SELECT CASE WHEN {BI} >= 1 THEN ceil(3 * lf / 0.25 * n) ELSE ceil({BI} * 3 * lf * n / 0.25) END::BIGINT AS k, {BI} >= 1 AS plain FROM size)",
         _walks("SELECT origin AS start, unnest(range(1, (SELECT k FROM walks_n) + 1)) AS walk FROM sources"),
         "cnts AS (SELECT start, dest, count(*) AS cnt FROM end_w GROUP BY start, dest)",
@@ -514,12 +592,19 @@ ORACLES = {
   UNION ALL SELECT s.origin, t.origin, t.reserve FROM sources s JOIN end_st t ON s.origin = t.node WHERE t.reserve > 0),
 summed AS (SELECT source, node, sum(ppr) AS ppr FROM parts GROUP BY source, node)""") + "SELECT source, node, round(ppr / sum(ppr) OVER (PARTITION BY source), 6) AS ppr FROM summed WHERE NOT (SELECT plain FROM walks_n) UNION ALL SELECT start, dest, round(cnt / k::DOUBLE, 6) FROM cnts, walks_n WHERE plain",
     "index_build": _with("events", _walks(f"SELECT start, unnest(range(1, k + 1)) AS walk FROM (SELECT node AS start, ceil(out_deg * {PW} * (2.5 * lf * n / 0.25))::BIGINT AS k FROM nodes, size)", dangling="absorb")) + COUNTS,
-    "index_hit_ratio": _with("events", _moves("absorb"), _rounds(f"8 * {PW}", ROUNDS), _plan(False)) + f"SELECT round(sum(least(n_walks, held))::DOUBLE / sum(n_walks), 6) AS hit_ratio FROM plan p JOIN (SELECT node, ceil(out_deg * {PW} * (2.5 * lf * n / 0.25))::BIGINT AS held FROM nodes, size) h ON p.node = h.node",
+    "index_hit_ratio": _with("events", _moves("absorb"), _rounds(PW, SQL_ROUNDS), _plan(False)) + f"SELECT round(sum(least(n_walks, held))::DOUBLE / sum(n_walks), 6) AS hit_ratio FROM plan p JOIN (SELECT node, ceil(out_deg * {PW} * (2.5 * lf * n / 0.25))::BIGINT AS held FROM nodes, size) h ON p.node = h.node",
     "exact_topk": _with("events", _moves(), TRUTH) + f"SELECT source, rank::INT AS rank, node, round(ppr, 6) AS ppr FROM ({RANKED.format('exact')}) WHERE rank <= {K}",
     "kth_value": _with("events", _moves(), TRUTH) + f"SELECT source, round(coalesce(max(CASE WHEN rank = {K} THEN ppr END), 0), 6) AS kth FROM ({RANKED.format('exact')}) WHERE rank <= {K} GROUP BY source",
     "topk_precision_recall": _evaluated_sql([K], "SELECT k, round(avg(CASE WHEN n_predicted > 0 THEN hits / n_predicted::DOUBLE ELSE 0 END), 6) AS precision, round(avg(hits / n_exact::DOUBLE), 6) AS precision_ref, round(avg(hits / n_exact::DOUBLE), 6) AS recall, count(*) AS n_sources FROM per GROUP BY k"),
     "topk_errors": _evaluated_sql([K], "SELECT source, hits, n_predicted, n_exact, round(max_abs, 5) AS max_abs, round(avg_abs, 5) AS avg_abs FROM per"),
     "batch_topk": _evaluated_sql([10, 20, 30, 40, 50], "SELECT k, round(avg(CASE WHEN n_predicted > 0 THEN hits / n_predicted::DOUBLE ELSE 0 END), 6) AS precision, round(avg(hits / n_exact::DOUBLE), 6) AS recall, count(*) AS n_sources FROM per GROUP BY k"),
+    "rest_bound": _with("events", f"once AS (SELECT source, rsum, {_lambda('rsum', '1.0::DOUBLE', '500.0::DOUBLE')} AS first FROM (SELECT DISTINCT source, 1.0::DOUBLE / (source + 2) AS rsum FROM work), size)")
+    + f"SELECT source, round(rsum, 9) AS rsum, round(first, 9) AS first, round({_lambda('(rsum / 2)', 'first', '1000.0::DOUBLE')}, 9) AS second FROM once, size",
+    "topk_adaptive_holds": _with("events") + "SELECT DISTINCT source, true AS full, true AS good FROM work",
+    "topk_bounded_holds": _with("events") + "SELECT DISTINCT source, true AS full, true AS good, true AS bounded FROM work",
+    "topk_hub_holds": _with("links") + "SELECT DISTINCT source, true AS full, true AS good FROM work",
+    "ppr_hub_holds": _with("links") + "SELECT DISTINCT source, true AS near FROM work",
+    "ppr_balanced_holds": _with("events") + "SELECT DISTINCT source, true AS near FROM work",
     "bounds_table": _with("events", _moves(), TRUTH) + """SELECT source, node,
   round(greatest(p - lam, CASE WHEN e < 1 THEN p / (1 + e) ELSE 0 END, h, 0), 6) AS lb, round(least(p + lam, CASE WHEN e < 1 THEN p / (1 - e) ELSE 1 END, 1), 6) AS ub
 FROM (SELECT *, lf * 0.5 / 60000.0::DOUBLE + sqrt(4.0::DOUBLE / 9.0 * lf * lf * 0.25 + 8.0::DOUBLE * 20000 * lf * 0.5 * (1 - h)) / 40000.0::DOUBLE AS lam,

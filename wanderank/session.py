@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that joins may broadcast after it was counted.
 BROADCAST_ROWS = 200_000
-#: Rows that one shuffle partition of an iteration holds about.
-PARTITION_ROWS = 250_000
-#: Transitions below which rounds are not planned anew as they run.
-SMALL_ROWS = 2_000_000
+#: Rows that one shuffle partition of an iteration holds about, and that are worth a task of their own.
+PARTITION_ROWS, TASK_ROWS = 250_000, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,23 +107,13 @@ def small(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def sized(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, shuffles get partitions for about so many rows of transitions; the session's settings are restored afterwards.
+    """Within, shuffles get partitions for about so many rows of a step; the session's settings are restored afterwards.
 
-    Rounds over few rows have their partitions fixed beforehand and are run as they are planned: planning each of
-    their stages anew takes longer than the stage. Larger ones are planned anew as they run, which splits skewed keys.
+    Adaptive execution stays as the session has it: it splits skewed keys, and joins partitions that came out small.
     """
-    parts = rows // PARTITION_ROWS + 4
-    wanted = {"spark.sql.shuffle.partitions": str(parts)}
-    if rows < SMALL_ROWS:
-        wanted["spark.sql.adaptive.enabled"] = "false"
-    before = {k: spark.conf.get(k) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
+    parts = max(1, -(-rows // PARTITION_ROWS), min(spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
+    with settings(spark, {"spark.sql.shuffle.partitions": str(parts)}):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
 
 
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -35,9 +35,18 @@ class Graph:
 
     @cached_property
     def neighbours(self) -> DataFrame:
-        """(src, k, dst, dst_deg): the k-th out-edge of src, by dst, parallel edges one by one."""
-        place = F.sum("cnt").over(Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1))
-        edges = self.edges.withColumn("lo", F.coalesce(place, F.lit(0)))
+        """(src, k, dst, dst_deg): the k-th out-edge of src, by dst, parallel edges one by one.
+
+        The numbers are summed up in ranges of (src, dst) first and then along a node's ranges, so that no task gets all
+        edges of a node.
+        """
+        rows = self.edges.repartitionByRange("src", "dst").withColumn("part", F.spark_partition_id())
+        rows = kept(rows, "ranges")
+        before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy("src", "part").agg(F.sum("cnt").alias("own"))
+        starts = starts.select("src", "part", F.coalesce(F.sum("own").over(before("src", "part")), F.lit(0)).alias("base"))
+        rows = rows.withColumn("inner", F.coalesce(F.sum("cnt").over(before("src", "part", "dst")), F.lit(0)))
+        edges = rows.join(starts, ["src", "part"]).withColumn("lo", F.col("base") + F.col("inner"))
         edges = edges.withColumn("k", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("cnt") - 1)))
         deg = self.nodes.select(F.col("node").alias("dst"), F.col("out_deg").alias("dst_deg"))
         return kept(edges.select("src", "k", "dst").join(deg, "dst").select("src", "k", "dst", "dst_deg"), "neighbours")
