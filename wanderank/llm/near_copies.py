@@ -44,7 +44,7 @@ BANDS, BAND_ROWS, MINIMA = 20, 5, 400
 #: Share of equal sketch bytes from which a pair is looked at: three standard deviations below ``SIMILAR``.
 LIKELY = 0.74
 #: Shingles whose minima are taken at once; partners of a text that one task compares with it.
-LANE, PARTNERS = 1024, 256
+LANE, PARTNERS = 1024, 64
 #: Rows of a bucket that one task compares the others with.
 PART = 256
 #: Pairs of a component and a bucket that are tried in the first round, and how many times more in each further one.
@@ -143,7 +143,7 @@ def _across(tries: int):
     """Rows of one part of a bucket -> for each component but the bucket's largest its likeliest pairs with others.
 
     A part holds all rows of the smaller components and some of the largest (``big``); the first part also compares the smaller
-    ones among themselves.
+    ones among themselves. Of the buckets that two nodes share only that of the first band proposes the pair.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,10 +151,13 @@ def _across(tries: int):
             node, big, rows = g["node"].to_numpy(np.int64), g["big"].to_numpy(bool), _matrix(list(g["sketch"]))
             _, label = np.unique(g["label"].to_numpy(np.int64), return_inverse=True)
             open_to = np.ones(len(node), bool) if g["first"].iloc[0] else big
+            band, bands = int(g["band"].iloc[0]), rows[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)
             pairs: dict[int, list[tuple[int, int, int]]] = {}
             for i in np.flatnonzero(~big).tolist():
                 agree = (rows == rows[i]).sum(axis=1)
-                for j in np.flatnonzero(open_to & (agree >= LIKELY * MINIMA) & (label != label[i])).tolist():
+                likely = np.flatnonzero(open_to & (agree >= LIKELY * MINIMA) & (label != label[i]))
+                shared = (bands[likely, :band] == bands[i, :band]).all(axis=2).any(axis=1)
+                for j in likely[~shared].tolist():
                     pairs.setdefault(int(label[i]), []).append((-int(agree[j]), i, j))
             chosen = [(p, len(found) > tries) for found in pairs.values() for p in heapq.nsmallest(tries, found)]
             ends = np.array([p[1:] for p, _ in chosen], np.int64).reshape(-1, 2)
@@ -224,7 +227,7 @@ class Copies:
         rows = label.join(maybe_broadcast(mixed, "copies-mixed", BROADCAST_ROWS), "bucket").withColumns({"big": F.col("label") == F.col("largest"), "salts": F.ceil(F.col("n") / PART).cast("int")})
         every = F.sequence(F.lit(0), F.col("salts") - 1)
         rows = rows.withColumn("salt", F.explode(F.when(F.col("big"), F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))).otherwise(every)))
-        rows = rows.join(self.nodes.select("node", "sketch"), "node").select(F.xxhash64("bucket", "salt").alias("part"), (F.col("salt") == 0).alias("first"), "node", "label", "big", "sketch")
+        rows = rows.join(self.nodes.select("node", "sketch"), "node").select(F.xxhash64("bucket", "salt").alias("part"), F.shiftright("bucket", 8 * BAND_ROWS).cast("int").alias("band"), (F.col("salt") == 0).alias("first"), "node", "label", "big", "sketch")
         return rows.repartition(self.parts, "part").sortWithinPartitions("part").mapInPandas(_across(tries), "a bigint, b bigint, more boolean")
 
     def labels(self) -> DataFrame:
