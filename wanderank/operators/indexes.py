@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..plans.params import Params
 from ..report import counted, phase
-from ..session import dropped, kept, sized
+from ..session import kept, sized
 from ..sources.graphs import Graph
 from .estimators import all_targets, from_both_sides, montecarlo, origins
 from .push import push, unit_state
-from .walks import _stepped, destinations, fan_out, walk_length, walked
+from .walks import UNROLL, _stepped, destinations, fan_out, walk_length, walked
 
 #: Levels of the stored backward pushes; a residual there is at most 1 / alpha.
 LEVELS = (0.05, 0.25, 1.0, 5.0)
@@ -85,6 +85,16 @@ def expanded(quotas: DataFrame, oracle: DataFrame) -> DataFrame:
     return quotas.join(oracle, "hub").where(bit).groupBy("source", "dest").agg(F.sum("cnt").alias("cnt"))
 
 
+def _hub_neighbours(graph: Graph, hubs: Hubs) -> DataFrame:
+    """The numbered out-edges, with a mark where they lead to a hub."""
+    known = graph._made.get("hub-neighbours")
+    if known is None or known[0] is not hubs:
+        mark = hubs.hubs.select(F.col("hub").alias("dst"), F.lit(True).alias("dst_hub"))
+        table = graph.neighbours.join(mark, "dst", "left").withColumn("dst_hub", F.coalesce("dst_hub", F.lit(False)))
+        known = graph._made["hub-neighbours"] = (hubs, kept(table, "hub-neighbours"))
+    return known[1]
+
+
 def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, seed: int = 1, first: int = 1, split: bool = False) -> DataFrame:
     """(start, dest, cnt) of walks ``first`` to ``first + n - 1`` from each source; at a hub the rest comes from its stored walks.
 
@@ -104,18 +114,19 @@ def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, s
     counted(walks=lambda: n * starts.count())
     rows = fan_out(starts, number, F.lit(first - 1)).join(deg, "start")
     length = walk_length(seed, F.col("start"), F.col("walk"), p.alpha) + F.when(F.col("is_hub"), 0).otherwise(int(split))
-    alive = rows.select("start", "walk", F.col("start").alias("cur"), "deg", F.lit(0).alias("step"), length.alias("len"), F.col("deg").alias("home"))
-    ended, arrived, more = [], [], True
+    alive = rows.select("start", "walk", F.col("start").alias("cur"), "deg", F.lit(0).alias("step"), length.alias("len"), F.col("deg").alias("home"), F.col("is_hub").alias("hub"))
+    ended, arrived = [], []
     with phase("rand-walks"), sized(spark, n * starts.count()):
-        alive = kept(alive, "hub-walks")
-        while more:
+        while True:
             # arriving at a hub hands the walk over, before it is decided whether it stops there
-            seen = kept(alive.join(mark, "cur", "left"), "hub-seen")
-            dropped(alive)
-            ended.append(seen.where("at_hub is null and step >= len").groupBy("start", F.col("cur").alias("dest")).agg(F.count(F.lit(1)).alias("cnt")))
-            arrived.append(seen.where("at_hub").groupBy(F.col("start").alias("source"), F.col("cur").alias("hub")).agg(F.count(F.lit(1)).alias("all")))
-            alive = kept(_stepped(seen.where("at_hub is null and step < len").drop("at_hub"), graph.neighbours, seed, "absorb"), "hub-walks")
-            more = not alive.isEmpty()
+            for _ in range(UNROLL):
+                alive = _stepped(alive, _hub_neighbours(graph, hubs), seed, "absorb", hubs=True)
+            at = kept(alive, "hub-walks")
+            ended.append(at.where("not hub and step >= len").groupBy("start", F.col("cur").alias("dest")).agg(F.count(F.lit(1)).alias("cnt")))
+            arrived.append(at.where("hub").groupBy(F.col("start").alias("source"), F.col("cur").alias("hub")).agg(F.count(F.lit(1)).alias("all")))
+            alive = at.where("not hub and step < len")
+            if alive.isEmpty():
+                break
     most = (1 << hubs.blocks) - 1
     counts = functools.reduce(DataFrame.unionByName, arrived).groupBy("source", "hub").agg(F.sum("all").alias("all"))
     counts = kept(counts.select("source", "hub", F.least("all", F.lit(most)).alias("walks"), F.greatest(F.col("all") - most, F.lit(0)).alias("more")), "hub-counts")

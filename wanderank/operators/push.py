@@ -60,7 +60,9 @@ def frontier(state: DataFrame, moves: DataFrame, rmax: float, strict: bool = Fal
 def round_rows(state: DataFrame, moves: DataFrame, rmax: float) -> int:
     """About the most rows that a round's join makes: an origin's due nodes have 1 / rmax edges or so, and at most all."""
     origins = state.select("origin").distinct().count()
-    size, nodes = moves.agg(F.count(F.lit(1)), F.count_if("own")).first()
+    if "sizes" not in moves.__dict__:
+        moves.sizes = tuple(moves.agg(F.count(F.lit(1)), F.count_if("own")).first())
+    size, nodes = moves.sizes
     return int(origins * (size if rmax <= 0 else min(size, size / max(1, nodes) / rmax + 1)))
 
 

@@ -48,19 +48,19 @@ def walked(starts: DataFrame, graph: Graph, alpha: float = 0.2, seed: int = 1, z
                 at = alive
                 for _ in range(UNROLL):
                     at = _stepped(at, graph.neighbours, seed, dangling)
-                at = at.withColumn("done", F.expr("step >= len"))
                 at = kept(at, "walks")
                 dropped(alive)
-                finished.append(at.where("done").select("start", "walk", F.col("cur").alias("dest")))
-                left = at.where("not done").drop("done")
-                if left.isEmpty():
+                finished.append(at.where("step >= len").select("start", "walk", F.col("cur").alias("dest")))
+                alive = at.where("step < len")
+                if alive.isEmpty():
                     return functools.reduce(DataFrame.unionByName, finished)
-                alive = kept(left, "walks")
 
 
-def _stepped(alive: DataFrame, neighbours: DataFrame, seed: int, dangling: str) -> DataFrame:
-    """One hop of the walks that have not reached their length; others pass."""
+def _stepped(alive: DataFrame, neighbours: DataFrame, seed: int, dangling: str, hubs: bool = False) -> DataFrame:
+    """One hop of the walks that have not reached their length; others pass. With ``hubs`` walks also rest where ``hub`` is true."""
     goes = F.col("step") < F.col("len")
+    if hubs:
+        goes = goes & ~F.col("hub")
     pick = F.pmod(draw_number(F.lit(seed), F.col("start"), F.col("walk"), F.col("step"), F.lit("next")), F.greatest(F.col("deg"), F.lit(1)))
     a = alive.withColumn("pick", F.when(goes & (F.col("deg") > 0), pick)).alias("a")
     joined = a.join(neighbours.alias("b"), (F.col("a.cur") == F.col("b.src")) & (F.col("a.pick") == F.col("b.k")), "left")
@@ -72,6 +72,7 @@ def _stepped(alive: DataFrame, neighbours: DataFrame, seed: int, dangling: str)
         F.when(moved, F.col("b.dst_deg")).when(stuck, F.col("a.home")).otherwise(F.col("a.deg")).alias("deg"),
         F.when(goes, F.col("a.step") + 1).otherwise(F.col("a.step")).alias("step"),
         F.col("a.len").alias("len"), F.col("a.home").alias("home"), stuck.alias("stuck"),
+        *([F.when(moved, F.col("b.dst_hub")).otherwise(F.col("a.hub")).alias("hub")] if hubs else []),
     )
     return (out.where("not stuck") if dangling == "absorb" else out).drop("stuck")
 

@@ -23,6 +23,10 @@ from ..sources.graphs import Graph
 from .params import Params
 
 
+#: Walks of the first of the doubling batches, as a power of two; fewer settle nothing.
+FIRST_BATCH = 8
+
+
 def _settled(done: DataFrame | None, part: DataFrame) -> DataFrame:
     return part if done is None else done.unionByName(part)
 
@@ -108,7 +112,7 @@ def topk_martingale(graph: Graph, sources: DataFrame, k: int, p: Params, hubs: H
     # bounds start from the targets that the source's reserve or walks reach; all others stay at (0, 1) and are never in the top k
     state, done, total, first = None, None, 0, 1
     live = origins(sources).select(F.col("origin").alias("source"))
-    for i in itertools.count(1):
+    for i in itertools.count(FIRST_BATCH):
         n = 2**i
         found = hub_walks(graph, live, n, hubs, p, seed, first, split=True)
         first, total = first + n, total + n

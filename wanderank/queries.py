@@ -289,18 +289,24 @@ def batch_topk(spark, sf_dir):
 
 
 def bounds_table(spark, sf_dir):
+    """Bounds of a first round, and of a second one that starts from them."""
     g = graph(spark, sf_dir, "events")
-    none = F.lit(None).cast("double")
-    rows = exact(g)
-    lb, ub = score_bounds(params(g), F.round("ppr", 9), F.round(F.col("ppr") * 0.5, 9), none, none, F.lit(0.5), F.lit(20_000.0))
-    return told(rows.select("source", "node", lb.alias("lb"), ub.alias("ub")), "lb", "ub")
+    p, none = params(g), F.lit(None).cast("double")
+    rows = exact(g).select("source", "node", F.round("ppr", 9).alias("p"), F.round(F.col("ppr") * 0.5, 9).alias("h"))
+    lb, ub = score_bounds(p, F.col("p"), F.col("h"), none, none, F.lit(0.5), F.lit(20_000.0))
+    rows = rows.withColumns({"lb": lb, "ub": ub})
+    lb2, ub2 = score_bounds(p, F.col("p"), F.col("h"), F.col("lb"), F.col("ub"), F.lit(0.25), F.lit(40_000.0))
+    return told(rows.select("source", "node", "lb", "ub", lb2.alias("lb2"), ub2.alias("ub2")), "lb", "ub", "lb2", "ub2")
 
 
 def martingale_table(spark, sf_dir):
+    """Martingale bounds of a round, and of a second one that starts from them."""
     g = graph(spark, sf_dir, "events")
-    total = 4094
-    lb, ub = martingale_bounds(0.5, -20.0, total, 1 / g.n, F.round(F.col("ppr") * total, 6), F.round(F.col("ppr") * 0.25, 9), F.lit(0.0), F.lit(1.0))
-    return told(exact(g).select("source", "node", lb.alias("lb"), ub.alias("ub")), "lb", "ub")
+    rows = exact(g).select("source", "node", "ppr", F.round(F.col("ppr") * 0.25, 9).alias("r"), F.lit(0.0).alias("lb"), F.lit(1.0).alias("ub"))
+    for total, low, up in ((4094, "lb", "ub"), (8190, "lb2", "ub2")):
+        lb, ub = martingale_bounds(0.5, -20.0, total, 1 / g.n, F.round(F.col("ppr") * total, 6), F.col("r"), F.col("lb"), F.col("ub"))
+        rows = rows.withColumns({low: lb, up: ub})
+    return told(rows.select("source", "node", "lb", "ub", "lb2", "ub2"), "lb", "ub", "lb2", "ub2")
 
 
 def stop_test(spark, sf_dir):
@@ -549,6 +555,24 @@ def _lambda(r: str, u: str, w: str) -> str:
     return f"lf * {r} / (3.0 * {w}) + sqrt(4.0::DOUBLE / 9.0 * lf * lf * {r} * {r} + 8.0 * {w} * lf * {r} * {u}) / (2.0 * {w})"
 
 
+def _bounds_sql(table: str, rsum: str, walks: str) -> str:
+    """Bounds of rows (source, node, p, h, lb0, ub0) of a table."""
+    lam = _lambda(rsum, "CASE WHEN ub0 > h THEN ub0 - h ELSE 1 - h END", walks)
+    known = "CASE WHEN h > 1 / n THEN greatest(h, coalesce(lb0, 0)) WHEN coalesce(lb0, 0) > 0 THEN lb0 ELSE 1 / n END"
+    return f"""SELECT source, node, p, h,
+  greatest(p - lam, CASE WHEN e < 1 THEN p / (1 + e) ELSE 0 END, CASE WHEN h > 1 / n THEN greatest(h, coalesce(lb0, 0)) ELSE h END, 0) AS lb, least(p + lam, CASE WHEN e < 1 THEN p / (1 - e) ELSE 1 END, 1) AS ub
+FROM (SELECT *, {lam} AS lam, sqrt(2.67::DOUBLE * {rsum} * lf / {walks}) / sqrt({known}) AS e FROM {table} AS t, size)"""
+
+
+def _martingale_sql(table: str, total: int) -> str:
+    """Martingale bounds (rmax 0.5, ln of the failure -20) of rows (source, node, ppr, r, lb, ub) of a table, never wider than before."""
+    t = f"{total}.0::DOUBLE"
+    return f"""SELECT source, node, ppr, r, CASE WHEN low < 1 AND low > lb THEN low ELSE lb END AS lb, CASE WHEN up > 0 AND up < ub THEN up ELSE ub END AS ub FROM (
+  SELECT *, r + CASE WHEN ok AND e < 1 THEN least(w + lam, w / (1 - e)) ELSE w + lam END / {t} AS up, r + CASE WHEN ok THEN greatest(w / (1 + e), w - lam) ELSE w - lam END / {t} AS low FROM (
+    SELECT *, w > 0 AND mean > 0 AS ok, CASE WHEN w > 0 AND mean > 0 THEN (sqrt(a * a + 40.0::DOUBLE * mean) - a) / mean END AS e, sqrt(a * a + 40.0::DOUBLE * {t} * 0.0625) - a AS lam FROM (
+      SELECT *, round(ppr * {t}, 6) AS w, {t} * greatest(1 / n - r, lb - r) AS mean, 0.5::DOUBLE * -20.0 / 3 AS a FROM {table}, size)))"""
+
+
 BI = "0.5 * sqrt(m / n / 3 / lf)"
 
 ORACLES = {
@@ -605,14 +629,12 @@ summed AS (SELECT source, node, sum(ppr) AS ppr FROM parts GROUP BY source, node
     "topk_hub_holds": _with("links") + "SELECT DISTINCT source, true AS full, true AS good FROM work",
     "ppr_hub_holds": _with("links") + "SELECT DISTINCT source, true AS near FROM work",
     "ppr_balanced_holds": _with("events") + "SELECT DISTINCT source, true AS near FROM work",
-    "bounds_table": _with("events", _moves(), TRUTH) + """SELECT source, node,
-  round(greatest(p - lam, CASE WHEN e < 1 THEN p / (1 + e) ELSE 0 END, h, 0), 6) AS lb, round(least(p + lam, CASE WHEN e < 1 THEN p / (1 - e) ELSE 1 END, 1), 6) AS ub
-FROM (SELECT *, lf * 0.5 / 60000.0::DOUBLE + sqrt(4.0::DOUBLE / 9.0 * lf * lf * 0.25 + 8.0::DOUBLE * 20000 * lf * 0.5 * (1 - h)) / 40000.0::DOUBLE AS lam,
-  sqrt(2.67::DOUBLE * 0.5 * lf / 20000) / sqrt(CASE WHEN h > 1 / n THEN h ELSE 1 / n END) AS e FROM (SELECT source, node, round(ppr, 9) AS p, round(ppr * 0.5, 9) AS h FROM exact), size)""",
-    "martingale_bounds": _with("events", _moves(), TRUTH) + """SELECT source, node, round(CASE WHEN low < 1 AND low > 0 THEN low ELSE 0 END, 6) AS lb, round(CASE WHEN up > 0 AND up < 1 THEN up ELSE 1 END, 6) AS ub FROM (
-  SELECT source, node, r + CASE WHEN ok AND e < 1 THEN least(w + lam, w / (1 - e)) ELSE w + lam END / 4094.0::DOUBLE AS up, r + CASE WHEN ok THEN greatest(w / (1 + e), w - lam) ELSE w - lam END / 4094.0::DOUBLE AS low FROM (
-    SELECT *, w > 0 AND mean > 0 AS ok, CASE WHEN w > 0 AND mean > 0 THEN (sqrt(a * a + 40.0::DOUBLE * mean) - a) / mean END AS e, sqrt(a * a + 40.0::DOUBLE * 4094 * 0.0625) - a AS lam FROM (
-      SELECT source, node, round(ppr * 4094, 6) AS w, round(ppr * 0.25, 9) AS r, 4094.0::DOUBLE * greatest(1 / n - round(ppr * 0.25, 9), 0 - round(ppr * 0.25, 9)) AS mean, 0.5::DOUBLE * -20.0 / 3 AS a FROM exact, size)))""",
+    "bounds_table": _with("events", _moves(), TRUTH, "one AS (SELECT source, node, round(ppr, 9) AS p, round(ppr * 0.5, 9) AS h, NULL::DOUBLE AS lb0, NULL::DOUBLE AS ub0 FROM exact)",
+        f"two AS ({_bounds_sql('one', '0.5::DOUBLE', '20000.0::DOUBLE')})", f"three AS ({_bounds_sql('(SELECT source, node, p, h, lb AS lb0, ub AS ub0 FROM two)', '0.25::DOUBLE', '40000.0::DOUBLE')})")
+    + "SELECT source, node, round(two.lb, 6) AS lb, round(two.ub, 6) AS ub, round(three.lb, 6) AS lb2, round(three.ub, 6) AS ub2 FROM two JOIN three USING (source, node)",
+    "martingale_bounds": _with("events", _moves(), TRUTH, "one AS (SELECT source, node, ppr, round(ppr * 0.25, 9) AS r, 0.0::DOUBLE AS lb, 1.0::DOUBLE AS ub FROM exact)",
+        f"two AS ({_martingale_sql('one', 4094)})", f"three AS ({_martingale_sql('two', 8190)})")
+    + "SELECT source, node, round(two.lb, 6) AS lb, round(two.ub, 6) AS ub, round(three.lb, 6) AS lb2, round(three.ub, 6) AS ub2 FROM two JOIN three USING (source, node)",
     "stop_test": _with("events", _moves(), TRUTH) + f"""SELECT source, coalesce(max(CASE WHEN r = {K} THEN p END), 0) >= 0.001 OR (0.0005 < any_value(0.23 / 500 ** 0.77 / n ** 0.23) AND NOT bool_or(b <= {K} AND p * 1.1 > 1.5 * (p * 0.9)) AND max(k) > 0.0005
     AND NOT bool_or(b > {K} AND p > 0 AND p * 1.1 > k * 1.5 AND p * 1.1 <= 3 * (p * 0.9))) AS stop
 FROM (SELECT *, coalesce(max(CASE WHEN b = {K} THEN p * 0.9 END) OVER (PARTITION BY source), 0) AS k FROM (
