@@ -19,6 +19,7 @@ table gives no rows; input columns named like the added ones are replaced.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -124,7 +125,13 @@ class Crf:
     known: bool = True
 
     def potential(self, word: str) -> float:
-        return sum(self.weights.get(f, 0.0) for f in features(word)) + self.bias
+        get = self.weights.get
+        total = self.bias + get("w" + word, 0.0)
+        for n in PREFIXES:
+            if len(word) <= n:
+                break
+            total += get(f"{n}{word[:n]}", 0.0)
+        return total
 
 
 def unlike(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
@@ -345,7 +352,7 @@ class Scorer(dict):
             return np.zeros(len(texts)), spans
         words = [WORD.findall(t) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
-        unary = np.fromiter((self[w] for ws in words for w in ws), float, int(sizes.sum()))
+        unary = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), float, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
         p = marginals(unary, starts[sizes > 0], self.model.trans, self.model.start)
         z = _summary(p, sizes) @ self.model.calibration
