@@ -12,7 +12,10 @@ DATA = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     made = (
         SparkSession.builder.master("local[4]").config("spark.driver.memory", "4g").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config(
+            "spark.checkpoint.dir",
+            str(tmp_path_factory.mktemp("shared")),
+        ).getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
     yield made

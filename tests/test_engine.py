@@ -40,7 +40,20 @@ def table(df, *keys):
     return {tuple(r[k] for k in keys): r for r in df.collect()}
 
 
-@pytest.mark.parametrize("name", ["rest_bound", "topk_adaptive_holds", "topk_bounded_holds", "topk_hub_holds", "ppr_hub_holds", "ppr_balanced_holds", "stop_test", "index_hit_ratio", "hub_sizes"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "rest_bound",
+        "topk_adaptive_holds",
+        "topk_bounded_holds",
+        "topk_hub_holds",
+        "ppr_hub_holds",
+        "ppr_balanced_holds",
+        "stop_test",
+        "index_hit_ratio",
+        "hub_sizes",
+    ],
+)
 def test_queries_equal_their_sql(spark, duck, name):
     same_rows(queries.QUERIES[name](spark, DATA), duck.execute(queries.ORACLES[name]))
 
@@ -97,7 +110,12 @@ def test_hubs_come_near_the_exact_scores_saved_or_not(spark, graph, sources, tru
 
 def test_fan_out_in_blocks_makes_each_number_once(spark):
     rows = spark.createDataFrame([(1, 0, 3 * BLOCK + 5), (2, 7, 9), (3, 4, 4)], "start bigint, lo bigint, n bigint")
-    got = fan_out(rows, F.col("n"), F.col("lo")).groupBy("start").agg(F.count("walk").alias("c"), F.min("walk").alias("a"), F.max("walk").alias("b"), F.count_distinct("walk").alias("d")).collect()
+    got = fan_out(rows, F.col("n"), F.col("lo")).groupBy("start").agg(
+        F.count("walk").alias("c"),
+        F.min("walk").alias("a"),
+        F.max("walk").alias("b"),
+        F.count_distinct("walk").alias("d"),
+    ).collect()
     assert {tuple(r) for r in got} == {(1, 3 * BLOCK + 5, 1, 3 * BLOCK + 5, 3 * BLOCK + 5), (2, 2, 8, 9, 2)}
 
 

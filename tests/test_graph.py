@@ -50,7 +50,11 @@ def test_combined_estimators_agree_with_exact_ones_at_dead_ends(spark):
     edges, start, want = CASES["chain_dead"]
     g = made(spark, edges, 3)
     p = Params(g.n, g.m, epsilon=0.1)
-    for got in (estimators.push_walk(g, source(spark, start), p), estimators.push_walk(g, source(spark, start), p.at(opt=True)), estimators.bidirectional(g, source(spark, start), p)):
+    for got in (
+        estimators.push_walk(g, source(spark, start), p),
+        estimators.push_walk(g, source(spark, start), p.at(opt=True)),
+        estimators.bidirectional(g, source(spark, start), p),
+    ):
         assert scores(got) == pytest.approx(want, abs=0.06)
 
 
@@ -115,6 +119,22 @@ def test_parameters():
     assert p.at(opt=True).push_walk()[0] == pytest.approx(p.push_walk()[0] / 0.8) and math.isclose(p.forward_push(), 0.5 / 9929)
 
 
-@pytest.mark.parametrize("name", ["graph_stats", "edge_multiplicity", "id_remap", "workload_generate", "params_table", "walk_histogram", "walk_absorbing", "forward_push", "forward_push_dead_end", "backward_push", "ppr_push_walk", "index_sizes"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "graph_stats",
+        "edge_multiplicity",
+        "id_remap",
+        "workload_generate",
+        "params_table",
+        "walk_histogram",
+        "walk_absorbing",
+        "forward_push",
+        "forward_push_dead_end",
+        "backward_push",
+        "ppr_push_walk",
+        "index_sizes",
+    ],
+)
 def test_queries_equal_their_sql(spark, duck, name):
     same_rows(queries.QUERIES[name](spark, DATA), duck.execute(queries.ORACLES[name]))

@@ -19,7 +19,12 @@ def score_bounds(p: Params, ppr: Column, reserve: Column, lower: Column, upper:
     relative = F.sqrt(F.lit(2.67) * rsum * p.log_fail / walks) / F.sqrt(known)
     sure = relative < 1
     ub = F.least(ppr + absolute, F.when(sure, ppr / F.when(sure, 1.0 - relative)).otherwise(1.0), F.lit(1.0))
-    lb = F.greatest(ppr - absolute, F.when(sure, ppr / (1.0 + relative)).otherwise(0.0), F.when(reserve > 1 / p.n, F.greatest(reserve, before)).otherwise(reserve), F.lit(0.0))
+    lb = F.greatest(
+        ppr - absolute,
+        F.when(sure, ppr / (1.0 + relative)).otherwise(0.0),
+        F.when(reserve > 1 / p.n, F.greatest(reserve, before)).otherwise(reserve),
+        F.lit(0.0),
+    )
     return lb, ub
 
 
@@ -30,7 +35,16 @@ def martingale_lambda(rmax: float, log_fail: float, total: int) -> float:
     return math.sqrt(a * a - 2 * b * log_fail) - a
 
 
-def martingale_bounds(rmax: float, log_fail: float, total: int, least: float, weight: Column, reserve: Column, lower: Column, upper: Column) -> tuple[Column, Column]:
+def martingale_bounds(
+    rmax: float,
+    log_fail: float,
+    total: int,
+    least: float,
+    weight: Column,
+    reserve: Column,
+    lower: Column,
+    upper: Column,
+) -> tuple[Column, Column]:
     """(lb, ub), never wider than before, from the weight gathered by ``total`` walks."""
     lam, a = martingale_lambda(rmax, log_fail, total), rmax * log_fail / 3
     mean = F.lit(float(total)) * F.greatest(F.lit(least) - reserve, lower - reserve)

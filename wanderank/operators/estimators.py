@@ -31,7 +31,12 @@ def started(graph: Graph, sources: DataFrame, dangling: str = "source") -> DataF
         return state
     ends = graph.nodes.where("out_deg = 0").select("node", F.lit(True).alias("__end"))
     state = state.join(ends, "node", "left")
-    return state.select("origin", "node", F.when(F.col("__end"), 1.0).otherwise(0.0).alias("reserve"), F.when(F.col("__end"), 0.0).otherwise(1.0).alias("residual"))
+    return state.select(
+        "origin",
+        "node",
+        F.when(F.col("__end"), 1.0).otherwise(0.0).alias("reserve"),
+        F.when(F.col("__end"), 0.0).otherwise(1.0).alias("residual"),
+    )
 
 
 def power_iteration(graph: Graph, sources: DataFrame, p: Params, rounds: int = POWER_ITERATIONS) -> DataFrame:
@@ -96,11 +101,23 @@ def combined(state: DataFrame, plan: DataFrame, walks: DataFrame, p: Params) ->
     if p.opt:
         parts = parts.unionByName(state.select(F.col("origin").alias("source"), "node", (F.col("residual") * p.alpha).alias("ppr")))
     carried = plan.alias("r").join(walks.alias("w"), F.expr("r.node = w.start AND w.walk > r.first AND w.walk <= r.first + r.n_walks"))
-    parts = parts.unionByName(carried.select(F.col("r.origin").alias("source"), F.col("w.dest").alias("node"), (F.col("r.residual") * share / F.col("r.n_walks")).alias("ppr")))
+    parts = parts.unionByName(carried.select(
+        F.col("r.origin").alias("source"),
+        F.col("w.dest").alias("node"),
+        (F.col("r.residual") * share / F.col("r.n_walks")).alias("ppr"),
+    ))
     return normalised(parts.groupBy("source", "node").agg(F.sum("ppr").alias("ppr")).where("ppr > 0"))
 
 
-def push_walk(graph: Graph, sources: DataFrame, p: Params, seed: int = 1, index: DataFrame | None = None, rounds: int | None = None, rmax: float | None = None) -> DataFrame:
+def push_walk(
+    graph: Graph,
+    sources: DataFrame,
+    p: Params,
+    seed: int = 1,
+    index: DataFrame | None = None,
+    rounds: int | None = None,
+    rmax: float | None = None,
+) -> DataFrame:
     """Forward push, then walks from what is left; ``index``: stored walks (start, walk, dest) that are used first.
 
     Push and walks let mass vanish at dead ends; the scores are divided by their sum at the end, so that walks and
@@ -148,6 +165,14 @@ def all_targets(graph: Graph, p: Params, rmax: float, rounds: int | None = None)
 
 def from_both_sides(found: DataFrame, back: DataFrame, n: float) -> DataFrame:
     """reserve of the target at the source plus the mean of its residuals at the walks' destinations."""
-    met = found.join(back.where("residual > 0"), F.col("dest") == F.col("node")).select(F.col("start").alias("source"), F.col("origin").alias("node"), (F.col("cnt") * F.col("residual") / F.lit(float(n))).alias("ppr"))
-    direct = found.select("start").distinct().join(back.where("reserve > 0"), F.col("start") == F.col("node")).select(F.col("start").alias("source"), F.col("origin").alias("node"), F.col("reserve").alias("ppr"))
+    met = found.join(back.where("residual > 0"), F.col("dest") == F.col("node")).select(
+        F.col("start").alias("source"),
+        F.col("origin").alias("node"),
+        (F.col("cnt") * F.col("residual") / F.lit(float(n))).alias("ppr"),
+    )
+    direct = found.select("start").distinct().join(back.where("reserve > 0"), F.col("start") == F.col("node")).select(
+        F.col("start").alias("source"),
+        F.col("origin").alias("node"),
+        F.col("reserve").alias("ppr"),
+    )
     return normalised(direct.unionByName(met).groupBy("source", "node").agg(F.sum("ppr").alias("ppr")))

@@ -108,13 +108,26 @@ def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, s
     starts = origins(sources).select(F.col("origin").alias("start"))
     moving = math.ceil((1 - p.alpha) * n) if split else n
     weight = (1 - p.alpha) * n / moving if split else 1.0
-    starts = starts.join(mark.select(F.col("cur").alias("start"), F.col("at_hub").alias("is_hub")), "start", "left").withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
+    starts = starts.join(
+        mark.select(F.col("cur").alias("start"), F.col("at_hub").alias("is_hub")),
+        "start",
+        "left",
+    ).withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
     starts = kept(starts, "hub-starts")
     number = F.lit(first - 1) + F.when(F.col("is_hub"), F.lit(n)).otherwise(F.lit(moving))
     counted(walks=lambda: n * starts.count())
     rows = fan_out(starts, number, F.lit(first - 1)).join(deg, "start")
     length = walk_length(seed, F.col("start"), F.col("walk"), p.alpha) + F.when(F.col("is_hub"), 0).otherwise(int(split))
-    alive = rows.select("start", "walk", F.col("start").alias("cur"), "deg", F.lit(0).alias("step"), length.alias("len"), F.col("deg").alias("home"), F.col("is_hub").alias("hub"))
+    alive = rows.select(
+        "start",
+        "walk",
+        F.col("start").alias("cur"),
+        "deg",
+        F.lit(0).alias("step"),
+        length.alias("len"),
+        F.col("deg").alias("home"),
+        F.col("is_hub").alias("hub"),
+    )
     ended, arrived = [], []
     with phase("rand-walks"), sized(spark, n * starts.count()):
         while True:
@@ -129,12 +142,18 @@ def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, s
                 break
     most = (1 << hubs.blocks) - 1
     counts = functools.reduce(DataFrame.unionByName, arrived).groupBy("source", "hub").agg(F.sum("all").alias("all"))
-    counts = kept(counts.select("source", "hub", F.least("all", F.lit(most)).alias("walks"), F.greatest(F.col("all") - most, F.lit(0)).alias("more")), "hub-counts")
+    counts = kept(
+        counts.select("source", "hub", F.least("all", F.lit(most)).alias("walks"), F.greatest(F.col("all") - most, F.lit(0)).alias("more")),
+        "hub-counts",
+    )
     counted(index_walks=lambda: counts.agg(F.coalesce(F.sum("walks"), F.lit(0))).first()[0])
     stored = expanded(counts, hubs.forward).select(F.col("source").alias("start"), "dest", "cnt")
     need = counts.where("more > 0").groupBy(F.col("hub").alias("start")).agg(F.max("more").alias("n"))
     online = walked(fan_out(need, F.col("n") + most, F.lit(most)).select("start", "walk"), graph, p.alpha, seed, dangling="absorb").alias("w")
-    rest = counts.alias("c").join(online, (F.col("c.hub") == F.col("w.start")) & (F.col("w.walk") <= F.col("c.more") + most)).groupBy(F.col("c.source").alias("start"), F.col("w.dest").alias("dest")).agg(F.count(F.lit(1)).alias("cnt"))
+    rest = counts.alias("c").join(
+        online,
+        (F.col("c.hub") == F.col("w.start")) & (F.col("w.walk") <= F.col("c.more") + most),
+    ).groupBy(F.col("c.source").alias("start"), F.col("w.dest").alias("dest")).agg(F.count(F.lit(1)).alias("cnt"))
     parts = functools.reduce(DataFrame.unionByName, ended).unionByName(stored).unionByName(rest)
     if not split:
         return parts.groupBy("start", "dest").agg(F.sum("cnt").alias("cnt"))
@@ -149,7 +168,13 @@ def backward_oracle(graph: Graph, hubs: DataFrame, p: Params, rmax: float) -> Da
     for level in LEVELS:
         start = hubs.select(F.col("hub").alias("origin"), F.col("hub").alias("node"), F.lit(0.0).alias("reserve"), F.lit(level).alias("residual"))
         state = push(start, graph.backward(p.alpha), rmax, strict=True)
-        part = state.select(F.col("origin").alias("src"), F.col("node").alias("dst"), (F.col("reserve") / level).alias("rsv"), (F.col("residual") / level).alias("res"), F.lit(level).alias("lvl"))
+        part = state.select(
+            F.col("origin").alias("src"),
+            F.col("node").alias("dst"),
+            (F.col("reserve") / level).alias("rsv"),
+            (F.col("residual") / level).alias("res"),
+            F.lit(level).alias("lvl"),
+        )
         out = part if out is None else out.unionByName(part)
     return kept(out, "backward-oracle")
 
@@ -209,4 +234,21 @@ def hub_ppr(graph: Graph, sources: DataFrame, p: Params, hubs: Hubs | None = Non
     return from_both_sides(hub_walks(graph, sources, n, hubs, p, seed), hub_all_targets(graph, hubs, p, rmax), n)
 
 
-__all__ = ["Hubs", "backward_oracle", "build_hubs", "build_index", "choose_hubs", "destinations", "expanded", "forward_oracle", "hub_all_targets", "hub_ppr", "hub_walks", "load_hubs", "load_index", "oracle_sizes", "save_hubs", "save_index"]
+__all__ = [
+    "Hubs",
+    "backward_oracle",
+    "build_hubs",
+    "build_index",
+    "choose_hubs",
+    "destinations",
+    "expanded",
+    "forward_oracle",
+    "hub_all_targets",
+    "hub_ppr",
+    "hub_walks",
+    "load_hubs",
+    "load_index",
+    "oracle_sizes",
+    "save_hubs",
+    "save_index",
+]

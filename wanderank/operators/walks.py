@@ -38,7 +38,14 @@ def walked(starts: DataFrame, graph: Graph, alpha: float = 0.2, seed: int = 1, z
     deg = graph.nodes.select(F.col("node").alias("start"), F.col("out_deg").alias("deg"))
     rows = starts.select("start", "walk").join(deg, "start")
     hops = walk_length(seed, F.col("start"), F.col("walk"), alpha, zero_hop)
-    alive = rows.select("start", "walk", F.col("start").alias("cur"), F.col("deg").alias("deg"), F.lit(0).alias("step"), F.when((F.col("deg") == 0) & (F.lit(dangling) != "absorb"), 0).otherwise(hops).alias("len"))
+    alive = rows.select(
+        "start",
+        "walk",
+        F.col("start").alias("cur"),
+        F.col("deg").alias("deg"),
+        F.lit(0).alias("step"),
+        F.when((F.col("deg") == 0) & (F.lit(dangling) != "absorb"), 0).otherwise(hops).alias("len"),
+    )
     alive = alive.withColumn("home", F.col("deg"))
     finished, spark = [], starts.sparkSession
     with phase("rand-walks"):

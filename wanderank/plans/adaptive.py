@@ -76,13 +76,19 @@ def topk_bounded(graph: Graph, sources: DataFrame, k: int, p: Params, seed: int
         bound = rest_bound(now, F.coalesce("rsum", F.lit(0.0)), F.coalesce("walks", F.lit(1)), F.col("rest_ub"))
         rest = kept(rest.join(spent, "source", "left").select("source", bound.alias("rest_ub")), "bounds-rest")
         rows = ppr.join(spent, "source", "left").join(state.select(F.col("origin").alias("source"), "node", "reserve"), ["source", "node"], "left")
-        rows = rows.join(old, ["source", "node"], "left") if old is not None else rows.withColumns({"lb0": F.lit(None).cast("double"), "ub0": F.lit(None).cast("double")})
+        rows = rows.join(old, ["source", "node"], "left") if old is not None else rows.withColumns({
+            "lb0": F.lit(None).cast("double"),
+            "ub0": F.lit(None).cast("double"),
+        })
         lb, ub = score_bounds(now, F.col("ppr"), F.col("reserve"), F.col("lb0"), F.col("ub0"), F.coalesce("rsum", F.lit(0.0)), F.coalesce("walks", F.lit(1)))
         bounds = kept(rows.select("source", "node", "ppr", lb.alias("lb"), ub.alias("ub")), "bounds")
         ready = kept(stops(bounds, now, k), "bounds-stop")
         last = delta <= least
         best = topk(bounds, k).join(bounds.select("source", "node", "lb", "ub"), ["source", "node"]).join(rest, "source")
-        done = _settled(done, best.join(ready if last else ready.where("stop"), "source", "left_semi").select("source", "rank", "node", "ppr", "lb", "ub", "rest_ub"))
+        done = _settled(
+            done,
+            best.join(ready if last else ready.where("stop"), "source", "left_semi").select("source", "rank", "node", "ppr", "lb", "ub", "rest_ub"),
+        )
         left = ready.where("not stop")
         if last or left.isEmpty():
             return done
@@ -122,10 +128,26 @@ def topk_martingale(graph: Graph, sources: DataFrame, k: int, p: Params, hubs: H
         if state is not None:
             parts = parts.unionByName(state.select("source", "target", F.col("weight").alias("w")))
         rows = parts.groupBy("source", "target").agg(F.sum("w").alias("weight")).join(own, ["source", "target"], "left").withColumn("reserve", F.coalesce("reserve", F.lit(0.0)))
-        rows = rows.join(state.select("source", "target", F.col("lb").alias("lb0"), F.col("ub").alias("ub0")), ["source", "target"], "left") if state is not None else rows.withColumns({"lb0": F.lit(0.0), "ub0": F.lit(1.0)})
-        lb, ub = martingale_bounds(rmax, log_fail, total, 1 / p.n, F.col("weight"), F.col("reserve"), F.coalesce("lb0", F.lit(0.0)), F.coalesce("ub0", F.lit(1.0)))
+        rows = rows.join(
+            state.select("source", "target", F.col("lb").alias("lb0"), F.col("ub").alias("ub0")),
+            ["source", "target"],
+            "left",
+        ) if state is not None else rows.withColumns({"lb0": F.lit(0.0), "ub0": F.lit(1.0)})
+        lb, ub = martingale_bounds(
+            rmax,
+            log_fail,
+            total,
+            1 / p.n,
+            F.col("weight"),
+            F.col("reserve"),
+            F.coalesce("lb0", F.lit(0.0)),
+            F.coalesce("ub0", F.lit(1.0)),
+        )
         state = kept(rows.select("source", "target", "weight", "reserve", lb.alias("lb"), ub.alias("ub")), "martingale")
-        ranked_rows = topk(state.select("source", F.col("target").alias("node"), F.col("lb").alias("ppr"), "ub", "lb").where("ppr > 0"), k).withColumnRenamed("ppr", "lb")
+        ranked_rows = topk(
+            state.select("source", F.col("target").alias("node"), F.col("lb").alias("ppr"), "ub", "lb").where("ppr > 0"),
+            k,
+        ).withColumnRenamed("ppr", "lb")
         ranked_rows = ranked_rows.join(state.select("source", F.col("target").alias("node"), "ub"), ["source", "node"])
         best = kept(ranked_rows.select("source", "rank", "node", ((F.col("lb") + F.col("ub")) / 2).alias("ppr"), "lb", "ub"), "martingale-top")
         kth = best.where(F.col("rank") == k)
@@ -138,7 +160,10 @@ def topk_martingale(graph: Graph, sources: DataFrame, k: int, p: Params, hubs: H
         if live.isEmpty():
             return done
         floor = kth.select("source", F.col("lb").alias("floor"))
-        state = kept(state.join(live, "source", "left_semi").join(floor, "source", "left").where("floor is null or ub > floor").drop("floor"), "martingale-state")
+        state = kept(
+            state.join(live, "source", "left_semi").join(floor, "source", "left").where("floor is null or ub > floor").drop("floor"),
+            "martingale-state",
+        )
 
 
 def balanced(graph: Graph, sources: DataFrame, p: Params, seed: int = 1) -> DataFrame:

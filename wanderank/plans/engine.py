@@ -37,7 +37,14 @@ class PprEngine:
             return indexes.hub_ppr(g, sources, p, hubs, s)
         raise ValueError(f"algorithm is one of {', '.join(ALGORITHMS)}")
 
-    def query(self, sources: DataFrame, algorithm: str = "push_walk", index: DataFrame | None = None, balanced: bool = False, hubs: indexes.Hubs | None = None) -> DataFrame:
+    def query(
+        self,
+        sources: DataFrame,
+        algorithm: str = "push_walk",
+        index: DataFrame | None = None,
+        balanced: bool = False,
+        hubs: indexes.Hubs | None = None,
+    ) -> DataFrame:
         """(source, node, ppr) of all nodes that the estimate reaches, written to the shared folder, so that the times are those of the work."""
         with self.timers.active(), self.timers.span("total"):
             return kept(self._estimate(sources, algorithm, index, balanced, hubs), "answer")

@@ -78,7 +78,11 @@ def graph_stats(spark, sf_dir):
     out = None
     for name in ("events", "links", "trade"):
         g = graph(spark, sf_dir, name)
-        row = g.nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("out_deg").alias("m"), F.count(F.when(F.col("out_deg") == 0, 1)).alias("dead_ends")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("distinct_edges")))
+        row = g.nodes.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("out_deg").alias("m"),
+            F.count(F.when(F.col("out_deg") == 0, 1)).alias("dead_ends"),
+        ).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("distinct_edges")))
         row = row.select(F.lit(name).alias("graph"), "n", "m", "dead_ends", "distinct_edges", (F.col("m") / F.col("n")).alias("mean_degree"))
         out = row if out is None else out.unionByName(row)
     return told(out, "mean_degree")
@@ -90,7 +94,11 @@ def edge_multiplicity(spark, sf_dir):
 
 def self_loop_filter(spark, sf_dir):
     rows = graphs.events_flow(spark, sf_dir)
-    return rows.agg(F.count(F.lit(1)).alias("m_declared"), F.count(F.when(F.col("src") != F.col("dst"), 1)).alias("m_loaded"), F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("self_loops"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("m_declared"),
+        F.count(F.when(F.col("src") != F.col("dst"), 1)).alias("m_loaded"),
+        F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("self_loops"),
+    )
 
 
 def id_remap(spark, sf_dir):
@@ -124,7 +132,23 @@ def params_table(spark, sf_dir):
     for name in ("events", "links", "trade"):
         p = params(graph(spark, sf_dir, name))
         opt, b, f, t = p.at(opt=True), p.bidirectional(), p.push_walk(), p.push_walk_topk()
-        rows.append((name, p.n, p.m, p.delta, p.mean_degree, b[0], b[1], f[0], f[1], opt.push_walk()[0], t[0], t[1], p.montecarlo(), p.forward_push(), p.topk_threshold()))
+        rows.append((
+            name,
+            p.n,
+            p.m,
+            p.delta,
+            p.mean_degree,
+            b[0],
+            b[1],
+            f[0],
+            f[1],
+            opt.push_walk()[0],
+            t[0],
+            t[1],
+            p.montecarlo(),
+            p.forward_push(),
+            p.topk_threshold(),
+        ))
     names = "delta mean_degree bi_rmax bi_omega pw_rmax pw_omega pw_rmax_onehop topk_rmax topk_omega mc_omega fp_rmax topk_threshold".split()
     made = spark.createDataFrame(rows, "graph string, n bigint, m bigint, " + ", ".join(f"{c} double" for c in names))
     return told(made, *names, digits=9)
@@ -172,7 +196,11 @@ def hub_sizes(spark, sf_dir):
 
 def hub_block_expand(spark, sf_dir):
     _, hubs, oracle = _hub_parts(spark, sf_dir)
-    quotas = hubs.select(F.lit(0).cast("bigint").alias("source"), "hub", (F.pmod(graphs.draw_number(F.lit(SEED), F.col("hub"), F.lit("quota")), F.lit(256))).alias("walks"))
+    quotas = hubs.select(
+        F.lit(0).cast("bigint").alias("source"),
+        "hub",
+        (F.pmod(graphs.draw_number(F.lit(SEED), F.col("hub"), F.lit("quota")), F.lit(256))).alias("walks"),
+    )
     return indexes.expanded(quotas, oracle)
 
 
@@ -276,7 +304,12 @@ def _evaluated(spark, sf_dir, ks):
 
 
 def topk_precision_recall(spark, sf_dir):
-    return told(precision_recall(_evaluated(spark, sf_dir, [K])).select("k", "precision", "precision_ref", "recall", "n_sources"), "precision", "precision_ref", "recall")
+    return told(
+        precision_recall(_evaluated(spark, sf_dir, [K])).select("k", "precision", "precision_ref", "recall", "n_sources"),
+        "precision",
+        "precision_ref",
+        "recall",
+    )
 
 
 def topk_errors(spark, sf_dir):
@@ -361,8 +394,19 @@ def _guarantee(found: DataFrame, truth: DataFrame, k: int, epsilon: float) -> Da
     both = truth.join(found.select("source", "node", F.lit(True).alias("inside")), ["source", "node"], "left")
     least = F.min(F.when(F.col("inside"), F.col("ppr")))
     most = F.max(F.when(F.col("inside").isNull(), F.col("ppr")))
-    told_ = both.groupBy("source").agg(F.count(F.when(F.col("inside"), 1)).alias("found"), F.count(F.lit(1)).alias("all"), least.alias("least"), most.alias("most"))
-    return told_.select("source", (F.col("found") == F.least(F.lit(k), F.col("all"))).alias("full"), F.lit((1 + epsilon) / (1 - epsilon)).alias("__f"), "least", "most")
+    told_ = both.groupBy("source").agg(
+        F.count(F.when(F.col("inside"), 1)).alias("found"),
+        F.count(F.lit(1)).alias("all"),
+        least.alias("least"),
+        most.alias("most"),
+    )
+    return told_.select(
+        "source",
+        (F.col("found") == F.least(F.lit(k), F.col("all"))).alias("full"),
+        F.lit((1 + epsilon) / (1 - epsilon)).alias("__f"),
+        "least",
+        "most",
+    )
 
 
 def _holds(rows: DataFrame, delta: float) -> DataFrame:
@@ -463,7 +507,13 @@ BACK = f"""moves AS MATERIALIZED (SELECT node AS src, node AS dst, true AS own,
   UNION ALL SELECT dst, src, false, 0.0, {1 - ALPHA}::DOUBLE * cnt / out_deg, 1.0 FROM edges JOIN nodes ON src = node)"""
 
 
-def _rounds(rmax: str, rounds: int, strict: bool = False, start: str = "SELECT 0 AS round, origin, origin AS node, 0.0::DOUBLE AS reserve, 1.0::DOUBLE AS residual FROM sources", name: str = "st") -> str:
+def _rounds(
+    rmax: str,
+    rounds: int,
+    strict: bool = False,
+    start: str = "SELECT 0 AS round, origin, origin AS node, 0.0::DOUBLE AS reserve, 1.0::DOUBLE AS residual FROM sources",
+    name: str = "st",
+) -> str:
     """Synchronous push as a recursive table; ``rmax`` is a number, or SQL over ``size``."""
     due = f"(s.residual > 0 AND round(s.residual, 12) {'>' if strict else '>='} t.deg * z.rmax)"
     return f"""lim_{name} AS MATERIALIZED (SELECT ({rmax})::DOUBLE AS rmax FROM size),
@@ -597,11 +647,20 @@ ORACLES = {
     "forward_push_dead_end": _with("links", _moves(), _rounds(FP, SQL_ROUNDS)) + STATE.format("source", "st"),
     "forward_push_absorbing": _with("links", _moves("absorb"), _rounds(FP, SQL_ROUNDS)) + STATE.format("source", "st"),
     "forward_push_trade": _with("trade", _moves(), _rounds(FP, SQL_ROUNDS)) + STATE.format("source", "st"),
-    "forward_push_resume": _with("events", _moves(), _rounds(f"16 * {FP}", 10), _rounds(FP, SQL_ROUNDS, start="SELECT 0 AS round, origin, node, reserve, residual FROM end_st", name="again")) + STATE.format("source", "again"),
+    "forward_push_resume": _with(
+        "events",
+        _moves(),
+        _rounds(f"16 * {FP}", 10),
+        _rounds(FP, SQL_ROUNDS, start="SELECT 0 AS round, origin, node, reserve, residual FROM end_st", name="again"),
+    ) + STATE.format("source", "again"),
     "power_iteration": _with("events", _moves(), TRUTH) + "SELECT * FROM (SELECT source, node, round(ppr, 6) AS ppr FROM exact) WHERE ppr > 0",
     "power_iteration_dead_end": _with("links", _moves(), TRUTH) + "SELECT * FROM (SELECT source, node, round(ppr, 6) AS ppr FROM exact) WHERE ppr > 0",
     "backward_push": _with("events", BACK, _rounds("0.01", SQL_ROUNDS, strict=True)) + STATE.format("target", "st"),
-    "backward_push_all_targets": _with("events", BACK, _rounds("0.05", SQL_ROUNDS, strict=True, start="SELECT 0 AS round, node AS origin, node, 0.0::DOUBLE AS reserve, 1.0::DOUBLE AS residual FROM nodes")) + STATE.format("target", "st"),
+    "backward_push_all_targets": _with(
+        "events",
+        BACK,
+        _rounds("0.05", SQL_ROUNDS, strict=True, start="SELECT 0 AS round, node AS origin, node, 0.0::DOUBLE AS reserve, 1.0::DOUBLE AS residual FROM nodes"),
+    ) + STATE.format("target", "st"),
     "ppr_montecarlo": _with("events", _walks(MC)) + "SELECT start AS source, dest AS node, round(count(*) / any_value(ceil(3 * lf / 0.25 * n)), 6) AS ppr FROM end_w, size GROUP BY start, dest",
     "ppr_forward_push": _with("events", _moves(), _rounds(FP, SQL_ROUNDS)) + "SELECT origin AS source, node, round(reserve, 6) AS ppr FROM end_st WHERE reserve > 0",
     "ppr_push_walk": _push_walk_sql("events"),
@@ -615,14 +674,34 @@ ORACLES = {
         """parts AS (SELECT start AS source, origin AS node, cnt * residual / k AS ppr FROM cnts JOIN end_st ON dest = node, walks_n WHERE residual > 0
   UNION ALL SELECT s.origin, t.origin, t.reserve FROM sources s JOIN end_st t ON s.origin = t.node WHERE t.reserve > 0),
 summed AS (SELECT source, node, sum(ppr) AS ppr FROM parts GROUP BY source, node)""") + "SELECT source, node, round(ppr / sum(ppr) OVER (PARTITION BY source), 6) AS ppr FROM summed WHERE NOT (SELECT plain FROM walks_n) UNION ALL SELECT start, dest, round(cnt / k::DOUBLE, 6) FROM cnts, walks_n WHERE plain",
-    "index_build": _with("events", _walks(f"SELECT start, unnest(range(1, k + 1)) AS walk FROM (SELECT node AS start, ceil(out_deg * {PW} * (2.5 * lf * n / 0.25))::BIGINT AS k FROM nodes, size)", dangling="absorb")) + COUNTS,
-    "index_hit_ratio": _with("events", _moves("absorb"), _rounds(PW, SQL_ROUNDS), _plan(False)) + f"SELECT round(sum(least(n_walks, held))::DOUBLE / sum(n_walks), 6) AS hit_ratio FROM plan p JOIN (SELECT node, ceil(out_deg * {PW} * (2.5 * lf * n / 0.25))::BIGINT AS held FROM nodes, size) h ON p.node = h.node",
+    "index_build": _with(
+        "events",
+        _walks(
+            f"SELECT start, unnest(range(1, k + 1)) AS walk FROM (SELECT node AS start, ceil(out_deg * {PW} * (2.5 * lf * n / 0.25))::BIGINT AS k FROM nodes, size)",
+            dangling="absorb",
+        ),
+    ) + COUNTS,
+    "index_hit_ratio": _with(
+        "events",
+        _moves("absorb"),
+        _rounds(PW, SQL_ROUNDS),
+        _plan(False),
+    ) + f"SELECT round(sum(least(n_walks, held))::DOUBLE / sum(n_walks), 6) AS hit_ratio FROM plan p JOIN (SELECT node, ceil(out_deg * {PW} * (2.5 * lf * n / 0.25))::BIGINT AS held FROM nodes, size) h ON p.node = h.node",
     "exact_topk": _with("events", _moves(), TRUTH) + f"SELECT source, rank::INT AS rank, node, round(ppr, 6) AS ppr FROM ({RANKED.format('exact')}) WHERE rank <= {K}",
     "kth_value": _with("events", _moves(), TRUTH) + f"SELECT source, round(coalesce(max(CASE WHEN rank = {K} THEN ppr END), 0), 6) AS kth FROM ({RANKED.format('exact')}) WHERE rank <= {K} GROUP BY source",
-    "topk_precision_recall": _evaluated_sql([K], "SELECT k, round(avg(CASE WHEN n_predicted > 0 THEN hits / n_predicted::DOUBLE ELSE 0 END), 6) AS precision, round(avg(hits / n_exact::DOUBLE), 6) AS precision_ref, round(avg(hits / n_exact::DOUBLE), 6) AS recall, count(*) AS n_sources FROM per GROUP BY k"),
+    "topk_precision_recall": _evaluated_sql(
+        [K],
+        "SELECT k, round(avg(CASE WHEN n_predicted > 0 THEN hits / n_predicted::DOUBLE ELSE 0 END), 6) AS precision, round(avg(hits / n_exact::DOUBLE), 6) AS precision_ref, round(avg(hits / n_exact::DOUBLE), 6) AS recall, count(*) AS n_sources FROM per GROUP BY k",
+    ),
     "topk_errors": _evaluated_sql([K], "SELECT source, hits, n_predicted, n_exact, round(max_abs, 5) AS max_abs, round(avg_abs, 5) AS avg_abs FROM per"),
-    "batch_topk": _evaluated_sql([10, 20, 30, 40, 50], "SELECT k, round(avg(CASE WHEN n_predicted > 0 THEN hits / n_predicted::DOUBLE ELSE 0 END), 6) AS precision, round(avg(hits / n_exact::DOUBLE), 6) AS recall, count(*) AS n_sources FROM per GROUP BY k"),
-    "rest_bound": _with("events", f"once AS (SELECT source, rsum, {_lambda('rsum', '1.0::DOUBLE', '500.0::DOUBLE')} AS first FROM (SELECT DISTINCT source, 1.0::DOUBLE / (source + 2) AS rsum FROM work), size)")
+    "batch_topk": _evaluated_sql(
+        [10, 20, 30, 40, 50],
+        "SELECT k, round(avg(CASE WHEN n_predicted > 0 THEN hits / n_predicted::DOUBLE ELSE 0 END), 6) AS precision, round(avg(hits / n_exact::DOUBLE), 6) AS recall, count(*) AS n_sources FROM per GROUP BY k",
+    ),
+    "rest_bound": _with(
+        "events",
+        f"once AS (SELECT source, rsum, {_lambda('rsum', '1.0::DOUBLE', '500.0::DOUBLE')} AS first FROM (SELECT DISTINCT source, 1.0::DOUBLE / (source + 2) AS rsum FROM work), size)",
+    )
     + f"SELECT source, round(rsum, 9) AS rsum, round(first, 9) AS first, round({_lambda('(rsum / 2)', 'first', '1000.0::DOUBLE')}, 9) AS second FROM once, size",
     "topk_adaptive_holds": _with("events") + "SELECT DISTINCT source, true AS full, true AS good FROM work",
     "topk_bounded_holds": _with("events") + "SELECT DISTINCT source, true AS full, true AS good, true AS bounded FROM work",

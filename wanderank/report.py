@@ -63,7 +63,14 @@ def counted(**numbers) -> None:
 
 #: Names of the phases and of the figures of the evaluation in a report (fixed values).
 PHASES = {"rand-walks": "rand-walks", "propagation": "propagation", "topk": "sorting top-k ppr"}
-FIGURES = {"max_abs_err": "topk max absolute error", "avg_abs_err": "topk avg absolute error", "max_rel_err": "topk max relative error", "avg_rel_err": "topk avg relative error", "precision": "topk precision", "recall": "topk recall"}
+FIGURES = {
+    "max_abs_err": "topk max absolute error",
+    "avg_abs_err": "topk avg absolute error",
+    "max_rel_err": "topk max relative error",
+    "avg_rel_err": "topk avg relative error",
+    "precision": "topk precision",
+    "recall": "topk recall",
+}
 
 
 def result_fields(p: Params, timers: Timers, n_sources: int, figures: dict) -> dict:
@@ -74,14 +81,27 @@ def result_fields(p: Params, timers: Timers, n_sources: int, figures: dict) -> d
     out |= {f"total time on {told}(s)": timers.get(name, 0.0) for name, told in PHASES.items()}
     out |= {f"total time ratio on {told}(%)": 100 * timers.get(name, 0.0) / total if total else 0.0 for name, told in PHASES.items()}
     walks, used = timers.counts.get("walks", 0), timers.counts.get("index_walks", 0)
-    out |= {"total number of rand-walks": walks, "total number of rand-walk idx used": used, "total usage ratio of rand-walk idx": used / walks if walks else 0.0}
+    out |= {
+        "total number of rand-walks": walks,
+        "total number of rand-walk idx used": used,
+        "total usage ratio of rand-walk idx": used / walks if walks else 0.0,
+    }
     return out | {told: figures[name] for name, told in FIGURES.items() if name in figures}
 
 
 def report(action: str, algorithm: str, p: Params, result: dict, timers: dict, command_line: str = "") -> dict:
     now = time.strftime("%Y-%m-%d %H:%M:%S")
     started = getattr(timers, "started", now)
-    return {"start_time": started, "end_time": now, "command_line": command_line, "action": action, "algorithm": algorithm, "config": asdict(p), "result": result, "timer": dict(timers)}
+    return {
+        "start_time": started,
+        "end_time": now,
+        "command_line": command_line,
+        "action": action,
+        "algorithm": algorithm,
+        "config": asdict(p),
+        "result": result,
+        "timer": dict(timers),
+    }
 
 
 def report_row(spark: SparkSession, *args) -> DataFrame:

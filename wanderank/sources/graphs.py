@@ -60,12 +60,36 @@ class Graph:
         key = ("forward", alpha, dangling)
         if key not in self._made:
             none, zero = F.lit(None).cast("double"), F.lit(0.0)
-            own = self.nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("own"), F.lit(alpha).alias("rsv"), zero.alias("res"), none.alias("lvl"), F.col("out_deg").cast("double").alias("deg"))
+            own = self.nodes.select(
+                F.col("node").alias("src"),
+                F.col("node").alias("dst"),
+                F.lit(True).alias("own"),
+                F.lit(alpha).alias("rsv"),
+                zero.alias("res"),
+                none.alias("lvl"),
+                F.col("out_deg").cast("double").alias("deg"),
+            )
             deg = self.nodes.select(F.col("node").alias("src"), F.col("out_deg").cast("double").alias("deg"))
-            moved = self.edges.join(deg, "src").select("src", "dst", F.lit(False).alias("own"), zero.alias("rsv"), (F.lit(1 - alpha) * F.col("cnt") / F.col("deg")).alias("res"), none.alias("lvl"), "deg")
+            moved = self.edges.join(deg, "src").select(
+                "src",
+                "dst",
+                F.lit(False).alias("own"),
+                zero.alias("rsv"),
+                (F.lit(1 - alpha) * F.col("cnt") / F.col("deg")).alias("res"),
+                none.alias("lvl"),
+                "deg",
+            )
             rows = own.unionByName(moved)
             if dangling == "source":
-                back = deg.where("deg = 0").select("src", F.lit(None).cast("bigint").alias("dst"), F.lit(False).alias("own"), zero.alias("rsv"), F.lit(1 - alpha).alias("res"), none.alias("lvl"), "deg")
+                back = deg.where("deg = 0").select(
+                    "src",
+                    F.lit(None).cast("bigint").alias("dst"),
+                    F.lit(False).alias("own"),
+                    zero.alias("rsv"),
+                    F.lit(1 - alpha).alias("res"),
+                    none.alias("lvl"),
+                    "deg",
+                )
                 rows = rows.unionByName(back)
             elif dangling != "absorb":
                 raise ValueError("dangling is 'source' or 'absorb'")
@@ -77,9 +101,25 @@ class Graph:
         key = ("backward", alpha)
         if key not in self._made:
             none, zero, one = F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0)
-            own = self.nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("own"), F.lit(alpha).alias("rsv"), zero.alias("res"), none.alias("lvl"), one.alias("deg"))
+            own = self.nodes.select(
+                F.col("node").alias("src"),
+                F.col("node").alias("dst"),
+                F.lit(True).alias("own"),
+                F.lit(alpha).alias("rsv"),
+                zero.alias("res"),
+                none.alias("lvl"),
+                one.alias("deg"),
+            )
             deg = self.nodes.select(F.col("node").alias("src"), F.col("out_deg").cast("double").alias("d"))
-            moved = self.edges.join(deg, "src").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("own"), zero.alias("rsv"), (F.lit(1 - alpha) * F.col("cnt") / F.col("d")).alias("res"), none.alias("lvl"), one.alias("deg"))
+            moved = self.edges.join(deg, "src").select(
+                F.col("dst").alias("src"),
+                F.col("src").alias("dst"),
+                F.lit(False).alias("own"),
+                zero.alias("rsv"),
+                (F.lit(1 - alpha) * F.col("cnt") / F.col("d")).alias("res"),
+                none.alias("lvl"),
+                one.alias("deg"),
+            )
             self._made[key] = kept(own.unionByName(moved), "backward")
         return self._made[key]
 
@@ -93,7 +133,11 @@ def graph_of(pairs: DataFrame, nodes: DataFrame | None = None, m_declared: int |
         ends = ends.unionByName(nodes.select(F.col("node").cast("bigint").alias("node")))
     seen = ends.distinct().select("node", F.lit(0).cast("bigint").alias("out_deg"), F.lit(0).cast("bigint").alias("in_deg"))
     zero = F.lit(0).cast("bigint")
-    both = seen.unionByName(edges.select(F.col("src").alias("node"), F.col("cnt").alias("out_deg"), zero.alias("in_deg"))).unionByName(edges.select(F.col("dst").alias("node"), zero.alias("out_deg"), F.col("cnt").alias("in_deg")))
+    both = seen.unionByName(edges.select(
+        F.col("src").alias("node"),
+        F.col("cnt").alias("out_deg"),
+        zero.alias("in_deg"),
+    )).unionByName(edges.select(F.col("dst").alias("node"), zero.alias("out_deg"), F.col("cnt").alias("in_deg")))
     return Graph(edges, kept(both.groupBy("node").agg(F.sum("out_deg").alias("out_deg"), F.sum("in_deg").alias("in_deg")), "nodes"), m_declared)
 
 
@@ -102,7 +146,10 @@ def graph_of(pairs: DataFrame, nodes: DataFrame | None = None, m_declared: int |
 
 def read_attributes(spark: SparkSession, path: str) -> dict[str, int]:
     """``name=number`` lines (n, m)."""
-    rows = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\w+)\s*=\s*(\d+)", 1).alias("k"), F.regexp_extract("value", r"^\s*(\w+)\s*=\s*(\d+)", 2).alias("v")).where("k <> ''")
+    rows = spark.read.text(path).select(
+        F.regexp_extract("value", r"^\s*(\w+)\s*=\s*(\d+)", 1).alias("k"),
+        F.regexp_extract("value", r"^\s*(\w+)\s*=\s*(\d+)", 2).alias("v"),
+    ).where("k <> ''")
     return {r["k"]: int(r["v"]) for r in rows.collect()}
 
 
@@ -152,7 +199,10 @@ def workload(graph: Graph, size: int, seed: int = 1) -> DataFrame:
     """(query_no, source): uniform draws of nodes with replacement; duplicates stay."""
     nodes = ranked(graph.nodes.select("node"), [F.col("node")], "place")
     spark = graph.nodes.sparkSession
-    drawn = spark.range(size).select(F.col("id").alias("query_no"), F.pmod(draw_number(F.lit(seed), F.col("id"), F.lit("source")), F.lit(graph.n)).alias("place"))
+    drawn = spark.range(size).select(
+        F.col("id").alias("query_no"),
+        F.pmod(draw_number(F.lit(seed), F.col("id"), F.lit("source")), F.lit(graph.n)).alias("place"),
+    )
     return kept(drawn.join(nodes, "place").select("query_no", F.col("node").alias("source")), "workload")
 
 
@@ -163,7 +213,11 @@ def write_workload(work: DataFrame, path: str) -> None:
 
 def read_workload(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
     """(query_no, source): the first ``size`` lines; a missing file raises Spark's own error."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value")).where(F.col("value").rlike(r"^\d+$"))
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("f"),
+        F.monotonically_increasing_id().alias("at"),
+        F.trim("value").alias("value"),
+    ).where(F.col("value").rlike(r"^\d+$"))
     rows = ranked(rows, [F.col("f"), F.col("at")], "query_no").select("query_no", F.col("value").cast("bigint").alias("source"))
     return rows if size is None else rows.where(F.col("query_no") < size)
 
@@ -198,4 +252,7 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey")
     both = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
-    return both.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
+    return both.select(F.explode(F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")),
+    )).alias("e")).select("e.*")
