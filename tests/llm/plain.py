@@ -26,7 +26,12 @@ def personal(text):
         counts[kind] = 0
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
-            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 16 <= len(digits) <= 19 and luhn(digits),
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
             if good:
                 counts[kind] += 1
                 spans.append(f"{kind}:{m.start()}:{m.end()}")

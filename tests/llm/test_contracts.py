@@ -29,9 +29,18 @@ def hard(spark, tmp_path_factory):
     spark.createDataFrame(HARD, DOCS).write.parquet(f"{top}/some/documents.parquet")
     spark.createDataFrame([], DOCS).write.parquet(f"{top}/none/documents.parquet")
     for name in ("some", "none"):
-        spark.createDataFrame([(1, 1, 0), (2, 1, 0)] if name == "some" else [], "doc_id bigint, quality bigint, toxic bigint").write.parquet(f"{top}/{name}/labels.parquet")
-        spark.createDataFrame([("i1", "same text here"), (None, None)] if name == "some" else [], "item_id string, text string").write.parquet(f"{top}/{name}/benchmark.parquet")
-        spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)] if name == "some" else [], "page_id bigint, url string, html string").write.parquet(f"{top}/{name}/pages.parquet")
+        spark.createDataFrame(
+            [(1, 1, 0), (2, 1, 0)] if name == "some" else [],
+            "doc_id bigint, quality bigint, toxic bigint",
+        ).write.parquet(f"{top}/{name}/labels.parquet")
+        spark.createDataFrame(
+            [("i1", "same text here"), (None, None)] if name == "some" else [],
+            "item_id string, text string",
+        ).write.parquet(f"{top}/{name}/benchmark.parquet")
+        spark.createDataFrame(
+            [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)] if name == "some" else [],
+            "page_id bigint, url string, html string",
+        ).write.parquet(f"{top}/{name}/pages.parquet")
     return top
 
 
@@ -116,7 +125,10 @@ def test_labels_of_held_out_rows_are_not_read(spark):
 def test_spans_are_offsets_of_the_text_as_it_is():
     rng = random.Random(1)
     words = ["".join(rng.choices(["ta", "ro", "mi", "su", "ke"], k=3)) for _ in range(200)]
-    made = [(" ".join(w for _ in range(15) for w in (rng.choice(words), "zorgle" if i % 2 and rng.random() < 0.2 else rng.choice(words))), i % 2) for i in range(300)]
+    made = [(
+        " ".join(w for _ in range(15) for w in (rng.choice(words), "zorgle" if i % 2 and rng.random() < 0.2 else rng.choice(words))),
+        i % 2,
+    ) for i in range(300)]
     scorer = toxicity.Scorer(toxicity.fit(made))
     text = "İİİ ta ZORGLE mi ẞ zorgle"
     _, spans = scorer.scored([text])
@@ -165,7 +177,10 @@ def groups(rows):
 
 
 def test_a_second_run_goes_on_with_new_files_only(spark, tmp_path):
-    write = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, AT string, Digest string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs[1]{a}"))
+    write = lambda rows: spark.createDataFrame(
+        rows,
+        "doc_id bigint, text string, AT string, Digest string",
+    ).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs[1]{a}"))
     path, state = str(tmp_path / "docs[1]{a}"), str(tmp_path / "state")
     write([(5, "a  b", "x", "y"), (7, "a\tb", "x", "y"), (8, "c", "x", "y"), (None, "d", "x", "y"), (None, "d", "x", "y")])
     first = stream_dedup.deduplicated(spark, path, state).collect()
@@ -225,7 +240,20 @@ def candidates(text):
 def test_candidates_and_scores_equal_plain_ones(spark):
     rng = random.Random(4)
     mixed = lambda k: "".join(rng.choices("abcdefXYZ0123456789+/_-", k=k))
-    parts = [lambda: mixed(rng.randrange(1, 90)), lambda: f"password={mixed(rng.randrange(4, 20))}", lambda: f"API_KEY : '{mixed(12)}'", lambda: "AKIA" + mixed(16).upper(), lambda: "ghp_" + mixed(40), lambda: "plain words", lambda: "=", lambda: " ", lambda: "\n", lambda: f"eyJ{mixed(9)}.{mixed(9)}.{mixed(9)}", lambda: "é😀", lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{mixed(70)}\n-----END RSA PRIVATE KEY-----"]
+    parts = [
+        lambda: mixed(rng.randrange(1, 90)),
+        lambda: f"password={mixed(rng.randrange(4, 20))}",
+        lambda: f"API_KEY : '{mixed(12)}'",
+        lambda: "AKIA" + mixed(16).upper(),
+        lambda: "ghp_" + mixed(40),
+        lambda: "plain words",
+        lambda: "=",
+        lambda: " ",
+        lambda: "\n",
+        lambda: f"eyJ{mixed(9)}.{mixed(9)}.{mixed(9)}",
+        lambda: "é😀",
+        lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{mixed(70)}\n-----END RSA PRIVATE KEY-----",
+    ]
     texts = ["".join(rng.choice(parts)() + rng.choice([" ", "", "; "]) for _ in range(rng.randrange(12))) for _ in range(400)] + ["x1" * 600_000]
     texts += [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     made = spark.createDataFrame([(i, t, f"src{i % 3}") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
@@ -235,8 +263,14 @@ def test_candidates_and_scores_equal_plain_ones(spark):
     # the forest inside the query against the trees walked in Python
     grown, least, _ = secret_scan.model(spark)
     keys = sorted(want)
-    table = spark.createDataFrame([(n, want[k][0], want[k][3], want[k][4], want[k][5], f"src{k[0] % 3}") for n, k in enumerate(keys)], "n int, kind string, value string, before string, after string, path string")
-    x = np.array([r["x"] for r in table.select("n", F.array(*secret_scan.features(*map(F.col, ("kind", "value", "before", "after", "path")))).alias("x")).orderBy("n").collect()])
+    table = spark.createDataFrame(
+        [(n, want[k][0], want[k][3], want[k][4], want[k][5], f"src{k[0] % 3}") for n, k in enumerate(keys)],
+        "n int, kind string, value string, before string, after string, path string",
+    )
+    x = np.array([r["x"] for r in table.select(
+        "n",
+        F.array(*secret_scan.features(*map(F.col, ("kind", "value", "before", "after", "path")))).alias("x"),
+    ).orderBy("n").collect()])
     score = np.mean([trees.values(t, x) for t in grown], axis=0)
     assert [got[k]["score"] for k in keys] == pytest.approx(score.tolist()) and [got[k]["kept"] for k in keys] == (score >= least).tolist()
 
@@ -340,7 +374,14 @@ def test_main_text_of_deep_wide_and_odd_pages(spark):
     deep = "<article>" + "<div>" * 20_000 + "<h1>A deep text</h1><p>It goes on with some words, at last.<p>And with others." + "</div>" * 20_000 + "</article>"
     wide = "<body><nav><a href=x>Home</a></nav><article>" + "<p>Some words of a long story, as it goes on." * 45_000 + "</article></body>"
     formula = "<article><h1>Of sums</h1><p>We write <math><mi>x</mi>+1</math> for the next one, and go on with it.<svg><p>no end</article>"
-    pages = [(1, "u", deep, "A", 1), (1, "u", deep, "A", 1), (2, None, wide, None, None), (None, "u", None, "A", 1), (3, "u", "", "A", 1), (4, "u", formula, "A", 1)]
+    pages = [
+        (1, "u", deep, "A", 1),
+        (1, "u", deep, "A", 1),
+        (2, None, wide, None, None),
+        (None, "u", None, "A", 1),
+        (3, "u", "", "A", 1),
+        (4, "u", formula, "A", 1),
+    ]
     made = spark.createDataFrame(pages, "page_id bigint, url string, html string, TEXT string, N_Chars int")
     out = html_extract.extracted(made)
     assert [c.lower() for c in out.columns].count("text") == 1

@@ -43,6 +43,29 @@ def test_pipeline_stage_drops_a_copy_with_changed_words(spark):
     import corpus_pipeline
 
     base = [f"w{i}" for i in range(200)]
-    copies = [" ".join(base), " ".join(["other" if i in (30, 90, 150) else w for i, w in enumerate(base)]), " ".join(["far" if i % 12 == 0 else w for i, w in enumerate(base)])]
+    copies = [
+        " ".join(base),
+        " ".join(["other" if i in (30, 90, 150) else w for i, w in enumerate(base)]),
+        " ".join(["far" if i % 12 == 0 else w for i, w in enumerate(base)]),
+    ]
     made = spark.createDataFrame(list(enumerate(copies)), "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, made, "").collect()} == {0, 2}
+
+
+def test_parts_of_buckets_and_of_partners_find_the_same_copies(spark, monkeypatch):
+    for name, value in {"PART": 8, "PARTNERS": 4, "TRIES": 1, "MORE": 3}.items():
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(70):  # around one original, at similarities of 0.6 to 1 to each other
+        copy = list(base)
+        for spot in rng.sample(range(120), rng.randrange(4)):
+            copy[spot] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {}
+    for r in near_copies.groups(made).collect():
+        got.setdefault(r["g"], set()).add(r["id"])
+    assert set(map(frozenset, got.values())) == brute_force(texts)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

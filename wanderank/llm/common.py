@@ -71,7 +71,7 @@ def scoped(spark, name: str, make: Callable[[], DataFrame]) -> DataFrame:
 
 
 #: Rows and bytes of texts that are Python objects at once.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 
 def per_text(rows: DataFrame, text_col: str, added: dict[str, tuple[str, pa.DataType]], make: Callable[[], Callable[[list[str]], dict]]) -> DataFrame:
@@ -102,4 +102,20 @@ def per_text(rows: DataFrame, text_col: str, added: dict[str, tuple[str, pa.Data
     return rows.mapInArrow(run, schema)
 
 
-__all__ = ["SPACE_RUN", "WORD_RUN", "as_scan", "checked", "clear_of", "located", "maybe_broadcast", "per_text", "removed", "scoped", "scratch_path", "scratch_scope", "settings", "utf8_size", "written"]
+__all__ = [
+    "SPACE_RUN",
+    "WORD_RUN",
+    "as_scan",
+    "checked",
+    "clear_of",
+    "located",
+    "maybe_broadcast",
+    "per_text",
+    "removed",
+    "scoped",
+    "scratch_path",
+    "scratch_scope",
+    "settings",
+    "utf8_size",
+    "written",
+]

@@ -238,15 +238,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         parts.append(written(part.where(F.size("runs") > 0).select("__at", "runs", "items"), "winnow-hits"))
         index.destroy()
     all_rows, found = counts.select("__at", "id", "n_words"), functools.reduce(DataFrame.unionByName, parts)
-    found = found.groupBy("__at").agg(F.flatten(F.collect_list("runs")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = found.groupBy("__at").agg(
+        F.flatten(F.collect_list("runs")).alias("all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
     step = F.aggregate(
         F.array_sort("all"),
         F.array().cast("array<array<bigint>>"),
-        lambda done, r: F.when((F.size(done) > 0) & (r[0] <= F.get(F.element_at(done, -1), F.lit(1))), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(done, -1)[1], r[1]))))).otherwise(F.concat(done, F.array(r))),
+        lambda done, r: F.when(
+            (F.size(done) > 0) & (r[0] <= F.get(F.element_at(done, -1), F.lit(1))),
+            F.concat(
+                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
+                F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(done, -1)[1], r[1]))),
+            ),
+        ).otherwise(F.concat(done, F.array(r))),
     )
     found = found.select("__at", step.alias("runs"), "items")
     none = F.array().cast("array<string>")
-    return all_rows.join(found, "__at", "left").select("id", "__at", "n_words", F.coalesce("runs", F.array().cast("array<array<bigint>>")).alias("runs"), F.coalesce("items", none).alias("items"))
+    return all_rows.join(found, "__at", "left").select(
+        "id",
+        "__at",
+        "n_words",
+        F.coalesce("runs", F.array().cast("array<array<bigint>>")).alias("runs"),
+        F.coalesce("items", none).alias("items"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -48,7 +48,10 @@ RAW_TAGS, CLOSED_RAW_TAGS = frozenset("script style template textarea".split()),
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*)(?:>|\Z)",
+    re.S,
+)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 MARKS = ".,;:!?…"
@@ -214,7 +217,16 @@ class Features:
                 size, chars = max(1, len(ids)), len(text)
                 sizes.append(size)
                 marks = len(PUNCTUATION.findall(text)) if chars < LONG_TEXT else sum(map(text.count, MARKS))
-                measures.append((min(1.0, np.log1p(chars) / 8), linked, min(1.0, size / 20), min(1.0, marks / (1 + size) * 4), float(text[-1] in ".!?:…\"'”"), k / n, (n - k) / n, 1.0))
+                measures.append((
+                    min(1.0, np.log1p(chars) / 8),
+                    linked,
+                    min(1.0, size / 20),
+                    min(1.0, marks / (1 + size) * 4),
+                    float(text[-1] in ".!?:…\"'”"),
+                    k / n,
+                    (n - k) / n,
+                    1.0,
+                ))
         ids = [own.numbers() if own is not None else np.zeros(1, np.int64) for own in number]
         widths = np.array([len(p) for p in ids], np.int64)
         flat = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
@@ -362,7 +374,11 @@ class Labeller:
                 np.add.at(d_word, words, np.repeat(dv[:, PATH_DIM : PATH_DIM + WORD_DIM] / sizes[:, None], sizes, axis=0))
                 step += 1
                 grads = dict(zip(names, (d_path, d_word, aw, ab, bw, bb, both.T @ error, np.array([error.sum()])), strict=True))
-                values = dict(zip(names, (self.path_vectors, self.word_vectors, self.ahead.w, self.ahead.b, self.behind.w, self.behind.b, self.out, self.bias), strict=True))
+                values = dict(zip(
+                    names,
+                    (self.path_vectors, self.word_vectors, self.ahead.w, self.ahead.b, self.behind.w, self.behind.b, self.out, self.bias),
+                    strict=True,
+                ))
                 for name, g in grads.items():
                     m, s = moments.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
                     m += 0.1 * (g - m)
@@ -488,13 +504,25 @@ def composed_page(rng: random.Random) -> tuple[str, list[bool]]:
     out.append('<html lang="xx"><head>')
     block("title", words(rng.randrange(2, 12), False), False)
     out.append("<style>p{margin:0}</style><script>var x;</script></head><body>")
-    parts = [(HEAD_NAMES, ("header", "div"), plain(1, 12, 0.4)), (NAV_NAMES, ("nav", "div"), menu), (AD_NAMES, ("div", "aside"), plain(2, 30, 0.1)), (NOTICE_NAMES, ("div", "section"), plain(5, 40, 0.5)), (SIDE_NAMES, ("aside", "div"), side), (NOTICE_NAMES, ("div",), form)]
+    parts = [
+        (HEAD_NAMES, ("header", "div"), plain(1, 12, 0.4)),
+        (NAV_NAMES, ("nav", "div"), menu),
+        (AD_NAMES, ("div", "aside"), plain(2, 30, 0.1)),
+        (NOTICE_NAMES, ("div", "section"), plain(5, 40, 0.5)),
+        (SIDE_NAMES, ("aside", "div"), side),
+        (NOTICE_NAMES, ("div",), form),
+    ]
     for k in rng.sample(range(len(parts)), len(parts)):
         if rng.random() < (0.7 if parts[k][2] is menu else 0.4):
             area(*parts[k])
     if rng.random() < 0.95:
         area(ARTICLE_NAMES, ("article", "article", "main", "div"), article)
-    tail = [(COMMENT_NAMES, ("div", "section"), comments), (SIDE_NAMES, ("aside", "div"), side), (AD_NAMES, ("div",), plain(2, 30, 0.1)), (NOTICE_NAMES, ("div",), form)]
+    tail = [
+        (COMMENT_NAMES, ("div", "section"), comments),
+        (SIDE_NAMES, ("aside", "div"), side),
+        (AD_NAMES, ("div",), plain(2, 30, 0.1)),
+        (NOTICE_NAMES, ("div",), form),
+    ]
     for k in rng.sample(range(len(tail)), len(tail)):
         if rng.random() < 0.35:
             area(*tail[k])

@@ -61,7 +61,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     })
     level = (F.col("__all") - F.col("__filled")) / F.col("__open")
     # the first source that its level does not fill: all after it stay open too
-    rows = rows.withColumn("__level", F.min(F.when(level * F.col("__w") <= F.col("__cap"), F.struct(F.col("__cap") / F.col("__w"), level.alias("level")))).over(whole)["level"])
+    rows = rows.withColumn(
+        "__level",
+        F.min(F.when(level * F.col("__w") <= F.col("__cap"), F.struct(F.col("__cap") / F.col("__w"), level.alias("level")))).over(whole)["level"],
+    )
     target = F.when(F.col("__level").isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__level") * F.col("__w")))
     return rows.withColumn("target", target).drop("__w", "__cap", "__filled", "__open", "__all", "__level")
 
@@ -73,9 +76,21 @@ def _unit(*parts: Column) -> Column:
 
 def _thin(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...]) -> DataFrame:
     """(__at, size, __src, __no, __class, __digest) and the columns ``keep`` of each row of a scan, written: the texts are read once."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))).cast("binary"))
+    digest = F.md5(F.concat_ws(
+        ":",
+        F.lit(str(seed)),
+        F.col(id_col).cast("string"),
+        F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null")),
+    ).cast("binary"))
     source = F.col(source_col).cast("string")
-    rows = located(docs).select("__at", *keep, n_words(F.col(text_col)).alias("size"), F.coalesce(source, F.lit("")).alias("__src"), source.isNull().alias("__no"), digest.alias("__digest"))
+    rows = located(docs).select(
+        "__at",
+        *keep,
+        n_words(F.col(text_col)).alias("size"),
+        F.coalesce(source, F.lit("")).alias("__src"),
+        source.isNull().alias("__no"),
+        digest.alias("__digest"),
+    )
     return written(rows.withColumn("__class", F.floor(F.log2(F.col("size") + F.lit(1.0)) * CLASSES).cast("int")), "mix-thin")
 
 
@@ -97,7 +112,10 @@ def drawn(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str
     cell = [*keys, "__bucket"]
     along = Window.partitionBy("__src", "__no").orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).select(*cell, F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before"))
-    ranked = rows.join(maybe_broadcast(cells, "mix-cells", BROADCAST_ROWS), cell).withColumn("__in", F.row_number().over(Window.partitionBy(*cell).orderBy("__digest")))
+    ranked = rows.join(maybe_broadcast(cells, "mix-cells", BROADCAST_ROWS), cell).withColumn(
+        "__in",
+        F.row_number().over(Window.partitionBy(*cell).orderBy("__digest")),
+    )
     offset = _unit(F.lit(f"offset {seed}"), F.col("__src"), F.col("__no").cast("string"))
     passed = lambda r: F.floor(offset + F.col("__rate") * r.cast("double"))
     rank = F.col("__before") + F.col("__in")
@@ -108,13 +126,19 @@ def drawn(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str
 def expected_copies(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` = copies * size."""
     docs = as_scan(clear_of(docs, *OWN, "__at"))
-    return located(docs).join(checked(scoped(docs.sparkSession, "mix-drawn", lambda: drawn(docs, seed, id_col, text_col, source_col)), BROADCAST_ROWS), "__at").drop("__at")
+    return located(docs).join(
+        checked(scoped(docs.sparkSession, "mix-drawn", lambda: drawn(docs, seed, id_col, text_col, source_col)), BROADCAST_ROWS),
+        "__at",
+    ).drop("__at")
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: every document as often as it was drawn, with the columns of ``docs``."""
     docs = as_scan(clear_of(docs, "__at"))
-    copies = checked(scoped(docs.sparkSession, "mix-drawn", lambda: drawn(docs, seed).where("copies > 0").select("__at", F.col("copies").alias("__copies"))), BROADCAST_ROWS)
+    copies = checked(
+        scoped(docs.sparkSession, "mix-drawn", lambda: drawn(docs, seed).where("copies > 0").select("__at", F.col("copies").alias("__copies"))),
+        BROADCAST_ROWS,
+    )
     rows = located(docs).join(copies, "__at")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

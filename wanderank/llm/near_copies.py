@@ -185,7 +185,10 @@ class Copies:
         equal = self.nodes.select("fp", F.col("node").alias("a")).join(many, "fp").where("a <> b").select("a", "b")
         found = links(first.select("fp"), first.count())
         ends = first.select("fp", F.col("b").alias("node"))
-        linked = found.join(ends.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(ends.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+        linked = found.join(
+            ends.select(F.col("fp").alias("a"), F.col("node").alias("x")),
+            "a",
+        ).join(ends.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
         return equal.unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def crowd(self) -> DataFrame:
@@ -201,7 +204,10 @@ class Copies:
     def likeliest(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) the two for each a whose sketches agree most, if they are likely."""
         own = self.nodes.select("node", "sketch")
-        both = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        both = pairs.join(
+            own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")),
+            "a",
+        ).join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
         agree = both.select("a", "b", "sa", "sb").mapInPandas(_agreeing, "a bigint, b bigint, agree bigint")
         best = agree.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), False), 1, 2).alias("best"))  # at most one pair per band
         return best.select("a", F.explode("best.b").alias("b"))
@@ -212,10 +218,20 @@ class Copies:
         places = maybe_broadcast(ends.join(self.nodes.select("node", "__at"), "node"), "copies-places", BROADCAST_ROWS)
         texts = written(self.docs.select("__at", "text").join(places, "__at").select("node", "text"), "copies-texts")
         hot = pairs.groupBy("b").count().where(F.col("count") > PARTNERS).select("b", F.ceil(F.col("count") / PARTNERS).cast("int").alias("salts"))
-        salted = pairs.join(maybe_broadcast(hot, "copies-hot", BROADCAST_ROWS), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+        salted = pairs.join(maybe_broadcast(hot, "copies-hot", BROADCAST_ROWS), "b", "left").select(
+            "a",
+            "b",
+            F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"),
+        )
         salted = written(salted, "copies-salted")
         members = salted.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "salt", F.lit(False).alias("lead"), "text")
-        leads = salted.select("b", "salt").distinct().join(texts.select(F.col("node").alias("b"), "text"), "b").select(F.col("b").alias("a"), "b", "salt", F.lit(True).alias("lead"), "text")
+        leads = salted.select("b", "salt").distinct().join(texts.select(F.col("node").alias("b"), "text"), "b").select(
+            F.col("b").alias("a"),
+            "b",
+            "salt",
+            F.lit(True).alias("lead"),
+            "text",
+        )
         rows = members.unionByName(leads).repartition(self.parts, "b", "salt").sortWithinPartitions("b", "salt", F.desc("lead"))
         return written(rows.select("a", "b", "lead", "text").mapInPandas(_checked, "a bigint, b bigint"), "copies-verified")
 
@@ -223,11 +239,26 @@ class Copies:
         """Likely pairs (a, b, more) of different components, by parts of buckets."""
         label = crowd.join(checked(roots, BROADCAST_ROWS), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
         sizes = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        rows = label.join(maybe_broadcast(mixed, "copies-mixed", BROADCAST_ROWS), "bucket").withColumns({"big": F.col("label") == F.col("largest"), "salts": F.ceil(F.col("n") / PART).cast("int")})
+        mixed = sizes.groupBy("bucket").agg(
+            F.max(F.struct("n", "label"))["label"].alias("largest"),
+            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("labels"),
+        ).where("labels > 1")
+        rows = label.join(maybe_broadcast(mixed, "copies-mixed", BROADCAST_ROWS), "bucket").withColumns({
+            "big": F.col("label") == F.col("largest"),
+            "salts": F.ceil(F.col("n") / PART).cast("int"),
+        })
         every = F.sequence(F.lit(0), F.col("salts") - 1)
         rows = rows.withColumn("salt", F.explode(F.when(F.col("big"), F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))).otherwise(every)))
-        rows = rows.join(self.nodes.select("node", "sketch"), "node").select(F.xxhash64("bucket", "salt").alias("part"), F.shiftright("bucket", 8 * BAND_ROWS).cast("int").alias("band"), (F.col("salt") == 0).alias("first"), "node", "label", "big", "sketch")
+        rows = rows.join(self.nodes.select("node", "sketch"), "node").select(
+            F.xxhash64("bucket", "salt").alias("part"),
+            F.shiftright("bucket", 8 * BAND_ROWS).cast("int").alias("band"),
+            (F.col("salt") == 0).alias("first"),
+            "node",
+            "label",
+            "big",
+            "sketch",
+        )
         return rows.repartition(self.parts, "part").sortWithinPartitions("part").mapInPandas(_across(tries), "a bigint, b bigint, more boolean")
 
     def labels(self) -> DataFrame:

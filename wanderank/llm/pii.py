@@ -116,7 +116,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[dict]:
             value = f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de'])}" if label else f"{word()} at {word()} dot {word()[:6]}"
         hint = r.choice(personal if r.random() < (0.8 if label else 0.1) else other if r.random() < (0.1 if label else 0.75) else [word()])
         before = f"{word()} {word()} {hint}{r.choice([': ', ' ', ' ', ' = '])}"[-32:]
-        out.append({"kind": kind, "value": value, "before": before, "after": f"{r.choice([' ', '. ', ', '])}{word()} {word()}"[:32], "path": "", "label": float(label)})
+        out.append({
+            "kind": kind,
+            "value": value,
+            "before": before,
+            "after": f"{r.choice([' ', '. ', ', '])}{word()} {word()}"[:32],
+            "path": "",
+            "label": float(label),
+        })
     return out
 
 
@@ -177,12 +184,34 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = personal_data(docs, text_col)
     ordered = F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-    done = F.aggregate(ordered, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"].cast("int") + 1)))
+    step = lambda acc, s: F.when(
+        s["start"] >= acc["at"],
+        F.struct(
+            s["end"].alias("at"),
+            F.concat(
+                acc["out"],
+                F.substr(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")),
+                F.lit("["),
+                F.upper(s["kind"]),
+                F.lit("]"),
+            ).alias("out"),
+        ),
+    ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    done = F.aggregate(
+        ordered,
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
+        step,
+        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"].cast("int") + 1)),
+    )
     return rows.withColumn("redacted", done)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The contract's rows for op7."""
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(told(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), told(F.col("all_spans")).alias("spans"))
+    return found.select(
+        "doc_id",
+        *[f"n_{k}" for k in BASE],
+        F.sha2(told(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        told(F.col("all_spans")).alias("spans"),
+    )

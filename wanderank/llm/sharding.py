@@ -133,7 +133,11 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20_240_817
     shard = sum((F.when(F.col("__rank") >= F.get(F.col("__ends"), F.lit(k)), 1).otherwise(0) for k in range(shards - 1)), F.lit(0))
     shard = F.when(inside, shard).otherwise(F.raise_error(F.lit("the input's partitions changed between two passes over it")).cast("int"))
     again = F.xxhash64(F.lit(seed + 1), F.col("__mixed"))
-    dealt = dealt.withColumns({"shard": shard.cast("int"), "__again": again, "__cell": F.pmod(F.shiftright(again, 20), F.lit(cells)).cast("int")}).drop("__part", "__rank", "__ends")
+    dealt = dealt.withColumns({
+        "shard": shard.cast("int"),
+        "__again": again,
+        "__cell": F.pmod(F.shiftright(again, 20), F.lit(cells)).cast("int"),
+    }).drop("__part", "__rank", "__ends")
 
     place = F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__again", "__mixed")).cast("bigint") - 1
     if cells == 1:
@@ -149,4 +153,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     digests = docs.select("doc_id", (utf8_size(F.col("text")) + 1).alias("size"), F.crc32(text).cast("bigint").alias("text_crc32"))
-    return shuffle_into_shards(digests).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shuffle_into_shards(digests).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

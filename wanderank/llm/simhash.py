@@ -83,7 +83,12 @@ def _majority(h: np.ndarray) -> int:
 
 def fingerprints(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` with the text replaced by ``fp`` bigint (the fingerprint's 64 bits)."""
-    return per_text(rows, text_col, {"fp": ("bigint", pa.int64())}, lambda: lambda texts: {"fp": np.array(list(map(fingerprint, texts)), np.uint64).view(np.int64)})
+    return per_text(
+        rows,
+        text_col,
+        {"fp": ("bigint", pa.int64())},
+        lambda: lambda texts: {"fp": np.array(list(map(fingerprint, texts)), np.uint64).view(np.int64)},
+    )
 
 
 def block_plan(n: int) -> int:
@@ -208,7 +213,10 @@ def _masks(bits: int) -> list[int]:
 
 def ball_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) with the components of all pairs within 3 bits, from a fixed number of rows per fingerprint."""
-    around = lambda bits: fps.select("fp", F.explode(F.from_json(F.lit(json.dumps(_masks(bits))), "array<bigint>")).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
+    around = lambda bits: fps.select(
+        "fp",
+        F.explode(F.from_json(F.lit(json.dumps(_masks(bits))), "array<bigint>")).alias("m"),
+    ).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
     centres = around(1).groupBy("z").agg(F.min("fp").alias("b"))
     return around(2).join(centres, "z").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 

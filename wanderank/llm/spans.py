@@ -44,8 +44,24 @@ def _placed(kind: str, pieces: Column, found: Column) -> Column:
         lambda acc, s: F.struct((acc["at"] + s["skip"] + s["len"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + s["skip"])).alias("out")),
         lambda acc: acc["out"],
     )
-    numbered = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("b"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("a")))
-    spans = F.zip_with(numbered, starts, lambda x, s: F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + long(x["m"])).alias("end"), x["m"].alias("value"), x["b"].alias("before"), x["a"].alias("after")))
+    numbered = F.transform(
+        found,
+        lambda m,
+        i: F.struct(m.alias("m"), F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("b"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("a")),
+    )
+    spans = F.zip_with(
+        numbered,
+        starts,
+        lambda x,
+        s: F.struct(
+            F.lit(kind).alias("kind"),
+            s.alias("start"),
+            (s + long(x["m"])).alias("end"),
+            x["m"].alias("value"),
+            x["b"].alias("before"),
+            x["a"].alias("after"),
+        ),
+    )
     return F.coalesce(spans, F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>")
 
 

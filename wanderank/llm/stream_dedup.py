@@ -171,7 +171,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def deduplicated(spark: SparkSession, path: str, state_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+def deduplicated(
+    spark: SparkSession,
+    path: str,
+    state_dir: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    files_per_batch: int = FILES_PER_BATCH,
+) -> DataFrame:
     """One row per row below ``path``: id, keep_id, group_size, kept, text_sha256, file, row."""
     dedup = Dedup(spark, path, state_dir or scratch_path(spark, "dedup-state"), id_col, text_col, files_per_batch)
     dedup.run()
