@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that joins may broadcast after it was counted.
 BROADCAST_ROWS = 200_000
-#: Rows that one shuffle partition of an iteration holds about, and that are worth a task of their own.
-PARTITION_ROWS, TASK_ROWS = 250_000, 20_000
+#: Rows that one shuffle partition of an iteration holds about, that are worth a task of their own, and that one holds at most
+#: where there would be more than ``MANY_PARTITIONS``.
+PARTITION_ROWS, TASK_ROWS, LARGE_ROWS, MANY_PARTITIONS = 250_000, 20_000, 4_000_000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -111,7 +112,7 @@ def sized(spark: SparkSession, rows: int) -> Iterator[None]:
 
     Adaptive execution stays as the session has it: it splits skewed keys, and joins partitions that came out small.
     """
-    parts = max(1, -(-rows // PARTITION_ROWS), min(spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
+    parts = max(min(-(-rows // PARTITION_ROWS), MANY_PARTITIONS), -(-rows // LARGE_ROWS), min(spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
     with settings(spark, {"spark.sql.shuffle.partitions": str(parts)}):
         yield
 
