@@ -16,7 +16,7 @@ from ..session import kept, sized
 from ..sources.graphs import Graph
 from .estimators import all_targets, from_both_sides, montecarlo, origins
 from .push import push, unit_state
-from .walks import UNROLL, _stepped, destinations, fan_out, walk_length, walked
+from .walks import LOCAL_EDGES, UNROLL, _stepped, destinations, fan_out, walk_length, walked, walked_in_tasks
 
 #: Levels of the stored backward pushes; a residual there is at most 1 / alpha.
 LEVELS = (0.05, 0.25, 1.0, 5.0)
@@ -131,14 +131,19 @@ def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, s
     ended, arrived = [], []
     with phase("rand-walks"), sized(spark, n * starts.count()):
         while True:
-            # arriving at a hub hands the walk over, before it is decided whether it stops there
-            for _ in range(UNROLL):
-                alive = _stepped(alive, _hub_neighbours(graph, hubs), seed, "absorb", hubs=True)
-            at = kept(alive, "hub-walks")
+            local = graph.distinct <= LOCAL_EDGES
+            if local:
+                at = kept(walked_in_tasks(alive, graph, seed, "absorb", tuple(r[0] for r in hubs.hubs.collect())), "hub-walks")
+                at = at.withColumnsRenamed({"dest": "cur"}).withColumns({"step": F.lit(0), "len": F.lit(0)})
+            else:
+                # arriving at a hub hands the walk over, before it is decided whether it stops there
+                for _ in range(UNROLL):
+                    alive = _stepped(alive, _hub_neighbours(graph, hubs), seed, "absorb", hubs=True)
+                at = kept(alive, "hub-walks")
             ended.append(at.where("not hub and step >= len").groupBy("start", F.col("cur").alias("dest")).agg(F.count(F.lit(1)).alias("cnt")))
             arrived.append(at.where("hub").groupBy(F.col("start").alias("source"), F.col("cur").alias("hub")).agg(F.count(F.lit(1)).alias("all")))
             alive = at.where("not hub and step < len")
-            if alive.isEmpty():
+            if local or alive.isEmpty():
                 break
     most = (1 << hubs.blocks) - 1
     counts = functools.reduce(DataFrame.unionByName, arrived).groupBy("source", "hub").agg(F.sum("all").alias("all"))
