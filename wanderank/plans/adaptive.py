@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from ..functions.bounds import martingale_bounds, rest_bound, score_bounds, stops
 from ..operators.estimators import all_targets, montecarlo, origins, used_up, walk_plan, with_walks
 from ..operators.indexes import Hubs, build_hubs, hub_all_targets, hub_walks
+from ..operators.intask import pushed
+from ..operators.power import LOCAL_EDGES
 from ..operators.push import is_pushed, push, residual_sums, unit_state
 from ..operators.topk import kth_value, topk
+from ..report import counted, phase
 from ..session import kept
 from ..sources.graphs import Graph
+from .bounded import bounded_in_tasks
 from .params import Params
 
 
@@ -63,6 +67,11 @@ def topk_bounded(graph: Graph, sources: DataFrame, k: int, p: Params, seed: int
     Returns (source, rank, node, ppr, lb, ub, rest_ub); rest_ub bounds the scores of all nodes that no walk has reached.
     """
     p = p.at(opt=False, p_fail=1 / (p.n**2 * max(1.0, math.log(p.n))))
+    if index is None and graph.distinct <= LOCAL_EDGES:
+        with phase("rand-walks"):
+            found = kept(bounded_in_tasks(graph, origins(sources), k, p, seed), "bounded")
+        counted(walks=lambda: found.where("rank = 1").agg(F.coalesce(F.sum("walks"), F.lit(0))).first()[0])
+        return found.drop("walks")
     delta, least = max(0.25, 1 / p.n), 1 / p.n
     state, done, old, used = unit_state(origins(sources)), None, None, None
     rest = origins(sources).select(F.col("origin").alias("source"), F.lit(1.0).alias("rest_ub"))
@@ -170,12 +179,16 @@ def balanced(graph: Graph, sources: DataFrame, p: Params, seed: int = 1) -> Data
     """Push and walk with the push threshold found by cost: from 8 r it is halved while the walks left are expected to
     take longer than the push did. Costs are counted (edges touched, walks), not timed, so reruns agree."""
     rmax, omega = p.push_walk()
-    moves, state = graph.transitions(p.alpha, "absorb"), unit_state(origins(sources))
+    state, deg = unit_state(origins(sources)), graph.nodes.select("node", F.col("out_deg").cast("double").alias("deg"))
     now, pushed_edges = 8 * rmax, 0.0
     while True:
-        due = state.join(moves.where("own").select(F.col("src").alias("node"), "deg"), "node").where(is_pushed(F.col("residual"), F.col("deg"), now))
+        due = state.join(deg, "node").where(is_pushed(F.col("residual"), F.col("deg"), now))
         pushed_edges += due.agg(F.coalesce(F.sum("deg"), F.lit(0.0))).first()[0]
-        state = push(state, moves, now)
+        if graph.distinct <= LOCAL_EDGES:
+            with phase("propagation"):
+                state = kept(pushed(graph, state, p.alpha, now), "push")
+        else:
+            state = push(state, graph.transitions(p.alpha, "absorb"), now)
         left = residual_sums(state).agg(F.coalesce(F.sum("rsum"), F.lit(0.0))).first()[0]
         if now <= rmax or omega * left * (1 - p.alpha) <= pushed_edges:
             return with_walks(graph, state, kept(walk_plan(state, p, omega), "walk-plan"), p, seed)
