@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from wanderank.operators import estimators, intask
+from wanderank.operators import estimators, indexes, intask
 from wanderank.operators.push import push, unit_state
 from wanderank.plans import adaptive
 from wanderank.plans.params import Params
@@ -75,3 +75,19 @@ def test_balanced(spark, graph, monkeypatch):
         monkeypatch.setattr(estimators, "LOCAL_EDGES", limit)
         told.append(adaptive.balanced(graph, work, Params(graph.n, graph.m), 3))
     close(*told)
+
+
+def test_hub_walks_are_sums(spark, graph, monkeypatch):
+    """Before, a row was written for each walk."""
+    hubs = indexes.Hubs(indexes.choose_hubs(graph, 4), indexes.forward_oracle(graph, indexes.choose_hubs(graph, 4), 3, Params(graph.n, graph.m)), None, 3)
+    rows, keep = [], indexes.kept
+
+    def noted(df, name):
+        out = keep(df, name)
+        if name == "hub-walks":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(indexes, "kept", noted)
+    indexes.hub_walks(graph, spark.range(8).selectExpr("id AS source"), 20_000, hubs, Params(graph.n, graph.m))
+    assert rows and max(rows) < 8_000

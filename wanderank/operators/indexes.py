@@ -7,7 +7,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.params import Params
@@ -15,8 +15,9 @@ from ..report import counted, phase
 from ..session import kept, sized
 from ..sources.graphs import Graph
 from .estimators import all_targets, from_both_sides, montecarlo, origins
+from .intask import walk_sums
 from .push import push, unit_state
-from .walks import LOCAL_EDGES, UNROLL, _stepped, destinations, fan_out, walk_length, walked, walked_in_tasks
+from .walks import LOCAL_EDGES, UNROLL, _stepped, destinations, fan_out, walk_length, walked
 
 #: Levels of the stored backward pushes; a residual there is at most 1 / alpha.
 LEVELS = (0.05, 0.25, 1.0, 5.0)
@@ -95,27 +96,10 @@ def _hub_neighbours(graph: Graph, hubs: Hubs) -> DataFrame:
     return known[1]
 
 
-def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, seed: int = 1, first: int = 1, split: bool = False) -> DataFrame:
-    """(start, dest, cnt) of walks ``first`` to ``first + n - 1`` from each source; at a hub the rest comes from its stored walks.
-
-    Arrivals beyond a hub's stored walks go on online, as walks of the hub with numbers beyond the stored ones.
-    ``split``: alpha n of the walks of a source that is no hub end at it for certain and are not drawn; the others make a
-    first hop and count a little less than one each, so that they are (1 - alpha) n in all.
-    """
+def _online_hub_walks(graph: Graph, starts: DataFrame, number: Column, first: int, split: bool, hubs: Hubs, n: int, p: Params, seed: int) -> tuple[list, list]:
+    """(start, dest, cnt) of walks that ended on the way, and (source, hub, all) of those that came to a hub, in parts; step by step."""
     spark = graph.nodes.sparkSession
     deg = graph.nodes.select(F.col("node").alias("start"), F.col("out_deg").alias("deg"))
-    mark = hubs.hubs.select(F.col("hub").alias("cur"), F.lit(True).alias("at_hub"))
-    starts = origins(sources).select(F.col("origin").alias("start"))
-    moving = math.ceil((1 - p.alpha) * n) if split else n
-    weight = (1 - p.alpha) * n / moving if split else 1.0
-    starts = starts.join(
-        mark.select(F.col("cur").alias("start"), F.col("at_hub").alias("is_hub")),
-        "start",
-        "left",
-    ).withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
-    starts = kept(starts, "hub-starts")
-    number = F.lit(first - 1) + F.when(F.col("is_hub"), F.lit(n)).otherwise(F.lit(moving))
-    counted(walks=lambda: n * starts.count())
     rows = fan_out(starts, number, F.lit(first - 1)).join(deg, "start")
     length = walk_length(seed, F.col("start"), F.col("walk"), p.alpha) + F.when(F.col("is_hub"), 0).otherwise(int(split))
     alive = rows.select(
@@ -131,20 +115,59 @@ def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, s
     ended, arrived = [], []
     with phase("rand-walks"), sized(spark, n * starts.count()):
         while True:
-            local = graph.distinct <= LOCAL_EDGES
-            if local:
-                at = kept(walked_in_tasks(alive, graph, seed, "absorb", tuple(r[0] for r in hubs.hubs.collect())), "hub-walks")
-                at = at.withColumnsRenamed({"dest": "cur"}).withColumns({"step": F.lit(0), "len": F.lit(0)})
-            else:
-                # arriving at a hub hands the walk over, before it is decided whether it stops there
-                for _ in range(UNROLL):
-                    alive = _stepped(alive, _hub_neighbours(graph, hubs), seed, "absorb", hubs=True)
-                at = kept(alive, "hub-walks")
+            # arriving at a hub hands the walk over, before it is decided whether it stops there
+            for _ in range(UNROLL):
+                alive = _stepped(alive, _hub_neighbours(graph, hubs), seed, "absorb", hubs=True)
+            at = kept(alive, "hub-walks")
             ended.append(at.where("not hub and step >= len").groupBy("start", F.col("cur").alias("dest")).agg(F.count(F.lit(1)).alias("cnt")))
             arrived.append(at.where("hub").groupBy(F.col("start").alias("source"), F.col("cur").alias("hub")).agg(F.count(F.lit(1)).alias("all")))
             alive = at.where("not hub and step < len")
-            if local or alive.isEmpty():
+            if alive.isEmpty():
                 break
+    return ended, arrived
+
+
+def _online_rest(graph: Graph, counts: DataFrame, most: int, p: Params, seed: int) -> DataFrame:
+    """(start, dest, cnt) of the walks beyond a hub's stored ones, shared by all sources."""
+    need = counts.where("more > 0").groupBy(F.col("hub").alias("start")).agg(F.max("more").alias("n"))
+    online = walked(fan_out(need, F.col("n") + most, F.lit(most)).select("start", "walk"), graph, p.alpha, seed, dangling="absorb").alias("w")
+    return counts.alias("c").join(
+        online,
+        (F.col("c.hub") == F.col("w.start")) & (F.col("w.walk") <= F.col("c.more") + most),
+    ).groupBy(F.col("c.source").alias("start"), F.col("w.dest").alias("dest")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, seed: int = 1, first: int = 1, split: bool = False) -> DataFrame:
+    """(start, dest, cnt) of walks ``first`` to ``first + n - 1`` from each source; at a hub the rest comes from its stored walks.
+
+    Arrivals beyond a hub's stored walks go on online, as walks of the hub with numbers beyond the stored ones.
+    ``split``: alpha n of the walks of a source that is no hub end at it for certain and are not drawn; the others make a
+    first hop and count a little less than one each, so that they are (1 - alpha) n in all.
+    """
+    mark = hubs.hubs.select(F.col("hub").alias("cur"), F.lit(True).alias("at_hub"))
+    starts = origins(sources).select(F.col("origin").alias("start"))
+    moving = math.ceil((1 - p.alpha) * n) if split else n
+    weight = (1 - p.alpha) * n / moving if split else 1.0
+    starts = starts.join(
+        mark.select(F.col("cur").alias("start"), F.col("at_hub").alias("is_hub")),
+        "start",
+        "left",
+    ).withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))
+    starts = kept(starts, "hub-starts")
+    number = F.lit(first - 1) + F.when(F.col("is_hub"), F.lit(n)).otherwise(F.lit(moving))
+    counted(walks=lambda: n * starts.count())
+    local = graph.distinct <= LOCAL_EDGES
+    if local:
+        plan = starts.select(
+            F.col("start").alias("source"), "start", F.lit(first - 1).cast("bigint").alias("first"), (number - (first - 1)).cast("bigint").alias("n"), F.lit(1.0).alias("weight"),
+            F.when(F.col("is_hub"), 0).otherwise(int(split)).alias("longer"),
+        )
+        with phase("rand-walks"):
+            sums = kept(walk_sums(graph, plan, p.alpha, seed, hubs=tuple(r[0] for r in hubs.hubs.collect())), "hub-walks").withColumn("total", F.col("total").cast("bigint"))
+        ended = [sums.where("not hub").select(F.col("source").alias("start"), F.col("node").alias("dest"), F.col("total").alias("cnt"))]
+        arrived = [sums.where("hub").select("source", F.col("node").alias("hub"), F.col("total").alias("all"))]
+    else:
+        ended, arrived = _online_hub_walks(graph, starts, number, first, split, hubs, n, p, seed)
     most = (1 << hubs.blocks) - 1
     counts = functools.reduce(DataFrame.unionByName, arrived).groupBy("source", "hub").agg(F.sum("all").alias("all"))
     counts = kept(
@@ -153,12 +176,11 @@ def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, s
     )
     counted(index_walks=lambda: counts.agg(F.coalesce(F.sum("walks"), F.lit(0))).first()[0])
     stored = expanded(counts, hubs.forward).select(F.col("source").alias("start"), "dest", "cnt")
-    need = counts.where("more > 0").groupBy(F.col("hub").alias("start")).agg(F.max("more").alias("n"))
-    online = walked(fan_out(need, F.col("n") + most, F.lit(most)).select("start", "walk"), graph, p.alpha, seed, dangling="absorb").alias("w")
-    rest = counts.alias("c").join(
-        online,
-        (F.col("c.hub") == F.col("w.start")) & (F.col("w.walk") <= F.col("c.more") + most),
-    ).groupBy(F.col("c.source").alias("start"), F.col("w.dest").alias("dest")).agg(F.count(F.lit(1)).alias("cnt"))
+    if local:
+        more = counts.where("more > 0").select("source", F.col("hub").alias("start"), F.lit(most).cast("bigint").alias("first"), F.col("more").alias("n"), F.lit(1.0).alias("weight"), F.lit(0).alias("longer"))
+        rest = walk_sums(graph, more, p.alpha, seed).select(F.col("source").alias("start"), F.col("node").alias("dest"), F.col("total").cast("bigint").alias("cnt"))
+    else:
+        rest = _online_rest(graph, counts, most, p, seed)
     parts = functools.reduce(DataFrame.unionByName, ended).unionByName(stored).unionByName(rest)
     if not split:
         return parts.groupBy("start", "dest").agg(F.sum("cnt").alias("cnt"))
