@@ -10,7 +10,7 @@ from wanderank.operators.topk import kth_value, topk
 from wanderank.operators.walks import destinations, fan_out, walked
 from wanderank.plans import adaptive
 from wanderank.plans.params import Params
-from wanderank.sources.graphs import graph_of, read_graph, read_workload, remapped, write_graph, write_workload
+from wanderank.sources.graphs import both_ways, graph_of, read_graph, read_workload, remapped, write_graph, write_workload
 
 CASES = {
     "self_loop": ([(0, 0), (0, 1), (1, 0)], 0, {0: 5 / 9, 1: 4 / 9}),
@@ -138,3 +138,11 @@ def test_parameters():
 )
 def test_queries_equal_their_sql(spark, duck, name):
     same_rows(queries.QUERIES[name](spark, DATA), duck.execute(queries.ORACLES[name]))
+
+
+def test_pairs_both_ways(spark):
+    """Before, each pair was counted once for each direction."""
+    rows = [(1, 2), (2, 1), (1, 2), (3, 3), (4, -1), (None, 2), (5, None), (2**40, 1)]
+    a, b = graph_of(spark.createDataFrame([(x, y) for x, y in rows] + [(y, x) for x, y in rows], "src bigint, dst bigint")), both_ways(spark.createDataFrame(rows, "a bigint, b bigint"))
+    assert sorted(map(tuple, a.edges.collect())) == sorted(map(tuple, b.edges.collect()))
+    assert sorted(map(tuple, a.nodes.collect())) == sorted(map(tuple, b.nodes.collect()))

@@ -39,8 +39,10 @@ def graph(spark, sf_dir: str, name: str) -> graphs.Graph:
             pairs, ids = graphs.remapped(graphs.pages_links(spark, sf_dir))
             _graphs[key] = graphs.graph_of(pairs)
             _graphs[key].ids = ids
+        elif name == "trade":
+            _graphs[key] = graphs.both_ways(graphs.trade_pairs(spark, sf_dir))
         else:
-            _graphs[key] = graphs.graph_of({"events": graphs.events_flow, "trade": graphs.trade}[name](spark, sf_dir))
+            _graphs[key] = graphs.graph_of(graphs.events_flow(spark, sf_dir))
     return _graphs[key]
 
 
