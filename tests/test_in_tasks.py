@@ -121,3 +121,16 @@ def test_walks_over_pieces(spark, graph, monkeypatch, dangling):
         told.append(walks.walked(rows, graph, 0.2, 3, dangling=dangling))
     assert "neighbours" not in graph.__dict__ and "pieces" in graph._made
     close(*told)
+
+
+def test_levels_of_the_backward_oracle_are_one_push(spark, graph, monkeypatch):
+    """Before, there was a push for each level."""
+    hubs, p, made, wanted = indexes.choose_hubs(graph, 3), Params(graph.n, graph.m), [], []
+    monkeypatch.setattr(indexes, "push", lambda *a, **k: made.append(a) or push(*a, **k))
+    told = sorted(map(tuple, indexes.backward_oracle(graph, hubs, p, 0.1).collect()))
+    for level in indexes.LEVELS:
+        start = hubs.selectExpr("hub AS origin", "hub AS node", "0D AS reserve", f"{level}D AS residual")
+        wanted += [(r.origin, r.node, r.reserve / level, r.residual / level, level) for r in push(start, graph.backward(p.alpha), 0.1, strict=True).collect()]
+    assert len(made) == 1 and len(told) == len(wanted)
+    for x, y in zip(told, sorted(wanted), strict=True):
+        assert x == pytest.approx(y, abs=1e-12)

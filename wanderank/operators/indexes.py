@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -191,18 +192,13 @@ def hub_walks(graph: Graph, sources: DataFrame, n: int, hubs: Hubs, p: Params, s
 
 def backward_oracle(graph: Graph, hubs: DataFrame, p: Params, rmax: float) -> DataFrame:
     """(src, dst, rsv, res, lvl): stored backward pushes from each hub at each level, per unit of residual."""
-    out = None
-    for level in LEVELS:
-        start = hubs.select(F.col("hub").alias("origin"), F.col("hub").alias("node"), F.lit(0.0).alias("reserve"), F.lit(level).alias("residual"))
-        state = push(start, graph.backward(p.alpha), rmax, strict=True)
-        part = state.select(
-            F.col("origin").alias("src"),
-            F.col("node").alias("dst"),
-            (F.col("reserve") / level).alias("rsv"),
-            (F.col("residual") / level).alias("res"),
-            F.lit(level).alias("lvl"),
-        )
-        out = part if out is None else out.unionByName(part)
+    spark = graph.nodes.sparkSession
+    # a push of its own for each hub and level, all of them side by side
+    tags = [(i, r[0], level) for i, (r, level) in enumerate(itertools.product(hubs.collect(), LEVELS))]
+    tags = F.broadcast(spark.createDataFrame(tags, "origin bigint, src bigint, lvl double"))
+    start = tags.select("origin", F.col("src").alias("node"), F.lit(0.0).alias("reserve"), F.col("lvl").alias("residual"))
+    state = push(start, graph.backward(p.alpha), rmax, strict=True)
+    out = state.join(tags, "origin").select("src", F.col("node").alias("dst"), (F.col("reserve") / F.col("lvl")).alias("rsv"), (F.col("residual") / F.col("lvl")).alias("res"), "lvl")
     return kept(out, "backward-oracle")
 
 
