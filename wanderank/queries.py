@@ -69,7 +69,8 @@ def told(df: DataFrame, *values: str, digits: int = 6) -> DataFrame:
 
 def exact(g: graphs.Graph, rounds: int = EXACT_ROUNDS) -> DataFrame:
     if not hasattr(g, "truth"):
-        g.truth = kept(estimators.power_iteration(g, sources(g), params(g), rounds), "truth")
+        with graphs.few_at_once(g.edges.sparkSession):
+            g.truth = kept(estimators.power_iteration(g, sources(g), params(g), rounds), "truth")
     return g.truth
 
 
