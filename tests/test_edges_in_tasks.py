@@ -140,8 +140,13 @@ def test_push_exchanges_no_copies_of_the_edges(spark, graph):
     assert not exchanged(intask.pushed(graph, state, 0.2, 1e-6, "source"))
 
 
+def test_bounded_topk_exchanges_no_copies_of_the_edges(spark, graph):
+    p = Params(graph.n, graph.m, 0.5, 0.2, p_fail=1e-3)
+    assert not exchanged(bounded.bounded_in_tasks(graph, spark.range(5).selectExpr("id AS origin"), 5, p, 1))
+    assert adaptive.topk_bounded(graph, spark.range(2).selectExpr("id AS source"), 5, p, 1).count() == 10
 
-READ_ONCE = ["power_iteration", "topk_errors"]
+
+READ_ONCE = ["power_iteration", "topk_errors", "topk_bounded"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)

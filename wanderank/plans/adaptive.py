@@ -22,7 +22,7 @@ from ..operators.push import is_pushed, push, residual_sums, unit_state
 from ..operators.topk import kth_value, topk
 from ..report import counted, phase
 from ..session import kept
-from ..sources.graphs import Graph
+from ..sources.graphs import Graph, few_at_once
 from .bounded import bounded_in_tasks
 from .params import Params
 
@@ -68,7 +68,7 @@ def topk_bounded(graph: Graph, sources: DataFrame, k: int, p: Params, seed: int
     """
     p = p.at(opt=False, p_fail=1 / (p.n**2 * max(1.0, math.log(p.n))))
     if index is None and graph.distinct <= LOCAL_EDGES:
-        with phase("rand-walks"):
+        with phase("rand-walks"), few_at_once(graph.edges.sparkSession):
             found = kept(bounded_in_tasks(graph, origins(sources), k, p, seed), "bounded")
         counted(walks=lambda: found.where("rank = 1").agg(F.coalesce(F.sum("walks"), F.lit(0))).first()[0])
         return found.drop("walks")
