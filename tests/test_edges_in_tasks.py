@@ -146,7 +146,7 @@ def test_bounded_topk_exchanges_no_copies_of_the_edges(spark, graph):
     assert adaptive.topk_bounded(graph, spark.range(2).selectExpr("id AS source"), 5, p, 1).count() == 10
 
 
-READ_ONCE = ["power_iteration", "topk_errors", "topk_bounded", "topk_precision_recall", "kth_value", "bounds_table"]
+READ_ONCE = ["power_iteration", "topk_errors", "topk_bounded", "topk_precision_recall", "kth_value", "bounds_table", "martingale_bounds"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
