@@ -65,6 +65,50 @@ def test_bounds_hold_the_exact_scores(graph, sources, truth):
         assert r["lb"] - 1e-9 <= exact[r["source"], r["node"]] <= r["ub"] + 1e-9 and 0 <= r["rest_ub"]
 
 
+def test_bounds_of_every_node(graph, sources, truth):
+    """Before, only the list's nodes came out. The relative bound takes a score for 1/n at least where nothing better is known, so smaller ones are not promised."""
+    p = Params(graph.n, graph.m, epsilon=0.3)
+    found = adaptive.topk_bounded(graph, sources, 5, p, every=True)
+    rows, rest = table(found, "source", "node"), {r["source"]: r["rest_ub"] for r in found.collect()}
+    for (source, node), r in table(truth, "source", "node").items():
+        if (source, node) not in rows:
+            assert r["ppr"] <= rest[source] + 1e-9
+        elif r["ppr"] >= 1 / p.n:
+            assert rows[source, node]["lb"] - 1e-9 <= r["ppr"] <= rows[source, node]["ub"] + 1e-9
+    listed = [sorted(map(tuple, df.collect())) for df in (found.where("rank is not null"), adaptive.topk_bounded(graph, sources, 5, p))]
+    assert listed[0] == listed[1] and len(rows) > len(listed[0])
+
+
+@pytest.mark.parametrize(
+    ("changed", "bounded"),
+    [
+        (lambda df: df.withColumn("ub", F.when(F.col("rank").isNull(), 0.0).otherwise(F.col("ub"))), False),
+        (lambda df: df.where("rank is not null").withColumn("rest_ub", F.lit(0.0)), False),
+        (lambda df: df.where("rank is not null").withColumn("rest_ub", F.lit(1.0)), True),
+    ],
+    ids=["ub outside the list", "bound of the rest", "wide bound of the rest"],
+)
+def test_bounded_holds_checks_all_bounds(spark, monkeypatch, changed, bounded):
+    """Before, it looked at the bounds of the list's nodes alone, and left the bound of the nodes not reached out."""
+    plan = adaptive.topk_bounded
+    monkeypatch.setattr(adaptive, "topk_bounded", lambda *a, **k: changed(plan(*a, **k)))
+    rows = queries.topk_bounded_holds(spark, DATA).collect()
+    assert rows and {(r["full"], r["good"], r["bounded"]) for r in rows} == {(True, True, bounded)}
+
+
+def test_bounded_by_hand(spark):
+    """A source with nodes 1 and 2 reached, and 3 not; one value is changed in each of the others."""
+    rows, nan = [], float("nan")
+    cases = [(0.4, 0.6, 0.2), (0.51, 0.6, 0.2), (0.4, 0.49, 0.2), (0.4, nan, 0.2), (0.4, 0.6, 0.1), (0.4, 0.6, nan)]
+    for source, (lb, ub, rest) in enumerate(cases):
+        rows += [(source, 1, 0.3, 0.4, rest), (source, 2, lb, ub, rest)]
+    # a node reached that has no score, and a source of which nothing was found
+    rows += [(6, 1, 0.3, 0.4, 0.2), (6, 2, 0.4, 0.6, 0.2), (6, 9, 0.01, 0.1, 0.2)]
+    found = spark.createDataFrame(rows, "source int, node int, lb double, ub double, rest_ub double")
+    truth = spark.createDataFrame([(s, n, v) for s in range(8) for n, v in ((1, 0.35), (2, 0.5), (3, 0.15))], "source int, node int, ppr double")
+    assert {r["source"]: r["bounded"] for r in queries._bounded(found, truth).collect()} == {s: s == 0 for s in range(8)}
+
+
 def test_adaptive_lists_are_exact_up_to_the_error(graph, sources, truth):
     p = Params(graph.n, graph.m, epsilon=0.3)
     want = table(topk(truth, 3), "source", "rank")

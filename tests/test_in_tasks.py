@@ -74,6 +74,15 @@ def test_bounded(spark, graph, monkeypatch):
     close(*told)
 
 
+def test_bounds_of_every_node(spark, graph, monkeypatch):
+    work, told = spark.sql("SELECT explode(array(0L, 3L, 40L, -5L, 11L)) AS source"), []
+    for limit in (adaptive.LOCAL_EDGES, -1):
+        monkeypatch.setattr(adaptive, "LOCAL_EDGES", limit)
+        told.append(adaptive.topk_bounded(graph, work, 3, Params(graph.n, graph.m), 3, every=True).fillna(0, "rank"))
+    close(*told)
+    assert told[0].where("rank = 0").count() and told[0].where("rank > 3").isEmpty()
+
+
 def test_bounded_makes_few_jobs(spark, graph):
     """Before, each round of delta made dozens of jobs."""
     work = spark.range(3).selectExpr("id AS source")

@@ -61,15 +61,16 @@ def topk_adaptive(graph: Graph, sources: DataFrame, k: int, p: Params, seed: int
         delta = max(least, delta / 4)
 
 
-def topk_bounded(graph: Graph, sources: DataFrame, k: int, p: Params, seed: int = 1, index: DataFrame | None = None) -> DataFrame:
+def topk_bounded(graph: Graph, sources: DataFrame, k: int, p: Params, seed: int = 1, index: DataFrame | None = None, every: bool = False) -> DataFrame:
     """With lower and upper bounds: delta from 1/4, halved down to 1/n, until the bounds tell the top k from the rest.
 
     Returns (source, rank, node, ppr, lb, ub, rest_ub); rest_ub bounds the scores of all nodes that no walk has reached.
+    With ``every``, the rows of all nodes reached in a source's last round, with no rank where they are not in its list.
     """
     p = p.at(opt=False, p_fail=1 / (p.n**2 * max(1.0, math.log(p.n))))
     if index is None and graph.distinct <= LOCAL_EDGES:
         with phase("rand-walks"), few_at_once(graph.edges.sparkSession):
-            found = kept(bounded_in_tasks(graph, origins(sources), k, p, seed), "bounded")
+            found = kept(bounded_in_tasks(graph, origins(sources), k, p, seed, every), "bounded")
         counted(walks=lambda: found.where("rank = 1").agg(F.coalesce(F.sum("walks"), F.lit(0))).first()[0])
         return found.drop("walks")
     delta, least = max(0.25, 1 / p.n), 1 / p.n
@@ -93,7 +94,7 @@ def topk_bounded(graph: Graph, sources: DataFrame, k: int, p: Params, seed: int
         bounds = kept(rows.select("source", "node", "ppr", lb.alias("lb"), ub.alias("ub")), "bounds")
         ready = kept(stops(bounds, now, k), "bounds-stop")
         last = delta <= least
-        best = topk(bounds, k).join(bounds.select("source", "node", "lb", "ub"), ["source", "node"]).join(rest, "source")
+        best = bounds.join(topk(bounds, k).select("source", "node", "rank"), ["source", "node"], "left" if every else "inner").join(rest, "source")
         done = _settled(
             done,
             best.join(ready if last else ready.where("stop"), "source", "left_semi").select("source", "rank", "node", "ppr", "lb", "ub", "rest_ub"),
